@@ -127,7 +127,7 @@ def neighbours(
     carried = [*part]
     if index:
         before = F.sum("_n").over(per_key.rowsBetween(Window.unboundedPreceding, -1))
-        carried.append(F.coalesce(before, F.lit(0)).alias("_before"))
+        carried.append(F.coalesce(before, F.lit(0)).alias("_count_before"))
     if lag:
         carried.append(F.lag("_last").over(per_key).alias("_last"))
     if lead:
@@ -138,7 +138,7 @@ def neighbours(
     joined = base.join(edges, part)
     columns: dict[str, Column] = {}
     if index:
-        columns[index] = (F.col("_before") + F.row_number().over(window) - 1).cast("long")
+        columns[index] = (F.col("_count_before") + F.row_number().over(window) - 1).cast("long")
     if lag:
         first_row = F.row_number().over(window) == 1
         for name, source in lag.items():
@@ -147,7 +147,7 @@ def neighbours(
         last_row = F.lead(F.lit(True)).over(window).isNull()
         for name, source in lead.items():
             columns[name] = F.when(last_row, F.col(f"_first.{name}")).otherwise(F.lead(source).over(window))
-    result = joined.withColumns(columns).drop("_before", "_last", "_first")
+    result = joined.withColumns(columns).drop("_count_before", "_last", "_first")
     return result if keep_slices else unsliced(result)
 
 

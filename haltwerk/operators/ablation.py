@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from haltwerk.functions.scalars import clip
 from haltwerk.functions.stats import error_metrics, relative_improvement
 from haltwerk.operators.features import CATEGORICAL, FEATURE_SETS, TRAVEL_CLIP
+from haltwerk.session import checkpoint_folder
 
 
 def split_days(features: DataFrame, min_rows: int = 10_000, n_valid: int = 2) -> DataFrame:
@@ -90,6 +91,7 @@ def fit_gbt(
 
     Category values unseen in training share one extra index.
     """
+    checkpoint_folder(train.sparkSession)
     used = [c for c in features if c in cats]
     indexed = {c: f"{c}_index" for c in used}
     rows = train.withColumn("_valid", F.lit(False)).unionByName(valid.withColumn("_valid", F.lit(True)))

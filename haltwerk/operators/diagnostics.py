@@ -179,7 +179,7 @@ def event_context(events: DataFrame, pings: DataFrame, k: int = 3, series: Serie
     over tasks even if one vehicle holds most rows.
     """
     rows = events.select(
-        *series.keys, "drop_row_idx", F.explode(F.sequence(F.lit(-k), F.lit(k))).cast("long").alias("offset")
+        *series.keys, "drop_row_idx", F.explode(F.sequence(F.lit(-k).cast("long"), F.lit(k).cast("long"))).alias("offset")
     ).withColumn("row_idx", F.col("drop_row_idx") + F.col("offset"))
     return rows.join(pings, [*series.keys, "row_idx"])
 

@@ -15,7 +15,7 @@ WEATHER_MISSING = -999.0
 VEHICLE_COLUMNS = ("fahrzueg_type", "fahrgasttüren", "länge_m", "sitzplätze", "stehplätze", "kapazitaet")
 
 # Ranges are filed under the power of two next above their width.
-RANGE_LEVELS = 41
+RANGE_LEVELS = 63
 
 
 def strip_names(df: DataFrame) -> DataFrame:
@@ -80,13 +80,12 @@ def range_lookup(
     width = F.col(hi) - F.col(lo) + 1
     level = F.greatest(F.lit(0), F.ceil(F.log2(width.cast("double")))).cast("int")
     filed = ranges.filter(F.col(lo) <= F.col(hi)).withColumn("_level", F.least(level, F.lit(levels - 1)))
-    size = F.shiftleft(F.lit(1).cast("long"), F.col("_level"))
-    first, last = F.floor(F.col(lo) / size), F.floor(F.col(hi) / size)
-    filed = filed.withColumn("_bucket", F.explode(F.sequence(first, last)))
+    buckets = F.sequence(F.expr(f"shiftright(`{lo}`, _level)"), F.expr(f"shiftright(`{hi}`, _level)"))
+    filed = filed.withColumn("_bucket", F.explode(buckets))
 
     used = filed.agg(F.sort_array(F.collect_set("_level")).alias("l")).scalar()
     asked = df.filter(F.col(key).isNotNull()).withColumn("_level", F.explode(used))
-    asked = asked.withColumn("_bucket", F.floor(F.col(key) / F.shiftleft(F.lit(1).cast("long"), F.col("_level"))))
+    asked = asked.withColumn("_bucket", F.expr(f"shiftright(`{key}`, _level)"))
     hits = asked.join(filed, ["_level", "_bucket"]).filter(F.col(key).between(F.col(lo), F.col(hi)))
     hits = hits.drop("_level", "_bucket")
     if how == "inner":

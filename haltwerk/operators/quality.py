@@ -112,8 +112,8 @@ def missing_by_line(
 
 def sampling_intervals(df: DataFrame, series: Series = TRIP_SERIES) -> DataFrame:
     """Whole seconds since the previous ping of the trip, NULL on its first."""
-    linked = neighbours(df, series, lag={"_before": series.time})
-    return linked.withColumn("gap_sec", whole_seconds_between(series.time, "_before")).drop("_before")
+    linked = neighbours(df, series, lag={"_prev_time": series.time})
+    return linked.withColumn("gap_sec", whole_seconds_between(series.time, "_prev_time")).drop("_prev_time")
 
 
 def trip_gaps(df: DataFrame, gap_threshold_sec: int = 30, series: Series = TRIP_SERIES) -> DataFrame:

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from haltwerk.functions.ordered import Series, unsliced
 from haltwerk.operators.detect import PING_SERIES, index_pings
@@ -19,25 +18,25 @@ REGULAR_LINES = (
 )
 TRAM_LINES = (1, 2, 3, 4, 6, 7, 8, 9, 10, 11, 12, 13, 20)
 
-TELEMETRY = T.StructType.fromDDL(
+TELEMETRY = (
     "fzg_id bigint, tst_iso timestamp, tst string, linie bigint, linie_text string, zieltext string,"
     " status_text string, fahrt_id bigint, ort_nr_start bigint, ort_nr_ziel bigint, ort_nr_start_vvo string,"
     " ort_nr_ziel_vvo string, distanz double, tuerkriterium boolean, lage bigint, besetztgrad bigint,"
     " pos_lat double, pos_lon double, topic string, qos int, retain boolean, payloadlen int"
 )
-TIMETABLE = T.StructType.fromDDL("fahrt_id bigint, zp_abfahrt bigint, segmente string, tst_iso string")
-VEHICLES = T.StructType.fromDDL(
+TIMETABLE = "fahrt_id bigint, zp_abfahrt bigint, segmente string, tst_iso string"
+VEHICLES = (
     "fzg_id bigint, fzg_nr string, typ string, typ_text string, typ_nr bigint, kapazitaet bigint, laenge double,"
     " masse double"
 )
-VEHICLE_RANGES = T.StructType.fromDDL(
+VEHICLE_RANGES = (
     "typ string, fzg_nr_from bigint, fzg_nr_to bigint, fahrzueg_type string, `fahrgasttüren` bigint,"
     " `länge_m` double, `sitzplätze` bigint, `stehplätze` bigint"
 )
-SPECIAL_DAYS = T.StructType.fromDDL(
+SPECIAL_DAYS = (
     "event_id bigint, date string, event_type string, location string, latitude double, longitude double"
 )
-STOP_GEOMETRY = T.StructType.fromDDL("ort_nr bigint, stop_name string, lat double, lon double")
+STOP_GEOMETRY = "ort_nr bigint, stop_name string, lat double, lon double"
 
 
 def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -57,7 +56,7 @@ def load_telemetry(spark: SparkSession, path: str, series: Series = PING_SERIES)
     return unsliced(index_pings(with_timestamps(spark.read.parquet(path), series.time), series))
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, **options) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str, **options) -> DataFrame:
     """CSV with a header and an explicit schema; one scan, no inference."""
     return spark.read.options(**{"header": True, "mode": "PERMISSIVE", **options}).schema(schema).csv(path)
 
