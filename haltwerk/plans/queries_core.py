@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,10 +48,32 @@ def timed(t: Tables) -> DataFrame:
     return matching.add_travel_time(matching.add_dwell_time(kept), ARRIVALS)
 
 
-def core(t: Tables) -> DataFrame:
+def fresh_core(t: Tables) -> DataFrame:
     return core_plan.core_table(t.telemetry, t.raw_timetable, ping_series=PINGS, arrival_series=ARRIVALS)
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(t: Tables, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table written once per application and folder, then read.
+
+    Analyses of the core table pass over it several times, so they read the
+    written table, as one would in production.
+    """
+    key = (t.spark.sparkContext.applicationId, t.folder, name)
+    if key not in _STORED:
+        path = scratch(t, name)
+        files.write_parquet(build(), path)
+        _STORED[key] = path
+    return t.spark.read.parquet(_STORED[key])
+
+
+def core(t: Tables) -> DataFrame:
+    """The written core table."""
+    return stored(t, "core", lambda: fresh_core(t))
+
+
 def clean_core(t: Tables) -> DataFrame:
     return matching.same_day_filter(core(t))
 
@@ -112,7 +135,7 @@ def _(t):
 )
 def _(t):
     path = scratch(t, "core")
-    core_plan.write_core(core(t), path)
+    core_plan.write_core(fresh_core(t), path)
     back = t.spark.read.parquet(path)
     return back.groupBy("service_date").agg(F.count(F.lit(1)).alias("n"), F.sum("dwell_time").alias("dwell_sum"))
 
@@ -628,7 +651,7 @@ def _(t):
        round(dwell_time, 6) AS dwell_time, round(travel_time, 6) AS travel_time, besetztgrad FROM core""",
 )
 def _(t):
-    return core(t).select(*matching.CORE_COLUMNS)
+    return fresh_core(t).select(*matching.CORE_COLUMNS)
 
 
 @query(
