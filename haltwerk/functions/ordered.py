@@ -99,32 +99,30 @@ def across_slices(series: Series) -> tuple[WindowSpec, WindowSpec]:
     return earlier, later
 
 
-def neighbours(
+def slice_edges(
     df: DataFrame,
     series: Series,
     lag: Mapping[str, str] | None = None,
     lead: Mapping[str, str] | None = None,
-    index: str | None = None,
-    keep_slices: bool = False,
+    index: bool = False,
 ) -> DataFrame:
-    """Row number from 0 and values of the previous / next row of the series.
+    """Per slice: rows before it, last row before it and first row after it.
 
-    ``lag`` and ``lead`` map a new column to its source column.
+    Frames of the same series may share one edge table, also if they use only
+    some of its values; Spark then computes it once.
     """
-    lag, lead = dict(lag or {}), dict(lead or {})
     base = df if _is_sliced(df, series) else sliced(df, series)
     part = slice_columns(series)
     rank = F.struct(*series.order)
-
-    edge_columns = []
+    found = []
     if index:
-        edge_columns.append(F.count(F.lit(1)).alias("_n"))
+        found.append(F.count(F.lit(1)).alias("_n"))
     if lag:
-        edge_columns.append(F.max_by(_bundle(lag), rank).alias("_last"))
+        found.append(F.max_by(_bundle(lag), rank).alias("_last"))
     if lead:
-        edge_columns.append(F.min_by(_bundle(lead), rank).alias("_first"))
+        found.append(F.min_by(_bundle(lead), rank).alias("_first"))
     per_key = Window.partitionBy(*_key_names(series)).orderBy(SLICE)
-    carried = [*part]
+    carried: list[str | Column] = [*part]
     if index:
         before = F.sum("_n").over(per_key.rowsBetween(Window.unboundedPreceding, -1))
         carried.append(F.coalesce(before, F.lit(0)).alias("_count_before"))
@@ -132,10 +130,29 @@ def neighbours(
         carried.append(F.lag("_last").over(per_key).alias("_last"))
     if lead:
         carried.append(F.lead("_first").over(per_key).alias("_first"))
-    edges = base.groupBy(*part).agg(*edge_columns).select(*carried)
+    return base.groupBy(*part).agg(*found).select(*carried)
+
+
+def neighbours(
+    df: DataFrame,
+    series: Series,
+    lag: Mapping[str, str] | None = None,
+    lead: Mapping[str, str] | None = None,
+    index: str | None = None,
+    keep_slices: bool = False,
+    edges: DataFrame | None = None,
+) -> DataFrame:
+    """Row number from 0 and values of the previous / next row of the series.
+
+    ``lag`` and ``lead`` map a new column to its source column.
+    """
+    lag, lead = dict(lag or {}), dict(lead or {})
+    base = df if _is_sliced(df, series) else sliced(df, series)
+    if edges is None:
+        edges = slice_edges(base, series, lag, lead, index is not None)
 
     window = within_slice(series)
-    joined = base.join(edges, part)
+    joined = base.join(edges, slice_columns(series))
     columns: dict[str, Column] = {}
     if index:
         columns[index] = (F.col("_count_before") + F.row_number().over(window) - 1).cast("long")

@@ -21,6 +21,7 @@ from haltwerk.functions.ordered import (
     neighbours,
     running,
     slice_columns,
+    slice_edges,
     unsliced,
     within_slice,
 )
@@ -30,14 +31,24 @@ DROP_THRESHOLD = 100
 PING_SERIES = Series(keys=("fzg_id",), time="tst_iso")
 
 
-def index_pings(pings: DataFrame, series: Series = PING_SERIES, keep_slices: bool = False) -> DataFrame:
+def _links(pings: DataFrame) -> tuple[dict[str, str], dict[str, str]]:
+    if "tuerkriterium" not in pings.columns:
+        return {"_distanz": "distanz"}, {}
+    return {"_distanz": "distanz", "door_before": "tuerkriterium"}, {"door_after": "tuerkriterium"}
+
+
+def ping_edges(pings: DataFrame, series: Series = PING_SERIES) -> DataFrame:
+    """Slice edges that :func:`index_pings` needs."""
+    door = ["tuerkriterium"] if "tuerkriterium" in pings.columns else []
+    return slice_edges(pings.select(*series.keys, *series.order, "distanz", *door), series, *_links(pings), index=True)
+
+
+def index_pings(
+    pings: DataFrame, series: Series = PING_SERIES, keep_slices: bool = False, edges: DataFrame | None = None
+) -> DataFrame:
     """Add ``row_idx`` (from 0 per vehicle), ``delta``, and the door before and after."""
-    lag = {"_distanz": "distanz"}
-    lead = {}
-    if "tuerkriterium" in pings.columns:
-        lag["door_before"] = "tuerkriterium"
-        lead["door_after"] = "tuerkriterium"
-    indexed = neighbours(pings, series, lag=lag, lead=lead, index="row_idx", keep_slices=keep_slices)
+    lag, lead = _links(pings)
+    indexed = neighbours(pings, series, lag, lead, index="row_idx", keep_slices=keep_slices, edges=edges)
     return indexed.withColumn("delta", F.col("distanz") - F.col("_distanz")).drop("_distanz")
 
 
@@ -65,7 +76,9 @@ def drop_intervals(
 
 
 def _window_size(median: Column, n_min: int, n_max: int) -> Column:
-    return F.greatest(F.lit(n_min), F.least(F.lit(n_max), (median / 2).cast("int"))).cast("int")
+    # least and greatest skip NULL, so no median must be told apart first
+    half = (median / 2).cast("int")
+    return F.when(half.isNotNull(), F.greatest(F.lit(n_min), F.least(F.lit(n_max), half)))
 
 
 def window_size(
@@ -107,14 +120,16 @@ def transitions(indexed: DataFrame) -> DataFrame:
     )
 
 
-def _indexed_distances(pings: DataFrame, drop_threshold: float, series: Series) -> DataFrame:
+def _indexed_distances(
+    pings: DataFrame, drop_threshold: float, series: Series, edges: DataFrame | None = None
+) -> DataFrame:
     """Only key, order and distance, indexed and sliced, with the drop flag.
 
     The window size and the drops beyond a slice edge are both read from here,
     from the same columns, so that Spark shuffles them once.
     """
-    narrow = index_pings(pings.select(*series.keys, *series.order, "distanz"), series, keep_slices=True)
-    return _flag_drops(narrow, drop_threshold)
+    narrow = pings.select(*series.keys, *series.order, "distanz")
+    return _flag_drops(index_pings(narrow, series, keep_slices=True, edges=edges), drop_threshold)
 
 
 def _flag_drops(indexed: DataFrame, drop_threshold: float) -> DataFrame:
@@ -137,7 +152,7 @@ def _edge_drops(narrow: DataFrame, series: Series) -> DataFrame:
 
 def row_intervals(pings: DataFrame, drop_threshold: float = DROP_THRESHOLD, series: Series = PING_SERIES) -> DataFrame:
     """Rows between successive drops of a vehicle, one row per pair, without the vehicle."""
-    narrow = _indexed_distances(pings, drop_threshold, series)
+    narrow = _indexed_distances(pings, drop_threshold, series, ping_edges(pings, series))
     across = _edge_drops(narrow, series).select((F.col("first_drop") - F.col("drop_before")).alias("rows_between"))
     within = narrow.filter("is_drop").select(
         (F.col("row_idx") - F.lag("row_idx").over(within_slice(series))).alias("rows_between")
@@ -154,9 +169,10 @@ def mark_drops(
     ``_open_gap_before``/``_open_gap_after`` are the rows to the nearest
     opening, or to the slice edge where that is nearer.
     """
-    indexed = _flag_drops(transitions(index_pings(pings, series, keep_slices=True)), drop_threshold)
-    edges = _edge_drops(_indexed_distances(pings, drop_threshold, series), series).drop("first_drop")
-    joined = indexed.join(edges, slice_columns(series))
+    edges = ping_edges(pings, series)
+    indexed = _flag_drops(transitions(index_pings(pings, series, keep_slices=True, edges=edges)), drop_threshold)
+    narrow = _indexed_distances(pings, drop_threshold, series, edges)
+    joined = indexed.join(_edge_drops(narrow, series).drop("first_drop"), slice_columns(series))
 
     drop_row = F.when(F.col("is_drop"), F.col("row_idx"))
     open_row = F.when(F.col("opens"), F.col("row_idx"))

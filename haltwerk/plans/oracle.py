@@ -236,12 +236,27 @@ VIEWS: dict[str, str] = {
     "names": """
         SELECT DISTINCT ort_nr_start AS ort_nr, 'Halt ' || ort_nr_start || ' 1' AS stop_name FROM telemetry
         WHERE ort_nr_start < 4""",
+    "visits": """
+        SELECT *, (day_start + to_seconds((l_orderkey * 7 + l_linenumber * 4001) % 72000)) AS arrival_time,
+               CASE WHEN month(day_start) BETWEEN 4 AND 10 AND NOT (year(day_start) < 1996 AND month(day_start) = 10)
+                    THEN INTERVAL 2 HOURS ELSE INTERVAL 1 HOUR END AS zone
+        FROM (SELECT *, CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) AS day_start, l_suppkey AS fzg_id,
+                (l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey AS drop_row_idx, l_suppkey % 13 AS linie,
+                l_suppkey AS fahrt_id, l_partkey % 50 AS ort_nr_start, l_partkey % 40 AS stop_index,
+                CASE WHEN l_returnflag = 'R' THEN 'no_door' WHEN l_quantity > 45 THEN 'multi_door' ELSE 'normal' END
+                  AS stop_status,
+                l_extendedprice / 100 - 200 AS delay_calculated_sec,
+                CASE WHEN l_returnflag = 'R' THEN CAST(-1 AS DOUBLE) ELSE l_quantity * 3 END AS dwell_time,
+                l_quantity * 14 + l_discount * 100 AS travel_time, CAST(l_quantity AS BIGINT) AS besetztgrad
+              FROM lineitem)""",
     "prepared": """
-        SELECT *, CAST(arrival_time + INTERVAL 1 HOUR AS DATE) AS local_date,
-               CAST(hour(arrival_time + INTERVAL 1 HOUR) AS BIGINT) AS hour_of_day,
-               CAST(isodow(arrival_time + INTERVAL 1 HOUR) AS BIGINT) AS day_of_week,
+        SELECT *, CASE WHEN hour(arrival_time) IN (7, 8, 16, 17, 18) THEN 1 ELSE 0 END AS is_peak_hour,
+               CASE WHEN isodow(arrival_time) <= 5 THEN 1 ELSE 0 END AS is_workday,
+               CAST(arrival_time + zone AS DATE) AS local_date,
+               CAST(hour(arrival_time + zone) AS BIGINT) AS hour_of_day,
+               CAST(isodow(arrival_time + zone) AS BIGINT) AS day_of_week,
                CASE WHEN dwell_time = -1 THEN CAST(40 AS DOUBLE) ELSE dwell_time END AS dwell_filled
-        FROM core WHERE dwell_time >= -1""",
+        FROM visits WHERE dwell_time >= -1""",
     "targets": """
         SELECT * FROM (
             SELECT *, lead(travel_time) OVER (PARTITION BY fahrt_id, local_date
@@ -256,7 +271,7 @@ VIEWS: dict[str, str] = {
     "split_days": """
         SELECT service_date, n, CASE WHEN full_day AND r = 1 THEN 'test' WHEN full_day AND r <= 3 THEN 'valid'
                                      ELSE 'train' END AS split
-        FROM (SELECT *, n >= 3 AS full_day, count(*) FILTER (n >= 3) OVER (ORDER BY service_date DESC) AS r
+        FROM (SELECT *, n >= 50 AS full_day, count(*) FILTER (n >= 50) OVER (ORDER BY service_date DESC) AS r
               FROM (SELECT service_date, count(*) AS n FROM matrix GROUP BY 1))""",
     "splits": "SELECT m.*, d.split FROM matrix m JOIN split_days d USING (service_date)",
     "fixed": """

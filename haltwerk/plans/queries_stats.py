@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from haltwerk.functions import ranks, stats
 from haltwerk.operators import ablation, detect, diagnostics, enrich, features, motion, timetable
-from haltwerk.plans.queries_core import clean_core, core, detected, indexed, schedule
-from haltwerk.plans.registry import query
+from haltwerk.plans.queries_core import clean_core, core, detected, indexed, schedule, stored
+from haltwerk.plans.registry import query, settled
 from haltwerk.sources.driver_tables import PINGS, Tables
 
 CALC, REC = "delay_calculated_sec", "delay_recorded_sec"
@@ -88,10 +88,10 @@ def _nearest_by_status(column: str, q: float) -> str:
           row_number() OVER (PARTITION BY stop_status ORDER BY {CALC}) - 1 AS r_calc,
           row_number() OVER (PARTITION BY stop_status ORDER BY {REC}) - 1 AS r_recd,
           count(*) OVER (PARTITION BY stop_status) AS n FROM clean_core)
-        SELECT stop_status, count(*) AS n, round(median(calc), 6) AS calc_median,
+        SELECT stop_status, count(*) AS n, round(median(calc) + 1e-9, 6) AS calc_median,
         {_nearest_by_status("calc", 0.05)} AS calc_p05, {_nearest_by_status("calc", 0.95)} AS calc_p95,
-        round(median(recd), 6) AS recd_median, {_nearest_by_status("recd", 0.05)} AS recd_p05,
-        {_nearest_by_status("recd", 0.95)} AS recd_p95, round(median(diff), 6) AS diff_median FROM ranked GROUP BY 1""",
+        round(median(recd) + 1e-9, 6) AS recd_median, {_nearest_by_status("recd", 0.05)} AS recd_p05,
+        {_nearest_by_status("recd", 0.95)} AS recd_p95, round(median(diff) + 1e-9, 6) AS diff_median FROM ranked GROUP BY 1""",
 )
 def _(t):
     rows = clean_core(t).select("stop_status", F.col(CALC).alias("calc"), F.col(REC).alias("recd"))
@@ -103,7 +103,7 @@ def _(t):
         if c != "diff":
             spread = ranks.quantiles_wide(rows, c, {f"{c}_p05": 0.05, f"{c}_p95": 0.95}, ["stop_status"], "nearest")
             result = result.join(spread, "stop_status", "left")
-    return result
+    return result.withColumns({c: settled(c) for c in ("calc_median", "recd_median", "diff_median")})
 
 
 @query(
@@ -179,11 +179,11 @@ def _(t):
     "binned_mean",
     f""", lim AS (SELECT quantile_cont(CAST({REC} AS DOUBLE), 0.01) AS q0, quantile_cont(CAST({REC} AS DOUBLE), 0.99) AS q1 FROM clean_core)
         SELECT least(floor(({REC} - q0) / ((q1 - q0) / 39)), 38) :: BIGINT AS bin, count(*) AS n,
-        round(avg({CALC} - {REC}), 6) AS mean_y FROM clean_core, lim WHERE {REC} >= q0 AND {REC} < q1 GROUP BY 1""",
+        round(avg({CALC} - {REC}) + 1e-9, 6) AS mean_y FROM clean_core, lim WHERE {REC} >= q0 AND {REC} < q1 GROUP BY 1""",
 )
 def _(t):
     rows = clean_core(t).withColumn("diff", F.col(CALC) - F.col(REC))
-    return stats.binned_mean(rows, REC, "diff", 39)
+    return stats.binned_mean(rows, REC, "diff", 39).select("bin", "n", settled("mean_y"))
 
 
 @query("delay_pearson", f"SELECT count(*) AS n, round(corr({CALC}, {REC}), 6) AS pearson FROM clean_core")
@@ -430,12 +430,12 @@ def _(t):
 @query(
     "zero_dwell_by_line",
     """SELECT linie, count(*) AS total, count(*) FILTER (dwell_time = 0) AS n_zero, count(*) FILTER (dwell_time > 0) AS n_positive,
-       round(median(dwell_time) FILTER (dwell_time > 0), 6) AS median_pos,
+       round(median(dwell_time) FILTER (dwell_time > 0) + 1e-9, 6) AS median_pos,
        round(count(*) FILTER (dwell_time = 0) / count(*) * 100, 1) AS pct_zero
        FROM core WHERE stop_status <> 'no_door' GROUP BY linie""",
 )
 def _(t):
-    return diagnostics.zero_dwell_by_line(core(t))
+    return diagnostics.zero_dwell_by_line(core(t)).withColumn("median_pos", settled("median_pos"))
 
 
 @query(
@@ -560,11 +560,15 @@ def _(t):
 
 # -- model preparation and scores ---------------------------------------------
 
-MIN_ROWS = 3  # the given tables have a few events per day
+MIN_ROWS = 50  # rows that make a day a full day in the given tables
+
+
+def visits(t: Tables) -> DataFrame:
+    return features.add_binary_features(t.stop_visits)
 
 
 def matrix(t: Tables) -> DataFrame:
-    return features.feature_matrix(core(t))
+    return features.feature_matrix(visits(t))
 
 
 def splits(t: Tables) -> DataFrame:
@@ -576,12 +580,12 @@ def splits(t: Tables) -> DataFrame:
     "SELECT fzg_id, drop_row_idx, local_date AS service_date, hour_of_day, day_of_week FROM prepared",
 )
 def _(t):
-    return features.local_time_features(core(t)).select("fzg_id", "drop_row_idx", "service_date", "hour_of_day", "day_of_week")
+    return features.local_time_features(visits(t)).select("fzg_id", "drop_row_idx", "service_date", "hour_of_day", "day_of_week")
 
 
 @query("next_travel_time", "SELECT fzg_id, drop_row_idx, fahrt_id, round(next_travel, 6) AS target FROM targets")
 def _(t):
-    prepared = features.sentinel_fill(features.local_time_features(core(t)))
+    prepared = features.sentinel_fill(features.local_time_features(visits(t)))
     return features.next_travel_time(prepared).select("fzg_id", "drop_row_idx", "fahrt_id", "target")
 
 
@@ -652,13 +656,13 @@ def _(t):
 
 @query("gbt_ablation")
 def _(t):
-    rows = splits(t).cache()
+    rows = stored(t, "splits", lambda: splits(t))
     return ablation.run_ablation(rows, sets=["Full", "Ops-only"], rounds=3, depth=3, max_bins=256)
 
 
 @query("feature_rank")
 def _(t):
-    rows = splits(t).cache()
+    rows = stored(t, "splits", lambda: splits(t))
     names = features.FEATURE_SETS["Full"]
     parts = {s: rows.filter(F.col("split") == s).drop("split") for s in ("train", "valid")}
     model = ablation.fit_gbt(parts["train"], parts["valid"], names, rounds=3, depth=3, max_bins=256)

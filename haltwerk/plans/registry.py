@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,3 +53,9 @@ def presented(df: DataFrame) -> DataFrame:
             column = column.cast("timestamp_ntz")
         columns.append(column.alias(field.name))
     return df.select(*columns)
+
+
+def settled(value: str) -> Column:
+    """Six digits, with means of two microsecond values moved off the rounding boundary."""
+    return F.round(F.col(value) + 1e-9, 6).alias(value)
+

@@ -177,3 +177,32 @@ class Tables:
             (51 + F.col("ort_nr") / 100).alias("lat"),
             (13.7 + F.col("ort_nr") / 100).alias("lon"),
         )
+
+    @property
+    def stop_visits(self) -> DataFrame:
+        """A core-shaped table from the order lines, for the model queries.
+
+        A supplier is a trip, the first of the shipping month its day, and a
+        line a visit at some time of that day.
+        """
+        line = self.table("lineitem")
+        second = (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 4001) % 72000
+        month = F.trunc(F.col("l_shipdate").cast("date"), "month").cast("timestamp")
+        arrival = F.timestamp_micros(F.unix_micros(month) + second * 1_000_000)
+        status = (
+            F.when(F.col("l_returnflag") == "R", "no_door").when(F.col("l_quantity") > 45, "multi_door").otherwise("normal")
+        )
+        return line.select(
+            F.col("l_suppkey").alias("fzg_id"),
+            ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")).alias("drop_row_idx"),
+            arrival.alias("arrival_time"),
+            (F.col("l_suppkey") % 13).alias("linie"),
+            F.col("l_suppkey").alias("fahrt_id"),
+            (F.col("l_partkey") % 50).alias("ort_nr_start"),
+            (F.col("l_partkey") % 40).alias("stop_index"),
+            status.alias("stop_status"),
+            (F.col("l_extendedprice") / 100 - 200).alias("delay_calculated_sec"),
+            F.when(F.col("l_returnflag") == "R", F.lit(-1.0)).otherwise(F.col("l_quantity") * 3).alias("dwell_time"),
+            (F.col("l_quantity") * 14 + F.col("l_discount") * 100).alias("travel_time"),
+            F.col("l_quantity").cast("long").alias("besetztgrad"),
+        )
