@@ -723,7 +723,7 @@ def _(t):
 
 @query(
     "dedup_first",
-    """SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate FROM lineitem
+    """SELECT l_orderkey, l_linenumber :: BIGINT AS l_linenumber, l_partkey, l_shipdate FROM lineitem
        QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_partkey, l_suppkey) = 1""",
 )
 def _(t):
