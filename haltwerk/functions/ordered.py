@@ -1,20 +1,22 @@
 """Ordered series that survive a hot key.
 
 A plain ``Window.partitionBy(vehicle)`` puts a whole vehicle into one task.  If
-one vehicle holds a third of all rows, that task never ends.  Here a series is
-cut into time slices instead: windows run per (key, slice), and one row per
-slice carries what crosses its edge (row count, last and first values, running
-sums).  Only this edge table is windowed per key, and its size per key is the
-time span divided by the slice length, however many rows a key has.
-
-The result equals the plain window for every slice length; the length is a
-tuning knob only.
+one vehicle holds a third of all rows, that task never ends.  Here such a series
+is cut into time slices: windows run per (key, slice), and one row per slice
+carries what crosses its edge (row count, last and first values, running sums).
+Only this edge table is windowed per key, and its size per key is the number of
+slices, however many rows a key has.
+
+:func:`spread_hot` cuts hot keys only and leaves all others to the plain
+window, so that ordinary data pays for one count per key and nothing else.
+Without it every key is cut at a fixed length.  Results are the same for any
+cut; it is a tuning knob only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -25,25 +27,49 @@ SLICE = "_slice"
 
 @dataclass(frozen=True)
 class Series:
-    """Key, order and slice length of an ordered series.
+    """Key, order and slicing of an ordered series.
 
-    ``time`` is a timestamp, or an integer when ``by_number`` is set; then
-    ``slice_length`` counts units of that integer, otherwise seconds.
-    ``ties`` makes the order total.
+    ``time`` is a timestamp and ``ties`` makes the order total.
+    ``slice_length`` in seconds cuts every key, unless ``hot`` lists the keys to
+    cut and their lengths.
     """
 
     keys: tuple[str, ...]
     time: str
     ties: tuple[str, ...] = ()
     slice_length: int = 900
-    by_number: bool = False
+    hot: DataFrame | None = field(default=None, compare=False, repr=False)
 
     @property
     def order(self) -> list[str]:
         return [self.time, *self.ties]
 
     def keyed_by(self, *keys: str) -> "Series":
-        return replace(self, keys=keys)
+        return replace(self, keys=keys, hot=None)
+
+    def over(self, time: str, *ties: str) -> "Series":
+        """The same keys and cut for rows with another time column."""
+        return replace(self, time=time, ties=ties)
+
+
+def spread_hot(df: DataFrame, series: Series, rows_per_slice: int = 2_000_000) -> Series:
+    """Cut only keys with more than ``rows_per_slice`` rows, into slices of about that size.
+
+    ``df`` needs the keys and the time only.  The list of hot keys has at most
+    (all rows / rows_per_slice) entries of a few bytes, which bounds the
+    broadcast: half a million entries for 10^12 rows.
+    """
+    n, micros = F.col("_n"), F.unix_micros("_to") - F.unix_micros("_from")
+    hot = (
+        df.groupBy(*[F.col(k).alias(f"_h_{k}") for k in series.keys])
+        .agg(F.count(F.lit(1)).alias("_n"), F.min(series.time).alias("_from"), F.max(series.time).alias("_to"))
+        .filter(n > rows_per_slice)
+        .select(
+            *[f"_h_{k}" for k in series.keys],
+            F.greatest(F.lit(1), F.floor((micros + 1) / n * rows_per_slice)).cast("long").alias("_length"),
+        )
+    )
+    return replace(series, hot=hot)
 
 
 def _stand_in(data_type: T.DataType) -> Column:
@@ -60,15 +86,24 @@ def _key_names(series: Series) -> list[str]:
 
 
 def sliced(df: DataFrame, series: Series) -> DataFrame:
-    """Add the non-null key columns and the slice number."""
-    if series.by_number:
-        slice_number = F.expr(f"`{series.time}` div {int(series.slice_length)}")
-    else:
-        slice_number = F.expr(f"unix_micros(`{series.time}`) div {int(series.slice_length) * 1_000_000}")
-    columns = {SLICE: F.coalesce(slice_number.cast("long"), F.lit(-(2**62)))}
+    """Add the non-null key columns and the slice number, NULL for keys that are not cut."""
+    columns = {}
     for key, name in zip(series.keys, _key_names(series)):
         columns[name] = F.coalesce(F.col(key), _stand_in(df.schema[key].dataType))
-    return df.withColumns(columns)
+    if series.hot is None:
+        number = F.expr(f"unix_micros(`{series.time}`) div {int(series.slice_length) * 1_000_000}")
+        columns[SLICE] = F.coalesce(number, F.lit(-(2**62)))
+        return df.withColumns(columns)
+    matches = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in series.keys]
+    joined = df.join(F.broadcast(series.hot), matches, "left")
+    number = F.expr(f"coalesce(unix_micros(`{series.time}`) div _length, {-(2**62)})")
+    columns[SLICE] = F.when(F.col("_length").isNotNull(), number)
+    return joined.withColumns(columns).drop("_length", *[f"_h_{k}" for k in series.keys])
+
+
+def cut_rows(df: DataFrame) -> DataFrame:
+    """Rows of series that are cut; only those need an edge table."""
+    return df.filter(F.col(SLICE).isNotNull())
 
 
 def unsliced(df: DataFrame) -> DataFrame:
@@ -130,7 +165,7 @@ def slice_edges(
         carried.append(F.lag("_last").over(per_key).alias("_last"))
     if lead:
         carried.append(F.lead("_first").over(per_key).alias("_first"))
-    return base.groupBy(*part).agg(*found).select(*carried)
+    return cut_rows(base).groupBy(*part).agg(*found).select(*carried)
 
 
 def neighbours(
@@ -152,10 +187,10 @@ def neighbours(
         edges = slice_edges(base, series, lag, lead, index is not None)
 
     window = within_slice(series)
-    joined = base.join(edges, slice_columns(series))
+    joined = base.join(edges, slice_columns(series), "left")
     columns: dict[str, Column] = {}
     if index:
-        columns[index] = (F.col("_count_before") + F.row_number().over(window) - 1).cast("long")
+        columns[index] = (F.coalesce("_count_before", F.lit(0)) + F.row_number().over(window) - 1).cast("long")
     if lag:
         first_row = F.row_number().over(window) == 1
         for name, source in lag.items():
@@ -204,7 +239,7 @@ def running(
     carried += [F.coalesce(F.sum(f"_e_{n}").over(forward), F.lit(0)).alias(f"_e_{n}") for n in sums]
     carried += [F.max(f"_e_{n}").over(forward).alias(f"_e_{n}") for n in latest]
     carried += [F.min(f"_e_{n}").over(backward).alias(f"_e_{n}") for n in upcoming]
-    edges = base.groupBy(*part).agg(*edge_columns).select(*carried)
+    edges = cut_rows(base).groupBy(*part).agg(*edge_columns).select(*carried)
 
     ordered = within_slice(series)
     up_to = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -214,13 +249,13 @@ def running(
     after = within_slice(series, backward=True).rowsBetween(Window.unboundedPreceding, -1)
     columns: dict[str, Column] = {}
     for n in sums:
-        columns[n] = F.col(f"_e_{n}") + F.coalesce(F.sum(f"_x_{n}").over(up_to), F.lit(0))
+        columns[n] = F.coalesce(f"_e_{n}", F.lit(0)) + F.coalesce(F.sum(f"_x_{n}").over(up_to), F.lit(0))
     for n in latest:
         columns[n] = F.coalesce(F.max(f"_x_{n}").over(before), F.col(f"_e_{n}"))
     for n in upcoming:
         columns[n] = F.coalesce(F.min(f"_x_{n}").over(after), F.col(f"_e_{n}"))
     names = [*sums, *latest, *upcoming]
-    result = base.join(edges, part).withColumns(columns)
+    result = base.join(edges, part, "left").withColumns(columns)
     result = result.drop(*[f"_e_{n}" for n in names], *[f"_x_{n}" for n in names])
     return result if keep_slices else unsliced(result)
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from haltwerk.functions.ordered import (
     Series,
     across_slices,
+    cut_rows,
     neighbours,
     running,
     slice_columns,
@@ -140,7 +141,7 @@ def _edge_drops(narrow: DataFrame, series: Series) -> DataFrame:
     """Per slice: its first drop, the last drop before it and the first drop after it."""
     part = slice_columns(series)
     drop_row = F.when(F.col("is_drop"), F.col("row_idx"))
-    found = narrow.groupBy(*part).agg(F.min(drop_row).alias("first_drop"), F.max(drop_row).alias("last_drop"))
+    found = cut_rows(narrow).groupBy(*part).agg(F.min(drop_row).alias("first_drop"), F.max(drop_row).alias("last_drop"))
     forward, backward = across_slices(series)
     return found.select(
         *part,
@@ -172,7 +173,7 @@ def mark_drops(
     edges = ping_edges(pings, series)
     indexed = _flag_drops(transitions(index_pings(pings, series, keep_slices=True, edges=edges)), drop_threshold)
     narrow = _indexed_distances(pings, drop_threshold, series, edges)
-    joined = indexed.join(_edge_drops(narrow, series).drop("first_drop"), slice_columns(series))
+    joined = indexed.join(_edge_drops(narrow, series).drop("first_drop"), slice_columns(series), "left")
 
     drop_row = F.when(F.col("is_drop"), F.col("row_idx"))
     open_row = F.when(F.col("opens"), F.col("row_idx"))

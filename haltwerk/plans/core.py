@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,15 +36,21 @@ def core_table(
     stop_signal: str | None = None,
     tz: str = "UTC",
     workday_max_iso: int = 5,
+    stage: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> DataFrame:
     """Detection, repair, matching and features.
 
     ``stop_signal`` names a stop column; then only events whose drop row
     changes that column are kept.
+
+    ``stage`` may write the stop events and read them back.  They are a tenth
+    of the pings, and a written table spares the matching a second detection
+    for its slice edges and any recomputation after a lost executor.
     """
     events = stop_events(pings, drop_threshold, ping_series)
     if stop_signal is not None:
         events = filter_stop_changed(events, pings, stop_col=stop_signal, series=ping_series)
+    events = stage(events)
     matched = match_and_compute_delay(events, None, expand_timetable(raw_timetable), series=arrival_series)
     return add_binary_features(matched, tz=tz, workday_max_iso=workday_max_iso)
 

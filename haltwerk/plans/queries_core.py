@@ -15,7 +15,7 @@ from haltwerk.plans import core as core_plan
 from haltwerk.plans.registry import query
 from haltwerk.session import checkpoint_folder
 from haltwerk.sources import files
-from haltwerk.sources.driver_tables import ARRIVALS, EVENTS, PINGS, Tables
+from haltwerk.sources.driver_tables import Tables
 
 
 def scratch(t: Tables, name: str) -> str:
@@ -24,15 +24,15 @@ def scratch(t: Tables, name: str) -> str:
 
 
 def indexed(t: Tables) -> DataFrame:
-    return detect.index_pings(t.telemetry, PINGS)
+    return detect.index_pings(t.telemetry, t.pings)
 
 
 def detected(t: Tables) -> DataFrame:
-    return detect.detect_stop_events(t.telemetry, series=PINGS, carry=core_plan.ATTRIBUTES, keep_rescan=True)
+    return detect.detect_stop_events(t.telemetry, series=t.pings, carry=core_plan.ATTRIBUTES, keep_rescan=True)
 
 
 def rescued(t: Tables) -> DataFrame:
-    return core_plan.stop_events(t.telemetry, series=PINGS)
+    return core_plan.stop_events(t.telemetry, series=t.pings)
 
 
 def schedule(t: Tables, inclusive: bool = True) -> DataFrame:
@@ -45,11 +45,23 @@ def nearest(t: Tables) -> DataFrame:
 
 def timed(t: Tables) -> DataFrame:
     kept = matching.crossday_filter(matching.collision_dedup(nearest(t)))
-    return matching.add_travel_time(matching.add_dwell_time(kept), ARRIVALS)
+    return matching.add_travel_time(matching.add_dwell_time(kept), t.arrivals)
+
+
+def written(t: Tables, df: DataFrame, name: str) -> DataFrame:
+    path = scratch(t, name)
+    files.write_parquet(df, path)
+    return t.spark.read.parquet(path)
 
 
 def fresh_core(t: Tables) -> DataFrame:
-    return core_plan.core_table(t.telemetry, t.raw_timetable, ping_series=PINGS, arrival_series=ARRIVALS)
+    return core_plan.core_table(
+        t.telemetry,
+        t.raw_timetable,
+        ping_series=t.pings,
+        arrival_series=t.arrivals,
+        stage=lambda events: written(t, events, "events"),
+    )
 
 
 _STORED: dict[tuple[str, str, str], str] = {}
@@ -143,7 +155,7 @@ def _(t):
 @query("report_csv", "SELECT linie, count(*) AS total_rows, count(*) FILTER (n5) AS n5_count FROM noise GROUP BY linie")
 def _(t):
     path = scratch(t, "report")
-    flagged = quality.noise_flags(t.telemetry, series=PINGS.keyed_by("fahrt_id"))
+    flagged = quality.noise_flags(t.telemetry, series=t.trips)
     files.write_report_csv(quality.noisy_by_line(flagged).select("linie", "total_rows", "n5_count"), path)
     return files.read_csv(t.spark, path, "linie bigint, total_rows bigint, n5_count bigint")
 
@@ -151,7 +163,7 @@ def _(t):
 @query("summary_json", "SELECT count(*) AS total_rows, count(*) FILTER (gap_sec > 86400) AS trip_gap_count FROM trip_steps")
 def _(t):
     path = scratch(t, "summary")
-    files.write_summary_json(quality.gap_summary(t.telemetry, 86_400, PINGS.keyed_by("fahrt_id")), path)
+    files.write_summary_json(quality.gap_summary(t.telemetry, 86_400, t.trips), path)
     return t.spark.read.schema("total_rows bigint, trip_gap_count bigint").json(path)
 
 
@@ -291,7 +303,7 @@ def _(t):
 
 @query("drop_row_attrs", "SELECT fzg_id, drop_row_idx, fahrt_id, ort_nr_start, lage, besetztgrad FROM rescued")
 def _(t):
-    plain = detect.detect_stop_events(t.telemetry, series=PINGS).select("fzg_id", "drop_row_idx")
+    plain = detect.detect_stop_events(t.telemetry, series=t.pings).select("fzg_id", "drop_row_idx")
     return matching.drop_row_attributes(plain, indexed(t), ["fahrt_id", "ort_nr_start", "lage", "besetztgrad"])
 
 
@@ -423,13 +435,13 @@ def _(t):
        WHERE p.row_idx > 0 AND p.ort_nr_start <> p.stop_before""",
 )
 def _(t):
-    kept = detect.filter_stop_changed(rescued(t), t.telemetry, series=PINGS)
+    kept = detect.filter_stop_changed(rescued(t), t.telemetry, series=t.pings)
     return kept.select("fzg_id", "drop_row_idx", "stop_status", "ort_nr_end")
 
 
 @query("patch_merge", "SELECT fzg_id, drop_row_idx, arrival_time, departure_time, stop_status FROM rescued")
 def _(t):
-    labelled = core_plan.stop_events(t.telemetry, series=PINGS, labels=True)
+    labelled = core_plan.stop_events(t.telemetry, series=t.pings, labels=True)
     keys, columns = ["fzg_id", "drop_row_idx"], ["arrival_time", "departure_time", "stop_status"]
     updates = labelled.filter("is_patched").select(*keys, *columns)
     return rescue.patch_merge(detected(t).select(*keys, *columns), updates, keys, columns)
@@ -448,7 +460,7 @@ def _(t):
 )
 def _(t):
     chosen = rescued(t).filter("stop_status = 'no_door'").select("fzg_id", "drop_row_idx")
-    around = diagnostics.event_context(chosen, indexed(t), k=3, series=PINGS)
+    around = diagnostics.event_context(chosen, indexed(t), k=3, series=t.pings)
     return around.select("fzg_id", "drop_row_idx", "offset", "tst_iso", "distanz", "tuerkriterium")
 
 
@@ -462,13 +474,13 @@ def _(t):
 
 @query("drops", "SELECT fzg_id, drop_row_idx AS row_idx, drop_time, round(delta_at_drop, 6) AS delta FROM falls")
 def _(t):
-    falls = detect.drops(t.telemetry, series=PINGS)
+    falls = detect.drops(t.telemetry, series=t.pings)
     return falls.select("fzg_id", "row_idx", F.col("tst_iso").alias("drop_time"), "delta")
 
 
 @query("window_size", "SELECT n FROM size_n")
 def _(t):
-    return detect.window_size(detect.row_intervals(t.telemetry, series=PINGS))
+    return detect.window_size(detect.row_intervals(t.telemetry, series=t.pings))
 
 
 @query(
@@ -477,7 +489,7 @@ def _(t):
        FROM falls WHERE prev_drop IS NOT NULL GROUP BY fzg_id""",
 )
 def _(t):
-    return detect.window_size_by_vehicle(detect.drop_intervals(t.telemetry, series=PINGS))
+    return detect.window_size_by_vehicle(detect.drop_intervals(t.telemetry, series=t.pings))
 
 
 @query("window_bounds", "SELECT fzg_id, drop_row_idx, lo AS window_lo, hi AS window_hi FROM bounds")
@@ -525,7 +537,7 @@ _EVENT_SQL = """fzg_id, drop_row_idx, drop_time, linie, lo AS window_lo, hi AS w
 
 @query("stop_events", f"SELECT {_EVENT_SQL} FROM detected")
 def _(t):
-    return detect.detect_stop_events(t.telemetry, series=PINGS)
+    return detect.detect_stop_events(t.telemetry, series=t.pings)
 
 
 # -- repair -------------------------------------------------------------------
@@ -536,10 +548,10 @@ def _(t):
     "SELECT fzg_id, drop_row_idx, prev_drop, next_drop, max_row FROM falls JOIN max_rows USING (fzg_id)",
 )
 def _(t):
-    falls = detect.drops(t.telemetry, series=PINGS).select(
+    falls = detect.drops(t.telemetry, series=t.pings).select(
         "fzg_id", F.col("row_idx").alias("drop_row_idx"), F.col("tst_iso").alias("drop_time")
     )
-    linked = rescue.drop_neighbours(falls, EVENTS).join(rescue.last_rows(t.telemetry), "fzg_id")
+    linked = rescue.drop_neighbours(falls, t.drops).join(rescue.last_rows(t.telemetry), "fzg_id")
     return linked.select("fzg_id", "drop_row_idx", "prev_drop", "next_drop", "max_row")
 
 
@@ -553,7 +565,7 @@ _CASE_SQL = """SELECT fzg_id, drop_row_idx, arrival_time, departure_time, stop_s
 
 
 def _case(t: Tables, case: int) -> DataFrame:
-    labelled = core_plan.stop_events(t.telemetry, series=PINGS, labels=True)
+    labelled = core_plan.stop_events(t.telemetry, series=t.pings, labels=True)
     return labelled.filter(F.col("rescue_case") == case).select(
         "fzg_id", "drop_row_idx", "arrival_time", "departure_time", "stop_status", "is_patched"
     )
@@ -571,8 +583,8 @@ def _(t):
 
 @query("rescued_stop_events", f"SELECT {_EVENT_SQL} FROM rescued")
 def _(t):
-    events = detect.detect_stop_events(t.telemetry, series=PINGS)
-    return rescue.rescue_dwell_times(events, t.telemetry, series=PINGS)
+    events = detect.detect_stop_events(t.telemetry, series=t.pings)
+    return rescue.rescue_dwell_times(events, t.telemetry, series=t.pings)
 
 
 @query(
@@ -581,7 +593,7 @@ def _(t):
        count(*) FILTER (is_patched) AS patched FROM rescued""",
 )
 def _(t):
-    return rescue.rescue_counts(core_plan.stop_events(t.telemetry, series=PINGS, labels=True))
+    return rescue.rescue_counts(core_plan.stop_events(t.telemetry, series=t.pings, labels=True))
 
 
 # -- timetable and measures ---------------------------------------------------
@@ -703,12 +715,12 @@ def _(t):
     "SELECT fzg_id, row_idx, row_idx > 0 AND ort_nr_start <> stop_before AS ort_changed FROM pings",
 )
 def _(t):
-    return detect.stop_changed(indexed(t), series=PINGS).select("fzg_id", "row_idx", "ort_changed")
+    return detect.stop_changed(indexed(t), series=t.pings).select("fzg_id", "row_idx", "ort_changed")
 
 
 @query("row_index", "SELECT ping_id, fahrt_id, row_number() OVER (PARTITION BY fahrt_id ORDER BY tst_iso, ping_id) - 1 AS row_idx FROM telemetry")
 def _(t):
-    trips = PINGS.keyed_by("fahrt_id")
+    trips = t.trips
     return neighbours(t.telemetry, trips, index="row_idx").select("ping_id", "fahrt_id", "row_idx")
 
 
@@ -718,7 +730,7 @@ def _(t):
          (PARTITION BY fzg_id ORDER BY row_idx) AS BIGINT) END AS drop_segment FROM flagged""",
 )
 def _(t):
-    return detect.drop_segments(t.telemetry, series=PINGS).select("fzg_id", "row_idx", "drop_segment")
+    return detect.drop_segments(t.telemetry, series=t.pings).select("fzg_id", "row_idx", "drop_segment")
 
 
 @query(

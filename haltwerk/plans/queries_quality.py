@@ -9,7 +9,7 @@ from haltwerk.functions import ranks, stats
 from haltwerk.operators import diagnostics, quality
 from haltwerk.plans.queries_core import indexed
 from haltwerk.plans.registry import query
-from haltwerk.sources.driver_tables import TRIPS, Tables
+from haltwerk.sources.driver_tables import Tables
 from haltwerk.sources.files import distinct_rows
 
 GAP = 86_400  # pings of these tables are hours apart
@@ -17,11 +17,11 @@ LINE_KEYS = ("l_orderkey", "l_linenumber")
 
 
 def flagged(t: Tables) -> DataFrame:
-    return quality.noise_flags(t.telemetry, series=TRIPS)
+    return quality.noise_flags(t.telemetry, series=t.trips)
 
 
 def intervals(t: Tables) -> DataFrame:
-    return quality.sampling_intervals(t.telemetry.select("fahrt_id", "fzg_id", "tst_iso", "ping_id"), TRIPS)
+    return quality.sampling_intervals(t.telemetry.select("fahrt_id", "fzg_id", "tst_iso", "ping_id"), t.trips)
 
 
 # Only the columns of the line key take part, so that equal rows occur.
@@ -121,7 +121,7 @@ def _(t):
 
 @query("trip_gaps", f"SELECT fahrt_id, fzg_id, linie, tst_iso, gap_sec FROM trip_steps WHERE gap_sec > {GAP}")
 def _(t):
-    return quality.trip_gaps(t.telemetry, GAP, TRIPS).select("fahrt_id", "fzg_id", "linie", "tst_iso", "gap_sec")
+    return quality.trip_gaps(t.telemetry, GAP, t.trips).select("fahrt_id", "fzg_id", "linie", "tst_iso", "gap_sec")
 
 
 @query(
@@ -131,7 +131,7 @@ def _(t):
         round(count(*) FILTER (gap_sec > {GAP}) / count(*), 6) AS trip_gap_rate FROM trip_steps""",
 )
 def _(t):
-    return quality.gap_summary(t.telemetry, GAP, TRIPS)
+    return quality.gap_summary(t.telemetry, GAP, t.trips)
 
 
 _NEAREST = "min(v) FILTER (r = floor({q} * (n - 1) + 0.5))"
@@ -164,7 +164,7 @@ def _(t):
     f"SELECT CAST(hour(tst_iso) AS BIGINT) AS hour_of_day, count(*) AS count FROM trip_steps WHERE gap_sec > {GAP} GROUP BY 1",
 )
 def _(t):
-    gaps = quality.trip_gaps(t.telemetry.select("fahrt_id", "tst_iso", "ping_id"), GAP, TRIPS)
+    gaps = quality.trip_gaps(t.telemetry.select("fahrt_id", "tst_iso", "ping_id"), GAP, t.trips)
     return gaps.groupBy(F.hour("tst_iso").alias("hour_of_day")).agg(F.count(F.lit(1)).alias("count"))
 
 
@@ -247,8 +247,8 @@ def _(t):
 @query("quality_summary")
 def _(t):
     redundant = quality.redundant_summary(t.table("lineitem"), LINE_KEYS, "l_returnflag")
-    missing = quality.missing_summary(t.telemetry, gap_threshold_sec=GAP, series=TRIPS)
-    noisy = quality.noisy_summary(t.telemetry, series=TRIPS)
+    missing = quality.missing_summary(t.telemetry, gap_threshold_sec=GAP, series=t.trips)
+    noisy = quality.noisy_summary(t.telemetry, series=t.trips)
     documents = [("A1", redundant), ("A2", missing), ("A3", noisy)]
     rows = [d.select(F.lit(n).alias("report"), F.to_json(F.struct("*")).alias("document")) for n, d in documents]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])

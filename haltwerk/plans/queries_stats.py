@@ -9,7 +9,7 @@ from haltwerk.functions import ranks, stats
 from haltwerk.operators import ablation, detect, diagnostics, enrich, features, motion, timetable
 from haltwerk.plans.queries_core import clean_core, core, detected, indexed, schedule, stored
 from haltwerk.plans.registry import query, settled
-from haltwerk.sources.driver_tables import PINGS, Tables
+from haltwerk.sources.driver_tables import Tables
 
 CALC, REC = "delay_calculated_sec", "delay_recorded_sec"
 QS = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
@@ -115,7 +115,7 @@ def _(t):
 def _(t):
     from haltwerk.functions.ordered import neighbours
 
-    stepped = neighbours(t.telemetry.select("fahrt_id", "tst_iso", "ping_id", "distanz"), PINGS.keyed_by("fahrt_id"), lag={"before": "distanz"})
+    stepped = neighbours(t.telemetry.select("fahrt_id", "tst_iso", "ping_id", "distanz"), t.trips, lag={"before": "distanz"})
     step = F.col("distanz") - F.col("before")
     falls = stepped.filter(step < 0).select((F.col("distanz") - step).alias("before_drop"))
     return stats.threshold_ladder(falls, "before_drop", [10, 25, 50, 75, 100, 150, 200])
@@ -139,7 +139,7 @@ def _(t):
        SELECT least(floor((drop_size - lo) / (hi - lo) * 60), 59) :: BIGINT AS bin, count(*) AS count FROM kept, ends GROUP BY 1""",
 )
 def _(t):
-    return stats.clipped_histogram(diagnostics.rows_to_close(t.telemetry, series=PINGS), "drop_size", 60)
+    return stats.clipped_histogram(diagnostics.rows_to_close(t.telemetry, series=t.pings), "drop_size", 60)
 
 
 @query(
@@ -160,7 +160,7 @@ def _(t):
        SELECT has_close, round(drop_size, 6) AS value, round(c, 6) AS cdf FROM ranked GROUP BY ALL""",
 )
 def _(t):
-    closings = diagnostics.rows_to_close(t.telemetry, series=PINGS)
+    closings = diagnostics.rows_to_close(t.telemetry, series=t.pings)
     classed = closings.select(F.col("rows_to_close").isNotNull().alias("has_close"), "drop_size")
     return ranks.ecdf(classed, "drop_size", ["has_close"])
 
@@ -245,13 +245,13 @@ def _(t):
 
 def _speeds(t: Tables) -> DataFrame:
     used = t.telemetry.select("fzg_id", "tst_iso", "ping_id", "distanz", "tuerkriterium", "pos_lat", "pos_lon")
-    return motion.gps_speed(motion.odometer_speed(motion.with_steps(used, PINGS)))
+    return motion.gps_speed(motion.odometer_speed(motion.with_steps(used, t.pings)))
 
 
 @query("odometer_speed", "SELECT ping_id, round(speed_ms, 6) AS speed_ms FROM speeds")
 def _(t):
     used = t.telemetry.select("fzg_id", "tst_iso", "ping_id", "distanz")
-    return motion.odometer_speed(motion.with_steps(used, PINGS)).select("ping_id", "speed_ms")
+    return motion.odometer_speed(motion.with_steps(used, t.pings)).select("ping_id", "speed_ms")
 
 
 @query("gps_speed", "SELECT ping_id, round(gps_dist_m, 3) AS gps_dist_m, round(gps_speed_ms, 5) AS gps_speed_ms FROM speeds")
@@ -306,7 +306,7 @@ def _(t):
        FROM marked WHERE speed_ms = 0 GROUP BY 1, 2""",
 )
 def _(t):
-    return motion.stationary_runs(t.telemetry.select("fzg_id", "tst_iso", "ping_id", "distanz"), series=PINGS)
+    return motion.stationary_runs(t.telemetry.select("fzg_id", "tst_iso", "ping_id", "distanz"), series=t.pings)
 
 
 # -- diagnostics --------------------------------------------------------------
@@ -314,7 +314,7 @@ def _(t):
 
 @query("rows_to_close", "SELECT fzg_id, drop_row_idx, rows_to_close, round(drop_size, 6) AS drop_size FROM closings")
 def _(t):
-    return diagnostics.rows_to_close(t.telemetry, series=PINGS)
+    return diagnostics.rows_to_close(t.telemetry, series=t.pings)
 
 
 @query(
@@ -324,7 +324,7 @@ def _(t):
        FROM closings, (SELECT unnest(range(1, 41)) AS n) GROUP BY n""",
 )
 def _(t):
-    return diagnostics.window_coverage(diagnostics.rows_to_close(t.telemetry, series=PINGS))
+    return diagnostics.window_coverage(diagnostics.rows_to_close(t.telemetry, series=t.pings))
 
 
 @query(
@@ -332,7 +332,7 @@ def _(t):
     linear_sql("(SELECT rows_to_close IS NOT NULL AS has_close, drop_size FROM closings)", "drop_size", "has_close", (0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0)),
 )
 def _(t):
-    return diagnostics.drop_size_by_close(diagnostics.rows_to_close(t.telemetry, series=PINGS))
+    return diagnostics.drop_size_by_close(diagnostics.rows_to_close(t.telemetry, series=t.pings))
 
 
 @query(
@@ -343,7 +343,7 @@ def _(t):
 def _(t):
     from haltwerk.functions.scalars import whole_seconds_between
 
-    linked = detect.drop_intervals(t.telemetry, series=PINGS)
+    linked = detect.drop_intervals(t.telemetry, series=t.pings)
     return linked.select(
         "fzg_id", "row_idx", "prev_drop", "next_drop", "rows_between", whole_seconds_between("tst_iso", "prev_time").alias("seconds_between")
     )
@@ -380,7 +380,7 @@ def _(t):
 
 
 def _signals(t: Tables) -> DataFrame:
-    return diagnostics.stop_signal(t.telemetry, series=PINGS)
+    return diagnostics.stop_signal(t.telemetry, series=t.pings)
 
 
 @query(

@@ -34,6 +34,8 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "haltw
         .config("spark.driver.memory", os.environ.get("HALTWERK_DRIVER_MEMORY", "12g"))
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.ui.enabled", "false")
+        # call sites of column functions cost several round trips each
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in RUNTIME_CONF.items():
         builder = builder.config(key, value)

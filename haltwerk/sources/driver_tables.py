@@ -7,18 +7,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haltwerk.functions.ordered import Series
+from haltwerk.functions.ordered import Series, spread_hot
 from haltwerk.session import configure
 
-# A vehicle of these tables sends some four pings a day, so slices are long.
-SLICE_SECONDS = 5 * 86_400
-PINGS = Series(keys=("fzg_id",), time="tst_iso", ties=("ping_id",), slice_length=SLICE_SECONDS)
-TRIPS = PINGS.keyed_by("fahrt_id")
-EVENTS = Series(keys=("fzg_id",), time="drop_time", ties=("drop_row_idx",), slice_length=SLICE_SECONDS)
-ARRIVALS = Series(keys=("fzg_id",), time="arrival_time", ties=("drop_row_idx",), slice_length=SLICE_SECONDS)
+# Keys with more rows than this are cut into slices.
+HOT_ROWS = 2_000_000
+
+
+def _trip() -> Column:
+    return F.col("user_id") * 10 + F.expr("(day(ts) - 1) div 10")
 
 
 @dataclass(frozen=True)
@@ -38,6 +38,28 @@ class Tables:
     def events(self) -> DataFrame:
         return self.table("events").withColumn("ts", F.col("ts").cast("timestamp"))
 
+    def _spread(self, key: Column) -> Series:
+        """Ping series by a key, its hot keys found in a scan of key and time."""
+        narrow = self.events.select(key, F.col("ts").alias("tst_iso"))
+        return spread_hot(narrow, Series(keys=tuple(narrow.columns[:1]), time="tst_iso", ties=("ping_id",)), HOT_ROWS)
+
+    @property
+    def pings(self) -> Series:
+        return self._spread(F.col("user_id").alias("fzg_id"))
+
+    @property
+    def trips(self) -> Series:
+        return self._spread(_trip().alias("fahrt_id"))
+
+    @property
+    def drops(self) -> Series:
+        """Stop events by drop; a vehicle has fewer of them than pings, so its cut serves."""
+        return self.pings.over("drop_time", "drop_row_idx")
+
+    @property
+    def arrivals(self) -> Series:
+        return self.pings.over("arrival_time", "drop_row_idx")
+
     @property
     def telemetry(self) -> DataFrame:
         k = F.get_json_object("props", "$.k").cast("long")
@@ -49,7 +71,7 @@ class Tables:
             F.col("value").alias("distanz"),
             F.col("event_type").isin("purchase", "click").alias("tuerkriterium"),
             (F.col("user_id") % 13).alias("linie"),
-            (F.col("user_id") * 10 + F.expr("(day(ts) - 1) div 10")).alias("fahrt_id"),
+            _trip().alias("fahrt_id"),
             "k",
             (F.col("k") % 5).alias("ort_nr_start"),
             ((F.col("k") + 1) % 5).alias("ort_nr_ziel"),

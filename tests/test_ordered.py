@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from haltwerk.functions import ranks, stats
-from haltwerk.functions.ordered import Series, neighbours, running
+from haltwerk.functions.ordered import Series, neighbours, running, spread_hot
 
 
 @pytest.fixture(scope="module")
@@ -23,9 +23,15 @@ def rows(spark):
     return spark.createDataFrame(data, "k bigint, t timestamp, id bigint, v bigint").repartition(7)
 
 
-@pytest.mark.parametrize("length", [1, 60, 3600, 10**7])
+def cut(rows, length):
+    """A fixed length, or only keys with more rows than given."""
+    s = Series(keys=("k",), time="t", ties=("id",), slice_length=abs(length))
+    return s if length > 0 else spread_hot(rows, s, rows_per_slice=-length)
+
+
+@pytest.mark.parametrize("length", [1, 60, 3600, 10**7, -5, -500, -10**6])
 def test_neighbours_equal_plain_window(rows, length):
-    s = Series(keys=("k",), time="t", ties=("id",), slice_length=length)
+    s = cut(rows, length)
     got = neighbours(rows, s, lag={"a": "v"}, lead={"b": "v"}, index="i")
     w = Window.partitionBy("k").orderBy("t", "id")
     plain = rows.select(
@@ -35,9 +41,9 @@ def test_neighbours_equal_plain_window(rows, length):
     assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, plain.select(columns).collect()))
 
 
-@pytest.mark.parametrize("length", [1, 600, 10**7])
+@pytest.mark.parametrize("length", [1, 600, 10**7, -5, -500, -10**6])
 def test_running_equals_plain_window(rows, length):
-    s = Series(keys=("k",), time="t", ties=("id",), slice_length=length)
+    s = cut(rows, length)
     w = Window.partitionBy("k").orderBy("t", "id")
     numbered = rows.withColumn("i", F.row_number().over(w))
     mark = F.when(F.col("v") > 3, F.col("i"))
@@ -60,7 +66,7 @@ def test_hot_key_is_spread_over_tasks(spark):
         F.timestamp_seconds(F.col("id")).alias("t"),
         "id",
     )
-    s = Series(keys=("k",), time="t", ties=("id",), slice_length=100)
+    s = spread_hot(pings, Series(keys=("k",), time="t", ties=("id",)), rows_per_slice=200)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         sizes = [

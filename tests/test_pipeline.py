@@ -10,7 +10,7 @@ from haltwerk.functions.ordered import Series
 from haltwerk.operators import ablation, diagnostics, enrich, features, matching, motion, quality, timetable
 from haltwerk.plans import core as core_plan
 from haltwerk.sources import files
-from haltwerk.sources.driver_tables import ARRIVALS, PINGS, Tables
+from haltwerk.sources.driver_tables import Tables
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -201,11 +201,18 @@ def test_event_context_reaches_over_slices(spark):
 
 def test_core_plan_stays_on_the_engine(spark):
     t = Tables(spark, SMALL)
-    core = core_plan.core_table(t.telemetry, t.raw_timetable, ping_series=PINGS, arrival_series=ARRIVALS)
+    core = core_plan.core_table(t.telemetry, t.raw_timetable, ping_series=t.pings, arrival_series=t.arrivals)
     plan = core._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_entry_points_agree(spark):
+    import __spark_entry__ as entry
+
+    assert entry.entry(spark).columns[:2] == ["fzg_id", "drop_row_idx"]
+    assert set(entry.oracle_sql()) < set(entry.queries())
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     t = Tables(spark, SMALL)
     plan = t.events.filter("user_id = 7 and value > 10").select("event_id")._jdf.queryExecution().executedPlan().toString()
@@ -215,20 +222,20 @@ def test_filters_and_columns_reach_the_scan(spark):
 
 def test_core_variants_and_invariants(spark, tmp_path):
     t = Tables(spark, SMALL)
-    core = core_plan.core_table(t.telemetry, t.raw_timetable, ping_series=PINGS, arrival_series=ARRIVALS)
+    core = core_plan.core_table(t.telemetry, t.raw_timetable, ping_series=t.pings, arrival_series=t.arrivals)
     core_plan.write_core(core, str(tmp_path / "core"))
     back = spark.read.parquet(str(tmp_path / "core"))
     assert back.groupBy("fzg_id", "fahrt_id", "ort_nr_start", "service_date").count().filter("count > 1").count() == 0
     assert back.filter("(stop_status = 'no_door') <> (dwell_time = -1)").count() == 0
     changed = core_plan.core_table(
-        t.telemetry, t.raw_timetable, ping_series=PINGS, arrival_series=ARRIVALS, stop_signal="ort_nr_start"
+        t.telemetry, t.raw_timetable, ping_series=t.pings, arrival_series=t.arrivals, stop_signal="ort_nr_start"
     )
     assert 0 < changed.count() <= back.count()
 
 
 def test_summaries_are_one_document(spark, tmp_path):
     t = Tables(spark, SMALL)
-    summary = quality.noisy_summary(t.telemetry, series=PINGS.keyed_by("fahrt_id"))
+    summary = quality.noisy_summary(t.telemetry, series=t.trips)
     files.write_summary_json(summary, str(tmp_path / "noise"))
     row = spark.read.json(str(tmp_path / "noise")).collect()
     assert len(row) == 1 and row[0].total_rows == 1000 and len(row[0].noisy_by_line) == 13
