@@ -84,7 +84,7 @@ def test_matching_rules(spark):
     assert core[1].delay_calculated_sec == 6000 and core[1].dwell_time == 60
     assert core[2].stop_index == 3 and core[2].travel_time == 23_340
     assert core[4].travel_time == 3870  # since row 2; row 3 lost the collision
-    assert core[6].travel_time == 6900  # the unmatched row 5 is skipped
+    assert core[6].travel_time == 6901  # since row 4; the unmatched row 5 is skipped
     assert core[8].dwell_time == -1 and core[8].travel_time == 7199
     assert core[1].travel_time is None
 
