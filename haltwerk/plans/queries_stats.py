@@ -26,6 +26,11 @@ def linear_sql(view: str, value: str, by: str = "", qs=QS) -> str:
     )
 
 
+def closings(t: Tables) -> DataFrame:
+    """Written table of closings per drop; its analyses pass over it several times."""
+    return stored(t, "closings", lambda: diagnostics.rows_to_close(t.telemetry, series=t.pings))
+
+
 # -- groups and quantiles -----------------------------------------------------
 
 
@@ -139,7 +144,7 @@ def _(t):
        SELECT least(floor((drop_size - lo) / (hi - lo) * 60), 59) :: BIGINT AS bin, count(*) AS count FROM kept, ends GROUP BY 1""",
 )
 def _(t):
-    return stats.clipped_histogram(diagnostics.rows_to_close(t.telemetry, series=t.pings), "drop_size", 60)
+    return stats.clipped_histogram(closings(t), "drop_size", 60)
 
 
 @query(
@@ -160,7 +165,7 @@ def _(t):
        SELECT has_close, round(drop_size, 6) AS value, round(c, 6) AS cdf FROM ranked GROUP BY ALL""",
 )
 def _(t):
-    closings = diagnostics.rows_to_close(t.telemetry, series=t.pings)
+    closings = closings(t)
     classed = closings.select(F.col("rows_to_close").isNotNull().alias("has_close"), "drop_size")
     return ranks.ecdf(classed, "drop_size", ["has_close"])
 
@@ -324,7 +329,7 @@ def _(t):
        FROM closings, (SELECT unnest(range(1, 41)) AS n) GROUP BY n""",
 )
 def _(t):
-    return diagnostics.window_coverage(diagnostics.rows_to_close(t.telemetry, series=t.pings))
+    return diagnostics.window_coverage(closings(t))
 
 
 @query(
@@ -332,7 +337,7 @@ def _(t):
     linear_sql("(SELECT rows_to_close IS NOT NULL AS has_close, drop_size FROM closings)", "drop_size", "has_close", (0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0)),
 )
 def _(t):
-    return diagnostics.drop_size_by_close(diagnostics.rows_to_close(t.telemetry, series=t.pings))
+    return diagnostics.drop_size_by_close(closings(t))
 
 
 @query(
