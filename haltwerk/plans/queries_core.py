@@ -583,8 +583,7 @@ def _(t):
 
 @query("rescued_stop_events", f"SELECT {_EVENT_SQL} FROM rescued")
 def _(t):
-    events = detect.detect_stop_events(t.telemetry, series=t.pings)
-    return rescue.rescue_dwell_times(events, t.telemetry, series=t.pings)
+    return rescued(t).select("fzg_id", *detect.EVENT_COLUMNS)
 
 
 @query(

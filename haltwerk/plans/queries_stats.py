@@ -165,8 +165,7 @@ def _(t):
        SELECT has_close, round(drop_size, 6) AS value, round(c, 6) AS cdf FROM ranked GROUP BY ALL""",
 )
 def _(t):
-    closings = closings(t)
-    classed = closings.select(F.col("rows_to_close").isNotNull().alias("has_close"), "drop_size")
+    classed = closings(t).select(F.col("rows_to_close").isNotNull().alias("has_close"), "drop_size")
     return ranks.ecdf(classed, "drop_size", ["has_close"])
 
 
