@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haltwerk.llm import quality_classifier, quality_rules
+from haltwerk.llm import deleted_interpolation, minmax_dedup, quality_classifier, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -21,6 +21,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_deleted_interpolation(spark: SparkSession, folder: str) -> DataFrame:
+    return deleted_interpolation.score(table(spark, folder, "documents"))
+
+
 @query
 def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.classify(table(spark, folder, "documents"))
@@ -32,3 +37,8 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "good_probability"
     )
+
+
+@query
+def op7_minmax_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minmax_dedup.near_duplicates(table(spark, folder, "documents"))
