@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 
-MEMORY = 500_000
+MEMORY = 250_000
 LONG = 256  # longer chunks are not remembered
 SPAN = 256  # texts handled at once
 

@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from haltwerk.llm import deleted_interpolation, minmax_dedup, quality_classifier, quality_rules
+from haltwerk.llm import (
+    deleted_interpolation,
+    minmax_dedup,
+    quality_classifier,
+    quality_rules,
+    scratch,
+    separator_scan,
+    token_files,
+    viterbi,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -26,6 +37,12 @@ def op1_deleted_interpolation(spark: SparkSession, folder: str) -> DataFrame:
     return deleted_interpolation.score(table(spark, folder, "documents"))
 
 
+@query
+def op3_streaming_viterbi(spark: SparkSession, folder: str) -> DataFrame:
+    rows = viterbi.encoded(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return rows.select("doc_id", "n_tokens", "ids", "same")
+
+
 @query
 def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.classify(table(spark, folder, "documents"))
@@ -42,3 +59,19 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_minmax_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minmax_dedup.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op8_separator_scan(spark: SparkSession, folder: str) -> DataFrame:
+    end = 50256
+    streams = separator_scan.flat(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end)
+    streams = scratch.written(streams, "streams")
+    return separator_scan.named(separator_scan.scan(streams, end), streams).select("doc_id", "file", "ordinal", "start", "n_tokens")
+
+
+@query
+def op10_mixing_coder(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{scratch.shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    token_files.write(table(spark, folder, "documents"), path, tokenizer, end_id=2, alphabet=49408)
+    return token_files.digest(spark.read.parquet(path)).select("doc_id", "start", "n_tokens", "ids_crc32")
