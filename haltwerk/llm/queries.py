@@ -7,15 +7,18 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from haltwerk.llm import (
     deleted_interpolation,
+    html_content,
     minmax_dedup,
     quality_classifier,
     quality_rules,
     scratch,
     separator_scan,
     token_files,
+    toxicity_chain,
     viterbi,
 )
 
@@ -61,6 +64,12 @@ def op7_minmax_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minmax_dedup.near_duplicates(table(spark, folder, "documents"))
 
 
+@query
+def op6_html_content(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return html_content.extract(pages, html_content.fitted(pages))
+
+
 @query
 def op8_separator_scan(spark: SparkSession, folder: str) -> DataFrame:
     end = 50256
@@ -69,6 +78,20 @@ def op8_separator_scan(spark: SparkSession, folder: str) -> DataFrame:
     return separator_scan.named(separator_scan.scan(streams, end), streams).select("doc_id", "file", "ordinal", "start", "n_tokens")
 
 
+# fixed values: what the labels call toxic, told apart by kind
+NAME_CALLING = "idiot|moron|loser|clown|scum"
+CONTEMPT = "stupid|pathetic|worthless|disgusting|trash"
+
+
+@query
+def op9_toxicity_chain(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    kinds = {"name_calling": NAME_CALLING, "contempt": CONTEMPT}
+    derived = {k: (F.col("toxic") == 1) & F.col("text").rlike(rf"(?i)\b({words})\b") for k, words in kinds.items()}
+    chain = toxicity_chain.fit(docs, table(spark, folder, "labels"), (*kinds, "toxic"), derived)
+    return toxicity_chain.score(docs, chain)
+
+
 @query
 def op10_mixing_coder(spark: SparkSession, folder: str) -> DataFrame:
     path = f"{scratch.shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
