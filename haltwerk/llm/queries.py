@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haltwerk.llm import (
+    decontaminate,
     deleted_interpolation,
     html_content,
     minmax_dedup,
@@ -40,6 +41,11 @@ def op1_deleted_interpolation(spark: SparkSession, folder: str) -> DataFrame:
     return deleted_interpolation.score(table(spark, folder, "documents"))
 
 
+@query
+def op2_seed_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query
 def op3_streaming_viterbi(spark: SparkSession, folder: str) -> DataFrame:
     rows = viterbi.encoded(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
