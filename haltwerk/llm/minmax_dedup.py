@@ -14,12 +14,15 @@ sets' Jaccard similarity reaches ``percent``, confirmed on full sets.
 3. A band is the two values of two permutations.  A pair of similarity 0.8 shares
    none of the 32 bands with probability 5e-8.
 4. Members of a band's bucket are compared with the bucket's least member, which
-   is linear in the bucket.  Components of the confirmed links are taken, and
-   only buckets that still hold several components go on: small ones compare
-   all members of different components, large ones some members of their rarest
-   component with all others, and so on until no two members of different
-   components in any bucket are left to compare.  No pair inside a component is
-   compared, for it could not change the result.
+   is linear in the bucket, and components of the confirmed links are taken.
+   No pair inside a component needs comparing, so only buckets that still hold
+   several components go on: small ones compare all members of different
+   components.  Members of larger ones are grouped anew by their rarest
+   shingles, of which two similar sets must share one; those groups are small,
+   for what nearly similar copies have in common is not rare.  Should such a
+   group be large all the same, some members of its rarest component are
+   compared with all others, and so on until no two members of different
+   components of any group are left to compare.
 
 Rows that share an id count as one document; rows with a NULL id belong to the
 component of their class, are never kept, and are no component of their own.
@@ -184,12 +187,60 @@ def _sides(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, "key").where("label <> label_a").select("a", "size_a", "b", "size_b")
 
 
+def _prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Rows (key, node, size) for the rarest shingles of each document.
+
+    Two sets that reach the similarity share one of the first size -
+    ceil(percent * size) + 1 shingles of either, whatever order all sets are
+    sorted in.  The order here is by frequency, so that what a document shares
+    with few others comes first.  Frequencies are counted in a table of fixed
+    size, where shingles may collide: that costs candidates, never a pair.
+    """
+    parts, each = 1 << 6, 1 << 14
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(parts * each, np.int64)
+        for batch in batches:
+            texts = texts_of(batch)
+            for a, b in slices(texts):
+                gram, _ = sets(split(texts[a:b]), words)
+                total += np.bincount((gram % np.uint64(parts * each)).astype(np.int64), minlength=parts * each)
+        rows = [packed.planes(x) for x in total.reshape(parts, each).astype(np.uint64)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts), pa.int32()), pa.array(rows, pa.binary())], names=["part", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(packed.numbers(c, each) for c in table.column("counts").to_pylist())
+        return pa.table({"part": table.column("part")[:1], "counts": pa.array([packed.planes(total)], pa.binary())})
+
+    kinds = "part int, counts binary"
+    sums = sorted(map(tuple, docs.select("text").mapInArrow(count, kinds).groupBy("part").applyInArrow(add, kinds).collect()))  # a table of fixed size
+    frequency = np.concatenate([np.zeros(0, np.uint64), *(packed.numbers(bytes(c), each) for _, c in sums)]).astype(np.int32)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = texts_of(batch)
+            for a, b in slices(texts):
+                gram, starts = sets(split(texts[a:b]), words)
+                size = np.diff(starts)
+                doc = np.repeat(np.arange(len(size)), size)
+                order = np.lexsort((gram, frequency[(gram % np.uint64(parts * each)).astype(np.int64)], doc))
+                rank = np.arange(len(gram)) - starts[doc]
+                kept = rank < (size - -(-percent * size // 100) + 1)[doc]
+                node = batch.column(0)[a:b].take(pa.array(doc[kept]))
+                yield pa.RecordBatch.from_arrays([pa.array(gram[order][kept].view(np.int64)), node, pa.array(size[doc[kept]])], names=["key", "node", "size"])
+
+    return docs.select("doc_id", "text").mapInArrow(first, f"key bigint, node {kind}, size bigint")
+
+
 def _links(bands: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Confirmed links enough to connect every two similar nodes."""
     least = bands.groupBy("key").agg(F.min(F.struct("node", "size")).alias("least"), F.count(F.lit(1)).alias("members"))
     least = least.where("members > 1").select("key", F.col("least.node").alias("a"), F.col("least.size").alias("size_a"))
     shared = scratch.written(bands.join(least, "key").where("node <> a").select("key", "node", "size", "a", "size_a"), "buckets")
     first = shared.select("a", "size_a", F.col("node").alias("b"), F.col("size").alias("size_b"))
+    met = shared.select(F.explode(F.array("a", "node")).alias("node")).distinct()
+    docs = scratch.written(docs.join(met, docs["doc_id"] == met["node"], "left_semi"), "involved")
     links = scratch.written(_confirmed(_may_link(first, percent), docs, words, percent), "links")
     rows, turn = shared.select("key", "node", "size"), 0
     while True:
@@ -201,14 +252,21 @@ def _links(bands: DataFrame, docs: DataFrame, words: int, percent: int) -> DataF
         if rows.isEmpty():
             return links
         small, large = rows.where(F.col("members") <= SMALL), rows.where(F.col("members") > SMALL)
-        # of a large bucket, about SMALL members of its rarest component meet all members of others
-        drawn = F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("rare.n") / SMALL)) == 0
-        chosen = (F.col("label") == F.col("rare.label")) & drawn
-        pairs = _sides(small, small).unionByName(_sides(large.where(chosen), large))
+        pairs = _sides(small, small)
+        if turn == 1:
+            rest = large.select("node").distinct()
+        else:
+            # of a large group, about SMALL members of its rarest component meet all members of others
+            drawn = F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("rare.n") / SMALL)) == 0
+            chosen = (F.col("label") == F.col("rare.label")) & drawn
+            pairs = pairs.unionByName(_sides(large.where(chosen), large))
         pairs = scratch.written(_may_link(pairs, percent), "pairs")
         if not pairs.isEmpty():
             links = scratch.written(links.unionByName(_confirmed(pairs, docs, words, percent)), "links")
-        rows = large.where(~chosen).select("key", "node", "size")
+        if turn == 1:
+            rows = scratch.written(_prefixes(docs.join(rest, docs["doc_id"] == rest["node"], "left_semi"), words, percent), "prefixes")
+        else:
+            rows = large.where(~chosen).select("key", "node", "size")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
