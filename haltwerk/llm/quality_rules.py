@@ -188,3 +188,27 @@ def apply_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         .withColumn("kept", ~F.col("base_failed") & (F.col("good_probability") >= threshold))
         .drop("pattern")
     )
+
+
+def good(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows that ``apply_rules`` keeps, with all their columns, decided row by row without a join.
+
+    The label model is fitted on the votes of all rows first; a second pass
+    votes again and filters.
+    """
+    votes = measured(docs, id_column, text_column).groupBy("pattern").count()
+    rows = sorted(map(tuple, votes.collect()))  # at most 3^rules rows
+    model = weak_labels.fit(votes_of(np.array([r[0] for r in rows], np.int64), len(RULES)), np.array([r[1] for r in rows], float))
+    at = docs.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).fill_null("")
+            keep = np.zeros(batch.num_rows, bool)
+            for a, b in slices(texts):
+                m = measures(split(texts[a:b], lower=False))
+                failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+                keep[a:b] = ~failed & (model.posterior(vote(m)) >= threshold)
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
