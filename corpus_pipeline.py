@@ -2,38 +2,61 @@
 
 Each stage reads what the stage before it wrote, works on all of its rows, and
 passes on whole documents with all their columns; the last one encodes them.
+
+NULL and empty texts fail the base quality rules and leave at the first stage;
+an empty table stays empty through all stages.  Rows that share an id are one
+document for the duplicate stage: they stay or go together.  Rows with a NULL
+id are dropped there, as no group can name them.  All other stages decide row
+by row and never look at ids.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from haltwerk.llm import quality_classifier, quality_rules, scratch
+from haltwerk.llm import decontaminate, minmax_dedup, quality_classifier, quality_rules, scratch, viterbi
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-
-def _kept(docs: DataFrame, verdict: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id the verdict keeps."""
-    good = verdict.where("kept").select("doc_id").distinct()
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["doc_id"]), "left_semi")
+SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that fail the base rules or that the label model finds bad."""
-    return _kept(docs, quality_rules.apply_rules(docs))
+    return quality_rules.good(docs)
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the trained scorer rejects."""
-    return _kept(docs, quality_classifier.classify(docs))
+    return quality_classifier.good(docs)
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the least id of each group of near copies."""
+    verdict = minmax_dedup.near_duplicates(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
+    kept = verdict.where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark item, copied or edited."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document left: doc_id, ids, n_tokens, and whether decoding gives the text back."""
+    return viterbi.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules_stage),
     ("quality_classifier", quality_classifier_stage),
+    ("near_duplicates", near_duplicates_stage),
+    ("decontamination", decontamination_stage),
+    ("encoding", encoding_stage),
 ]
 
 # Label models, trained scorers and alignments are not expressible in SQL.
@@ -43,7 +66,6 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages from ``documents``, each written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
+    for name, stage in STAGES:
         docs = scratch.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    name, stage = STAGES[-1]
-    return scratch.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs
