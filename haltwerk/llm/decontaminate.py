@@ -165,6 +165,8 @@ def _matched(t: Texts, items: Items, seed_words: int, threshold: float) -> list[
     hashes = t.word_hash()
     gram, at = ngrams(hashes, t.doc, seed_words)
     hit, seed = _found(items.seeds, gram)
+    if not len(hit):
+        return []
     last = np.searchsorted(items.seeds, gram[hit], "right")
     many = last - seed  # seeds with this hash: several items may share one
     which = np.repeat(seed - np.cumsum(many) + many, many) + np.arange(many.sum())
