@@ -33,3 +33,21 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if step.where("old <> label").isEmpty():
             return labels
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels of ``components`` after more links: only the components that these join are relabelled."""
+
+    def named(side: str) -> DataFrame:
+        return labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))
+
+    ends = links.join(named("a"), "a", "left").join(named("b"), "b", "left")
+    ends = ends.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).where("a <> b")
+    ends = scratch.written(ends.distinct(), "links")
+    if ends.isEmpty():
+        return labels
+    joined = components(ends)
+    new = joined.select(F.col("node").alias("old"), F.col("label").alias("new"))
+    kept = labels.join(new, labels["label"] == new["old"], "left").select("node", F.coalesce("new", "label").alias("label"))
+    fresh = joined.join(labels.select("node"), "node", "left_anti")  # nodes that had no link before
+    return scratch.written(kept.unionByName(fresh), "labels")

@@ -20,9 +20,9 @@ sets' Jaccard similarity reaches ``percent``, confirmed on full sets.
    components.  Members of larger ones are grouped anew by their rarest
    shingles, of which two similar sets must share one; those groups are small,
    for what nearly similar copies have in common is not rare.  Should such a
-   group be large all the same, some members of its rarest component are
-   compared with all others, and so on until no two members of different
-   components of any group are left to compare.
+   group be large all the same, some members outside its main component are
+   compared with all members of other components, twice as many each round,
+   until no two members of different components of any group are left to compare.
 
 Rows that share an id count as one document; rows with a NULL id belong to the
 component of their class, are never kept, and are no component of their own.
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haltwerk.llm import packed, scratch
-from haltwerk.llm.components import components
+from haltwerk.llm.components import components, merged
 from haltwerk.llm.words import Texts, mixed, ngrams, slices, split, texts_of
 
 PERMUTATIONS = 64
@@ -135,9 +135,15 @@ def _banded(classes: DataFrame) -> DataFrame:
 
 
 def _may_link(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs a < b whose sizes allow the similarity, each once."""
-    low, high = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
-    return pairs.where((F.col("a") != F.col("b")) & (100 * low >= percent * high)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    """Pairs a < b that can reach the similarity, each once.
+
+    Sets of sizes m and n need ``least`` shingles in common.  If the first one
+    they share (in the common order) stands behind ``rank`` others in a set,
+    no more than size - rank can be.
+    """
+    least = F.ceil(F.lit(percent) * (F.col("size_a") + F.col("size_b")) / F.lit(100 + percent))
+    enough = (F.col("size_a") - F.col("rank_a") >= least) & (F.col("size_b") - F.col("rank_b") >= least)
+    return pairs.where((F.col("a") != F.col("b")) & enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -175,20 +181,15 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     return met.mapInArrow(compare, f"a {kind}, b {kind}").distinct()
 
 
-def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """Band rows with the component of their node."""
-    return rows.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-
 def _sides(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs of rows of one bucket with different components."""
-    a = left.select("key", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("label").alias("label_a"))
-    b = right.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"), "label")
-    return a.join(b, "key").where("label <> label_a").select("a", "size_a", "b", "size_b")
+    a = left.select("key", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("rank").alias("rank_a"), F.col("label").alias("label_a"))
+    b = right.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("rank").alias("rank_b"), "label")
+    return a.join(b, "key").where("label <> label_a").drop("key", "label", "label_a")
 
 
 def _prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Rows (key, node, size) for the rarest shingles of each document.
+    """Rows (key, node, size, rank) for the rarest shingles of each document.
 
     Two sets that reach the similarity share one of the first size -
     ceil(percent * size) + 1 shingles of either, whatever order all sets are
@@ -228,45 +229,50 @@ def _prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 rank = np.arange(len(gram)) - starts[doc]
                 kept = rank < (size - -(-percent * size // 100) + 1)[doc]
                 node = batch.column(0)[a:b].take(pa.array(doc[kept]))
-                yield pa.RecordBatch.from_arrays([pa.array(gram[order][kept].view(np.int64)), node, pa.array(size[doc[kept]])], names=["key", "node", "size"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(gram[order][kept].view(np.int64)), node, pa.array(size[doc[kept]]), pa.array(rank[kept])], names=["key", "node", "size", "rank"]
+                )
 
-    return docs.select("doc_id", "text").mapInArrow(first, f"key bigint, node {kind}, size bigint")
+    return docs.select("doc_id", "text").mapInArrow(first, f"key bigint, node {kind}, size bigint, rank bigint")
 
 
-def _links(bands: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Confirmed links enough to connect every two similar nodes."""
+def _connected(bands: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """node, label of the nodes that have links: components of all similar pairs."""
     least = bands.groupBy("key").agg(F.min(F.struct("node", "size")).alias("least"), F.count(F.lit(1)).alias("members"))
     least = least.where("members > 1").select("key", F.col("least.node").alias("a"), F.col("least.size").alias("size_a"))
     shared = scratch.written(bands.join(least, "key").where("node <> a").select("key", "node", "size", "a", "size_a"), "buckets")
-    first = shared.select("a", "size_a", F.col("node").alias("b"), F.col("size").alias("size_b"))
+    zero = F.lit(0).cast("long")
+    first = shared.select("a", "size_a", zero.alias("rank_a"), F.col("node").alias("b"), F.col("size").alias("size_b"), zero.alias("rank_b"))
     met = shared.select(F.explode(F.array("a", "node")).alias("node")).distinct()
     docs = scratch.written(docs.join(met, docs["doc_id"] == met["node"], "left_semi"), "involved")
-    links = scratch.written(_confirmed(_may_link(first, percent), docs, words, percent), "links")
-    rows, turn = shared.select("key", "node", "size"), 0
+    labels = components(_confirmed(_may_link(first, percent), docs, words, percent))
+    rows, turn = shared.select("key", "node", "size", zero.alias("rank")), 0
+    # the smaller set of a similar pair shares one of even fewer of its first shingles
+    leads = F.col("rank") <= F.col("size") - F.ceil(F.lit(2 * percent) * F.col("size") / F.lit(100 + percent))
     while True:
         turn += 1
-        rows = _labelled(rows, links)
-        held = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
-        held = held.agg(F.min(F.struct("n", "label")).alias("rare"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("labels"))
-        rows = scratch.written(rows.join(held.where("labels > 1"), "key"), "buckets")
+        rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        held = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.max(leads).alias("leads")).groupBy("key")
+        held = held.agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("labels"), F.max("leads").alias("leads"))
+        rows = scratch.written(rows.join(held.where("labels > 1 and leads"), "key"), "buckets")
         if rows.isEmpty():
-            return links
+            return labels
         small, large = rows.where(F.col("members") <= SMALL), rows.where(F.col("members") > SMALL)
         pairs = _sides(small, small)
         if turn == 1:
             rest = large.select("node").distinct()
         else:
-            # of a large group, about SMALL members of its rarest component meet all members of others
-            drawn = F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("rare.n") / SMALL)) == 0
-            chosen = (F.col("label") == F.col("rare.label")) & drawn
+            # of a large group, some members outside its main component meet all members of other components
+            several = F.lit(SMALL << min(turn - 2, 12))
+            chosen = (F.col("label") != F.col("main.label")) & (F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil((F.col("members") - F.col("main.n")) / several)) == 0)
             pairs = pairs.unionByName(_sides(large.where(chosen), large))
         pairs = scratch.written(_may_link(pairs, percent), "pairs")
         if not pairs.isEmpty():
-            links = scratch.written(links.unionByName(_confirmed(pairs, docs, words, percent)), "links")
+            labels = merged(labels, _confirmed(pairs, docs, words, percent))
         if turn == 1:
             rows = scratch.written(_prefixes(docs.join(rest, docs["doc_id"] == rest["node"], "left_semi"), words, percent), "prefixes")
         else:
-            rows = large.where(~chosen).select("key", "node", "size")
+            rows = large.where(~chosen).select("key", "node", "size", "rank")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -286,8 +292,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, id_colum
     # rows with one id in several classes are one document
     many = some.groupBy("doc_id").agg(F.min("print1").alias("low"), F.max("print1").alias("high")).where("low <> high").select("doc_id")
     same = some.join(many, "doc_id").join(known, prints).select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
-    links = _links(bands, docs, words, percent)
-    labels = components(links.unionByName(same))
+    labels = merged(_connected(bands, docs, words, percent), same)
     known = known.join(labels, "node", "left").select(*prints, F.coalesce("label", "node").alias("component_id"))
     linked = some.select("doc_id", *prints).join(known, prints).select("doc_id", "n_shingles", "component_id")
     alone = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
