@@ -20,9 +20,9 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 SLICE = "_slice"
+STEPS = 1024  # quantiles asked of a hot key's sketch, at least twice its slices; more for keys of over 500 slices
 
 
 @dataclass(frozen=True)
@@ -39,66 +39,122 @@ class Series:
     ties: tuple[str, ...] = ()
     slice_length: int = 900
     hot: DataFrame | None = field(default=None, compare=False, repr=False)
+    crowded: DataFrame | None = field(default=None, compare=False, repr=False)
 
     @property
     def order(self) -> list[str]:
         return [self.time, *self.ties]
 
     def keyed_by(self, *keys: str) -> "Series":
-        return replace(self, keys=keys, hot=None)
+        return replace(self, keys=keys, hot=None, crowded=None)
 
     def over(self, time: str, *ties: str) -> "Series":
-        """The same keys and cut for rows with another time column."""
-        return replace(self, time=time, ties=ties)
+        """The same keys and cut for rows with another time column.
 
+        Instants that were cut by other ties are not cut: their rows are fewer here.
+        """
+        return replace(self, time=time, ties=ties, crowded=None if ties != self.ties else self.crowded)
 
-def spread_hot(df: DataFrame, series: Series, rows_per_slice: int = 2_000_000) -> Series:
-    """Cut only keys with more than ``rows_per_slice`` rows, into slices of about that size.
 
-    ``df`` needs the keys and the time only.  The list of hot keys has at most
-    (all rows / rows_per_slice) entries of a few bytes, which bounds the
-    broadcast: half a million entries for 10^12 rows.
+_NO_TIME = -(2**62)  # rows without a time stand first
+_TIES = 2**20  # tie slices of one instant
+
+
+def _micros(time: str) -> Column:
+    return F.coalesce(F.unix_micros(time), F.lit(_NO_TIME))
+
+
+def _bounds(value: str, n: str, rows_per_slice: int) -> Column:
+    """Values that cut ``n`` rows into slices of about equal counts; a value that fills several slices stands once for each.
+
+    Slices aim at half the limit, and the sketch behind the bounds is off by a
+    quarter of the limit at most, so that no slice goes beyond it but where one
+    value alone does.
     """
-    n, micros = F.col("_n"), F.unix_micros("_to") - F.unix_micros("_from")
-    hot = (
-        df.groupBy(*[F.col(k).alias(f"_h_{k}") for k in series.keys])
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(series.time).alias("_from"), F.max(series.time).alias("_to"))
-        .filter(n > rows_per_slice)
-        .select(
-            *[f"_h_{k}" for k in series.keys],
-            F.greatest(F.lit(1), F.floor((micros + 1) / n * rows_per_slice)).cast("long").alias("_length"),
-        )
-    )
-    return replace(series, hot=hot)
+    slices = f"cast(ceil(2 * {n} / {rows_per_slice}) as int)"
+    shares = f"transform(sequence(1, greatest({slices} - 1, 1)), i -> i / {slices})"
+    return F.expr(f"transform({shares}, s -> element_at({value}, greatest(1, cast(ceil(s * size({value})) as int))))")
 
 
-def _stand_in(data_type: T.DataType) -> Column:
-    """A value that stands for a NULL key, so that NULL keys form one group."""
-    if isinstance(data_type, T.StringType):
-        return F.lit("\u0000")
-    if isinstance(data_type, T.DateType):
-        return F.lit("0001-01-01").cast("date")
-    return F.lit(-(2**31) + 1).cast(data_type)
+def spread_hot(df: DataFrame, series: Series, rows_per_slice: int = 2_000_000, steps: int = STEPS) -> Series:
+    """Cut only keys with more than ``rows_per_slice`` rows, into slices of about equal row counts.
+
+    Bounds are quantiles of a hot key's times, so bursts, gaps and wrong clock
+    readings make no slice larger.  Where one instant (or a missing time) fills
+    whole slices, its rows are cut further by quantiles of the first tie column.
+
+    ``df`` needs the keys, the time and the first tie column (if there are
+    ties).  Quantiles come from mergeable sketches whose size depends on
+    ``steps``; the tables of hot keys and hot instants have at most
+    2 * (all rows / rows_per_slice) bounds, which bounds the broadcasts.  One job
+    counts the keys right away, and without hot keys nothing else is planned;
+    pass the series on instead of finding it again.
+    """
+    names = [f"_h_{k}" for k in series.keys]
+    keyed = df.select(*[F.col(k).alias(n) for k, n in zip(series.keys, names)], _micros(series.time).alias("_t"), *series.ties[:1])
+    counted = keyed.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_slice)
+    if counted.isEmpty():  # nothing to cut: plans that use the series drop their edges
+        kinds = ", ".join(f"`{n}` {df.schema[k].dataType.simpleString()}" for k, n in zip(series.keys, names))
+        return replace(series, hot=df.sparkSession.createDataFrame([], f"{kinds}, _bounds array<bigint>"), crowded=None)
+    match = [F.col(n).eqNullSafe(F.col(f"_c{n}")) for n in names]
+    renamed = counted.select(*[F.col(n).alias(f"_c{n}") for n in names], "_n")
+    rows = keyed.join(F.broadcast(renamed), match).drop(*[f"_c{n}" for n in names])
+    shares = F.lit([i / steps for i in range(1, steps)])
+    marks = rows.groupBy(*names).agg(F.max("_n").alias("_n"), F.percentile_approx("_t", shares, F.lit(4 * steps)).alias("_marks"))
+    hot = marks.select(*names, _bounds("_marks", "_n", rows_per_slice).alias("_bounds")).persist()
+    if not series.ties:
+        return replace(series, hot=hot)
+    repeated = hot.select(*names, F.explode("_bounds").alias("_instant")).groupBy(*names, "_instant").count().filter("count > 1").drop("count")
+    tie = series.ties[0]
+    again = repeated.select(*[F.col(n).alias(f"_c{n}") for n in names], "_instant")
+    crowded = rows.join(F.broadcast(again), [*match, F.col("_t") == F.col("_instant")])
+    ties = crowded.groupBy(*names, "_instant").agg(
+        F.count(F.lit(1)).alias("_n"), F.percentile_approx(tie, shares, F.lit(4 * steps)).alias("_marks")
+    )
+    ties = ties.select(*names, "_instant", _bounds("_marks", "_n", rows_per_slice).alias("_tie_bounds")).persist()
+    return replace(series, hot=hot, crowded=ties)
 
 
 def _key_names(series: Series) -> list[str]:
     return [f"_k_{key}" for key in series.keys]
 
 
+def _place(bounds: str, value: str) -> Column:
+    """How many of the ascending bounds are not above the value; looks at every 32nd, then at 32."""
+    heads = f"32 * size(filter({bounds}, (b, i) -> i % 32 = 31 and b <= {value}))"
+    return F.expr(f"cast({heads} + size(filter(slice({bounds}, 1 + {heads}, 32), b -> b <= {value})) as bigint)")
+
+
 def sliced(df: DataFrame, series: Series) -> DataFrame:
-    """Add the non-null key columns and the slice number, NULL for keys that are not cut."""
-    columns = {}
-    for key, name in zip(series.keys, _key_names(series)):
-        columns[name] = F.coalesce(F.col(key), _stand_in(df.schema[key].dataType))
+    """Add copies of the keys and the slice number, NULL for keys that are not cut.
+
+    NULL keys are a key of their own: windows group them, and edges are joined
+    null-safely.
+    """
+    columns = {name: F.col(key) for key, name in zip(series.keys, _key_names(series))}
     if series.hot is None:
         number = F.expr(f"unix_micros(`{series.time}`) div {int(series.slice_length) * 1_000_000}")
-        columns[SLICE] = F.coalesce(number, F.lit(-(2**62)))
+        columns[SLICE] = F.coalesce(number, F.lit(_NO_TIME))
         return df.withColumns(columns)
-    matches = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in series.keys]
-    joined = df.join(F.broadcast(series.hot), matches, "left")
-    number = F.expr(f"coalesce(unix_micros(`{series.time}`) div _length, {-(2**62)})")
-    columns[SLICE] = F.when(F.col("_length").isNotNull(), number)
-    return joined.withColumns(columns).drop("_length", *[f"_h_{k}" for k in series.keys])
+    names = [f"_h_{k}" for k in series.keys]
+    base = df.withColumn("_t", _micros(series.time))
+    joined = base.join(F.broadcast(series.hot), [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(series.keys, names)], "left").drop(*names)
+    number = _place("_bounds", "_t") * _TIES
+    if series.crowded is not None and series.ties[0] in df.columns:
+        match = [*[F.col(k).eqNullSafe(F.col(n)) for k, n in zip(series.keys, names)], F.col("_t") == F.col("_instant")]
+        joined = joined.join(F.broadcast(series.crowded), match, "left").drop(*names, "_instant")
+        # rows of the slice after its crowded instant come last
+        number = number + F.when(F.col("_tie_bounds").isNull(), F.lit(_TIES - 1)).otherwise(_place("_tie_bounds", f"`{series.ties[0]}`"))
+    columns[SLICE] = F.when(F.col("_bounds").isNotNull(), number)
+    return joined.withColumns(columns).drop("_t", "_bounds", "_tie_bounds")
+
+
+def with_edges(base: DataFrame, edges: DataFrame, series: Series) -> DataFrame:
+    """Left join of an edge table; keys match null-safely, rows of keys that are not cut match nothing."""
+    part = slice_columns(series)
+    other = edges.withColumnsRenamed({c: f"_e{c}" for c in part})
+    match = [F.col(c).eqNullSafe(F.col(f"_e{c}")) for c in _key_names(series)]
+    return base.join(other, [*match, F.col(SLICE) == F.col(f"_e{SLICE}")], "left").drop(*[f"_e{c}" for c in part])
 
 
 def cut_rows(df: DataFrame) -> DataFrame:
@@ -187,7 +243,7 @@ def neighbours(
         edges = slice_edges(base, series, lag, lead, index is not None)
 
     window = within_slice(series)
-    joined = base.join(edges, slice_columns(series), "left")
+    joined = with_edges(base, edges, series)
     columns: dict[str, Column] = {}
     if index:
         columns[index] = (F.coalesce("_count_before", F.lit(0)) + F.row_number().over(window) - 1).cast("long")
@@ -255,7 +311,7 @@ def running(
     for n in upcoming:
         columns[n] = F.coalesce(F.min(f"_x_{n}").over(after), F.col(f"_e_{n}"))
     names = [*sums, *latest, *upcoming]
-    result = base.join(edges, part, "left").withColumns(columns)
+    result = with_edges(base, edges, series).withColumns(columns)
     result = result.drop(*[f"_e_{n}" for n in names], *[f"_x_{n}" for n in names])
     return result if keep_slices else unsliced(result)
 

@@ -24,6 +24,7 @@ from haltwerk.functions.ordered import (
     slice_columns,
     slice_edges,
     unsliced,
+    with_edges,
     within_slice,
 )
 from haltwerk.functions.scalars import false, true
@@ -173,7 +174,7 @@ def mark_drops(
     edges = ping_edges(pings, series)
     indexed = _flag_drops(transitions(index_pings(pings, series, keep_slices=True, edges=edges)), drop_threshold)
     narrow = _indexed_distances(pings, drop_threshold, series, edges)
-    joined = indexed.join(_edge_drops(narrow, series).drop("first_drop"), slice_columns(series), "left")
+    joined = with_edges(indexed, _edge_drops(narrow, series).drop("first_drop"), series)
 
     drop_row = F.when(F.col("is_drop"), F.col("row_idx"))
     open_row = F.when(F.col("opens"), F.col("row_idx"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -732,6 +733,37 @@ def _(t):
     return detect.drop_segments(t.telemetry, series=t.pings).select("fzg_id", "row_idx", "drop_segment")
 
 
+# The same with keys of over 20 rows cut: the plain statements check the cut.
+
+
+def _cut(t: Tables) -> Tables:
+    return replace(t, hot_rows=20)
+
+
+@query("row_index_sliced", "SELECT ping_id, fahrt_id, row_number() OVER (PARTITION BY fahrt_id ORDER BY tst_iso, ping_id) - 1 AS row_idx FROM telemetry")
+def _(t):
+    return neighbours(t.telemetry, _cut(t).trips, index="row_idx").select("ping_id", "fahrt_id", "row_idx")
+
+
+@query(
+    "drop_segments_sliced",
+    """SELECT fzg_id, row_idx, CASE WHEN delta IS NOT NULL THEN CAST(sum(CASE WHEN is_drop THEN 1 ELSE 0 END) OVER
+         (PARTITION BY fzg_id ORDER BY row_idx) AS BIGINT) END AS drop_segment FROM flagged""",
+)
+def _(t):
+    return detect.drop_segments(t.telemetry, series=_cut(t).pings).select("fzg_id", "row_idx", "drop_segment")
+
+
+@query("stop_events_sliced", f"SELECT {_EVENT_SQL} FROM detected")
+def _(t):
+    return detect.detect_stop_events(t.telemetry, series=_cut(t).pings)
+
+
+@query("rescued_stop_events_sliced", f"SELECT {_EVENT_SQL} FROM rescued")
+def _(t):
+    return rescued(_cut(t)).select("fzg_id", *detect.EVENT_COLUMNS)
+
+
 @query(
     "dedup_first",
     """SELECT l_orderkey, l_linenumber :: BIGINT AS l_linenumber, l_partkey, l_shipdate FROM lineitem

@@ -17,6 +17,9 @@ from haltwerk.session import configure
 HOT_ROWS = 2_000_000
 
 
+_SERIES: dict[tuple, Series] = {}
+
+
 def _trip() -> Column:
     return F.col("user_id") * 10 + F.expr("(day(ts) - 1) div 10")
 
@@ -27,6 +30,7 @@ class Tables:
 
     spark: SparkSession
     folder: str
+    hot_rows: int = HOT_ROWS
 
     def __post_init__(self) -> None:
         configure(self.spark)
@@ -40,8 +44,12 @@ class Tables:
 
     def _spread(self, key: Column) -> Series:
         """Ping series by a key, its hot keys found in a scan of key and time."""
-        narrow = self.events.select(key, F.col("ts").alias("tst_iso"))
-        return spread_hot(narrow, Series(keys=tuple(narrow.columns[:1]), time="tst_iso", ties=("ping_id",)), HOT_ROWS)
+        narrow = self.events.select(key, F.col("ts").alias("tst_iso"), F.col("event_id").alias("ping_id"))
+        series = Series(keys=tuple(narrow.columns[:1]), time="tst_iso", ties=("ping_id",))
+        place = (self.spark.sparkContext.applicationId, self.folder, series.keys, self.hot_rows)
+        if place not in _SERIES:  # a cut changes plans, never results, so an old one does no harm
+            _SERIES[place] = spread_hot(narrow, series, self.hot_rows)
+        return _SERIES[place]
 
     @property
     def pings(self) -> Series:

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from haltwerk.functions import ranks, stats
-from haltwerk.functions.ordered import Series, neighbours, running, spread_hot
+from haltwerk.functions.ordered import Series, neighbours, running, sliced, spread_hot
 
 
 @pytest.fixture(scope="module")
@@ -78,6 +78,33 @@ def test_hot_key_is_spread_over_tasks(spark):
     assert len(sizes) == 4 and max(sizes) < 8_000
 
 
+def test_slices_hold_rows_not_time(spark):
+    """A wrong clock, a burst at one instant and missing times leave no large slice."""
+    n = F.col("id")
+    moment = (
+        F.when(n == 0, F.timestamp_seconds(F.lit(0)))
+        .when(n % 4 == 1, F.timestamp_seconds(F.lit(1_700_000_000)))
+        .when(n % 8 == 2, F.lit(None).cast("timestamp"))
+        .otherwise(F.timestamp_seconds(F.lit(1_750_000_000) + n / 100))
+    )
+    rows = spark.range(40_000).select(F.lit(1).alias("k"), moment.alias("t"), "id")
+    s = spread_hot(rows, Series(keys=("k",), time="t", ties=("id",)), rows_per_slice=1000)
+    sizes = [r["count"] for r in sliced(rows, s).groupBy("_slice").count().collect()]
+    assert len(sizes) > 40 and max(sizes) <= 2000
+    got = neighbours(rows, s, index="i", lag={"a": "id"})
+    w = Window.partitionBy("k").orderBy("t", "id")
+    plain = rows.select("id", (F.row_number().over(w) - 1).cast("bigint").alias("i"), F.lag("id").over(w).alias("a"))
+    assert got.select("id", "i", "a").exceptAll(plain).isEmpty()
+
+
+@pytest.mark.parametrize("length", [60, -2, -10**6])
+def test_missing_key_is_no_value(spark, length):
+    first = datetime(2025, 1, 1)
+    rows = spark.createDataFrame([(None, first + timedelta(seconds=i), i) for i in range(5)] + [(-2147483647, first, 9), (-2147483648, first, 8)], "k int, t timestamp, id bigint")
+    got = {r.id: (r.i, r.a) for r in neighbours(rows, cut(rows, length), index="i", lag={"a": "id"}).collect()}
+    assert got[9] == (0, None) and got[8] == (0, None) and [got[i][0] for i in range(5)] == list(range(5))
+
+
 def test_quantiles_are_exact(spark):
     rng = random.Random(3)
     values = [rng.choice([0.0, 0.0, -1.5, rng.gauss(0, 1), rng.gauss(0, 1e5), 1e-9 * rng.random()]) for _ in range(2500)]
