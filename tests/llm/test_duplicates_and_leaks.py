@@ -1,11 +1,11 @@
 import random
 
+import brute
 import numpy as np
 import pyarrow as pa
 
 from haltwerk.llm import components, decontaminate, minmax_dedup
 from haltwerk.llm.words import mixed, slices, split
-from tests.llm import brute
 
 
 def check_components(frame, rows, words=4):

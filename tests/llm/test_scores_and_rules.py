@@ -1,9 +1,9 @@
+import brute
 import numpy as np
 import pytest
 
 from haltwerk.llm import deleted_interpolation as di
 from haltwerk.llm import quality_classifier, quality_rules, weak_labels
-from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
 
