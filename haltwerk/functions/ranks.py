@@ -84,9 +84,9 @@ def ranked_values(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def quantiles(
-    df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str] = (), method: str = "linear"
+    df: DataFrame, value: str, qs: Sequence[float | tuple[float, str]], by: Sequence[str] = (), method: str = "linear"
 ) -> DataFrame:
-    """Exact quantiles per group, one row per (group, q).
+    """Exact quantiles per group, one row per (group, q).  A q may bring a method of its own.
 
     ``linear`` interpolates between order statistics, ``nearest`` takes the
     order statistic at ``round(q * (n - 1))``, halves up.  Only the coarse buckets that
@@ -104,15 +104,16 @@ def _rank_pair(q: float, n: Column, method: str) -> tuple[Column, Column]:
 
 
 def quantiles_of_counts(
-    counts: DataFrame, qs: Sequence[float], by: Sequence[str] = (), method: str = "linear"
+    counts: DataFrame, qs: Sequence[float | tuple[float, str]], by: Sequence[str] = (), method: str = "linear"
 ) -> DataFrame:
-    if method not in ("linear", "nearest"):
+    asked = [q if isinstance(q, tuple) else (q, method) for q in qs]
+    if not {m for _, m in asked} <= {"linear", "nearest"}:
         raise ValueError("method is 'linear' or 'nearest'")
     placed = _placed(counts)
     totals = _coarse_totals(placed, by)
     wanted = F.lit(False)
-    for q in qs:
-        for rank in _rank_pair(q, F.col("n"), method):
+    for q, how in asked:
+        for rank in _rank_pair(q, F.col("n"), how):
             wanted = wanted | ((F.col("_c_below") <= rank) & (rank < F.col("_c_below") + F.col("_c_cnt")))
     hit = totals.filter(wanted).drop("_c_cnt")
     ranked = _ranks_in(_matches(placed, hit, [*by, "_c"]), by)
@@ -121,16 +122,16 @@ def quantiles_of_counts(
         return (F.col("below") <= rank) & (rank < F.col("below") + F.col("cnt"))
 
     picks = []
-    for i, q in enumerate(qs):
-        low, high = _rank_pair(q, F.col("n"), method)
+    for i, (q, how) in enumerate(asked):
+        low, high = _rank_pair(q, F.col("n"), how)
         picks.append(F.max(F.when(holds(low), F.col("value"))).alias(f"_lo{i}"))
         picks.append(F.max(F.when(holds(high), F.col("value"))).alias(f"_hi{i}"))
     found = ranked.groupBy(*by, "n").agg(*picks) if by else ranked.groupBy("n").agg(*picks)
     entries = []
-    for i, q in enumerate(qs):
+    for i, (q, how) in enumerate(asked):
         low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
         at = F.lit(float(q)) * (F.col("n") - 1).cast("double")
-        result = low + (high - low) * (at - F.floor(at)) if method == "linear" else low
+        result = low + (high - low) * (at - F.floor(at)) if how == "linear" else low
         entries.append(F.struct(F.lit(float(q)).alias("q"), result.alias("value")))
     return found.withColumn("_e", F.explode(F.array(*entries))).select(*by, F.col("n"), "_e.q", "_e.value")
 

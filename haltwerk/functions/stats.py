@@ -13,9 +13,8 @@ from haltwerk.functions.scalars import share
 
 def count_share(df: DataFrame, by: str, pct: str = "pct", digits: int = 1) -> DataFrame:
     """Rows per group and their percentage of all rows."""
-    counted = df.groupBy(by).agg(F.count(F.lit(1)).alias("count"))
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return counted.withColumn(pct, F.round(100.0 * F.col("count") / total, digits))
+    counted = share_of_total(df.groupBy(by).agg(F.count(F.lit(1)).alias("count")))
+    return counted.withColumn(pct, F.round(100.0 * F.col("share"), digits)).drop("share")
 
 
 def null_rates(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -119,13 +118,13 @@ def density_grid(
 
 def binned_mean(df: DataFrame, x: str, y: str, bins: int, trim: tuple[float, float] = (0.01, 0.99)) -> DataFrame:
     """Mean of y per bin of x between two quantiles of x; the upper edge belongs to no bin."""
-    limits = quantiles_wide(df, x, {"lo": trim[0], "hi": trim[1]})
-    low, high = limits.select("lo").scalar(), limits.select("hi").scalar()
+    limits = quantiles_wide(df, x, {"_lo": trim[0], "_hi": trim[1]})
+    low, high = F.col("_lo"), F.col("_hi")
     v = F.col(x).cast("double")
-    inside = df.filter((v >= low) & (v < high))
+    inside = df.join(F.broadcast(limits), F.lit(True)).filter((v >= low) & (v < high))  # one row of limits
     position = F.floor((v - low) / ((high - low) / bins)).cast("long")
     return inside.groupBy(F.least(position, F.lit(bins - 1)).alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(y).alias("mean_y")
+        F.count(F.lit(1)).alias("n"), F.avg(y).alias("mean_y"), F.sum(y).alias("sum_y")
     )
 
 
@@ -140,12 +139,17 @@ def ols(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def trimmed(df: DataFrame, columns: Sequence[str], low: float = 0.05, high: float = 0.95, method: str = "nearest") -> DataFrame:
-    """Rows between two quantiles in every given column."""
-    kept = df
+    """Rows between two quantiles in every given column; all limits come from the untrimmed rows, in one pass."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
+    limits = quantiles(df.select(F.inline(cells)), "value", [low, high], ["column"], method)
+    picks = []
     for c in columns:
-        limits = quantiles_wide(df, c, {"lo": low, "hi": high}, method=method)
-        kept = kept.filter((F.col(c) >= limits.select("lo").scalar()) & (F.col(c) <= limits.select("hi").scalar()))
-    return kept
+        for name, q in (("lo", low), ("hi", high)):
+            picks.append(F.max(F.when((F.col("column") == c) & (F.col("q") == q), F.col("value"))).alias(f"_{name}_{c}"))
+    kept = df.join(F.broadcast(limits.agg(*picks)), F.lit(True))  # one row
+    for c in columns:
+        kept = kept.filter(F.col(c).between(F.col(f"_lo_{c}"), F.col(f"_hi_{c}")))
+    return kept.select(*df.columns)
 
 
 def agreement(df: DataFrame, difference: Column, limits: Sequence[float]) -> DataFrame:

@@ -86,9 +86,15 @@ def fit_gbt(
     max_bins: int = 4096,
     seed: int = 42,
     checkpoint_interval: int = 10,
+    row_share: float = 0.8,
+    min_leaf: int = 50,
 ) -> PipelineModel:
     """Boosted trees with early stopping on the validation rows.
 
+    ``row_share`` is the share of the training rows that each tree sees (the
+    sampling of stochastic boosting; 1 uses all), ``min_leaf`` the least rows of
+    a leaf.
+
     Category values unseen in training share one extra index.
     """
     checkpoint_folder(train.sparkSession)
@@ -112,8 +118,8 @@ def fit_gbt(
             stepSize=step,
             maxDepth=depth,
             maxBins=max_bins,
-            minInstancesPerNode=50,
-            subsamplingRate=0.8,
+            minInstancesPerNode=min_leaf,
+            subsamplingRate=row_share,
             seed=seed,
             checkpointInterval=checkpoint_interval,
         ),

@@ -68,7 +68,6 @@ def range_lookup(
     lo: str,
     hi: str,
     how: str = "left",
-    levels: int = RANGE_LEVELS,
 ) -> DataFrame:
     """Rows joined with every integer range that holds their key.
 
@@ -79,7 +78,7 @@ def range_lookup(
     """
     width = F.col(hi) - F.col(lo) + 1
     level = F.greatest(F.lit(0), F.ceil(F.log2(width.cast("double")))).cast("int")
-    filed = ranges.filter(F.col(lo) <= F.col(hi)).withColumn("_level", F.least(level, F.lit(levels - 1)))
+    filed = ranges.filter(F.col(lo) <= F.col(hi)).withColumn("_level", F.least(level, F.lit(RANGE_LEVELS - 1)))
     buckets = F.sequence(F.expr(f"shiftright(`{lo}`, _level)"), F.expr(f"shiftright(`{hi}`, _level)"))
     filed = filed.withColumn("_bucket", F.explode(buckets))
 

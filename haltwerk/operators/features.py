@@ -14,6 +14,7 @@ DWELL_CLIP = (0, 120)
 TRAVEL_CLIP = (10, 600)
 NO_DOOR_FILL = 40
 
+# fixed values: the model's features and the sets that are compared
 FEATURES = (
     "dwell_time",
     "delay_calculated_sec",

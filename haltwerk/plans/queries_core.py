@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Callable
+from contextlib import suppress
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haltwerk.functions.ordered import Series, keep_first, neighbours
@@ -14,7 +16,7 @@ from haltwerk.functions.scalars import clip, service_date, status_code
 from haltwerk.operators import detect, diagnostics, enrich, features, matching, quality, rescue, timetable
 from haltwerk.plans import core as core_plan
 from haltwerk.plans.registry import query
-from haltwerk.session import checkpoint_folder
+from haltwerk.session import checkpoint_folder, delete_folder, newest_change
 from haltwerk.sources import files
 from haltwerk.sources.driver_tables import Tables
 
@@ -56,28 +58,34 @@ def written(t: Tables, df: DataFrame, name: str) -> DataFrame:
 
 
 def fresh_core(t: Tables) -> DataFrame:
-    return core_plan.core_table(
-        t.telemetry,
-        t.raw_timetable,
-        ping_series=t.pings,
-        arrival_series=t.arrivals,
-        stage=lambda events: written(t, events, "events"),
-    )
+    return core_plan.core_table(t.telemetry, t.raw_timetable, ping_series=t.pings, arrival_series=t.arrivals)
+
+
+_STORED: dict[tuple, str] = {}
 
 
-_STORED: dict[tuple[str, str, str], str] = {}
+def _forget(spark: SparkSession) -> None:
+    """Delete the stored tables of this application; runs when Python ends, while the session still lives."""
+    for key in [k for k in _STORED if k[0] == spark.sparkContext.applicationId]:
+        with suppress(Exception):
+            delete_folder(spark, _STORED.pop(key))
 
 
-def stored(t: Tables, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A table written once per application and folder, then read.
+def stored(t: Tables, name: str, build: Callable[[], DataFrame], source: str = "events") -> DataFrame:
+    """A table written once per state of the source table's files, then read.
 
     Analyses of the core table pass over it several times, so they read the
     written table, as one would in production.
     """
-    key = (t.spark.sparkContext.applicationId, t.folder, name)
+    application = t.spark.sparkContext.applicationId
+    key = (application, t.folder, name, newest_change(t.spark, f"{t.folder}/{source}.parquet"))
     if key not in _STORED:
+        if not any(k[0] == application for k in _STORED):
+            atexit.register(_forget, t.spark)
         path = scratch(t, name)
         files.write_parquet(build(), path)
+        for old in [k for k in _STORED if k[:3] == key[:3]]:
+            delete_folder(t.spark, _STORED.pop(old))
         _STORED[key] = path
     return t.spark.read.parquet(_STORED[key])
 
@@ -127,6 +135,51 @@ def _(t):
     return files.regular_lines(scanned).groupBy("linie").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "load_telemetry_csv",
+    """SELECT fzg_id, tst_iso, linie, fahrt_id, distanz, tuerkriterium, lage, status_text, pos_lat, topic
+       FROM (SELECT *, 'feed' AS topic FROM telemetry)""",
+)
+def _(t):
+    """25 columns in another order than the schema's, three of them unknown to it."""
+    feed = t.telemetry.drop("ping_id", "k").withColumns(
+        {
+            "zieltext": F.lit("to, town"),
+            "ort_nr_ziel_vvo": F.lit("V9"),
+            "topic": F.lit("feed"),
+            "qos": F.lit(0),
+            "retain": F.lit(False),
+            "payloadlen": F.length("status_text"),
+            "extra_1": F.lit("x"),
+            "extra_2": F.lit(None).cast("string"),
+            "extra_3": F.lit('say "no"'),
+        }
+    )
+    path = scratch(t, "feed")
+    exact = {"header": True, "escape": '"', "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    feed.select(*sorted(feed.columns, reverse=True)).write.options(**exact).csv(path)
+    rows = files.read_telemetry_csv(t.spark, path)
+    return rows.select("fzg_id", "tst_iso", "linie", "fahrt_id", "distanz", "tuerkriterium", "lage", "status_text", "pos_lat", "topic")
+
+
+@query("load_telemetry_text", "SELECT fzg_id, tst_iso, distanz, row_idx FROM pings")
+def _(t):
+    """Times as ISO text with a zone, parsed and numbered."""
+    path = scratch(t, "telemetry")
+    text = F.date_format(F.from_utc_timestamp("tst_iso", "Europe/Berlin"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+01:00'")
+    files.write_parquet(t.telemetry.select("fzg_id", text.alias("tst_iso"), "ping_id", "distanz"), path)
+    series = Series(keys=("fzg_id",), time="tst_iso", ties=("ping_id",))
+    return files.load_telemetry(t.spark, path, series).select("fzg_id", "tst_iso", "distanz", "row_idx")
+
+
+@query("load_timetable_csv", "SELECT fahrt_id, stop_index, ort_nr, scheduled_arrival_unix FROM schedule")
+def _(t):
+    path = scratch(t, "timetable")
+    plan = t.raw_timetable.select("tst_iso", "segmente", F.lit("seen").alias("note"), "fahrt_id", "zp_abfahrt")
+    plan.write.options(header=True, quote='"', escape='"').csv(path)
+    return timetable.expand_timetable(files.load_timetable(t.spark, path)).select("fahrt_id", "stop_index", "ort_nr", "scheduled_arrival_unix")
+
+
 @query("weather_clean", "SELECT * FROM weather")
 def _(t):
     path = scratch(t, "weather")
@@ -701,6 +754,16 @@ def _(t):
     return enrich.vehicle_info(t.vehicles, t.vehicle_ranges)
 
 
+@query("load_vehicle_info_csv", "SELECT * FROM vehicle_table")
+def _(t):
+    """Both files in another column order than the schemas'."""
+    listed, ranges = scratch(t, "vehicles"), scratch(t, "ranges")
+    vehicles = t.vehicles.withColumn("masse", F.lit(1.5))
+    files.write_report_csv(vehicles.select(*vehicles.columns[::-1]), listed)
+    files.write_report_csv(t.vehicle_ranges.select(*t.vehicle_ranges.columns[::-1]), ranges)
+    return files.load_vehicle_info(t.spark, listed, ranges).select(*enrich.vehicle_info(t.vehicles, t.vehicle_ranges).columns)
+
+
 @query(
     "binary_features",
     """SELECT fzg_id, drop_row_idx, is_peak_hour :: BIGINT AS is_peak_hour, is_workday :: BIGINT AS is_workday,

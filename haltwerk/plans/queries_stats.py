@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haltwerk.functions import ranks, stats
 from haltwerk.operators import ablation, detect, diagnostics, enrich, features, motion, timetable
 from haltwerk.plans.queries_core import clean_core, core, detected, indexed, schedule, stored
-from haltwerk.plans.registry import query, settled
+from haltwerk.plans.registry import query
 from haltwerk.sources.driver_tables import Tables
 
 CALC, REC = "delay_calculated_sec", "delay_recorded_sec"
@@ -87,28 +87,38 @@ def _nearest_by_status(column: str, q: float) -> str:
     return f"round(CAST(min({column}) FILTER ({rank} = floor({q} * (n - 1) + 0.5)) AS DOUBLE), 6)"
 
 
+def micros(value: str | Column) -> Column:
+    """Seconds as whole microseconds, so that medians and means are the same in any engine."""
+    return F.round((F.col(value) if isinstance(value, str) else value) * 1_000_000).cast("long")
+
+
+def _median_sql(column: str) -> str:
+    return f"floor(median(CAST(round({column} * 1e6) AS BIGINT))) / 1e6"
+
+
 @query(
     "delay_by_status",
     f""", ranked AS (SELECT stop_status, {CALC} AS calc, {REC} AS recd, {CALC} - {REC} AS diff,
           row_number() OVER (PARTITION BY stop_status ORDER BY {CALC}) - 1 AS r_calc,
           row_number() OVER (PARTITION BY stop_status ORDER BY {REC}) - 1 AS r_recd,
           count(*) OVER (PARTITION BY stop_status) AS n FROM clean_core)
-        SELECT stop_status, count(*) AS n, round(median(calc) + 1e-9, 6) AS calc_median,
+        SELECT stop_status, count(*) AS n, {_median_sql("calc")} AS calc_median,
         {_nearest_by_status("calc", 0.05)} AS calc_p05, {_nearest_by_status("calc", 0.95)} AS calc_p95,
-        round(median(recd) + 1e-9, 6) AS recd_median, {_nearest_by_status("recd", 0.05)} AS recd_p05,
-        {_nearest_by_status("recd", 0.95)} AS recd_p95, round(median(diff) + 1e-9, 6) AS diff_median FROM ranked GROUP BY 1""",
+        {_median_sql("recd")} AS recd_median, {_nearest_by_status("recd", 0.05)} AS recd_p05,
+        {_nearest_by_status("recd", 0.95)} AS recd_p95, {_median_sql("diff")} AS diff_median FROM ranked GROUP BY 1""",
 )
 def _(t):
     rows = clean_core(t).select("stop_status", F.col(CALC).alias("calc"), F.col(REC).alias("recd"))
     rows = rows.withColumn("diff", F.col("calc") - F.col("recd"))
-    result = rows.groupBy("stop_status").agg(F.count(F.lit(1)).alias("n"))
+    cells = F.array(*[F.struct(F.lit(c).alias("measure"), micros(c).alias("us")) for c in ("calc", "recd", "diff")])
+    found = ranks.quantiles(rows.select("stop_status", F.inline(cells)), "us", [0.5, (0.05, "nearest"), (0.95, "nearest")], ["stop_status", "measure"])
+    picks = [F.max(F.when(F.col("measure") == "calc", F.col("n"))).alias("n")]
     for c in ("calc", "recd", "diff"):
-        median = ranks.quantiles_wide(rows, c, {f"{c}_median": 0.5}, ["stop_status"])
-        result = result.join(median, "stop_status", "left")
-        if c != "diff":
-            spread = ranks.quantiles_wide(rows, c, {f"{c}_p05": 0.05, f"{c}_p95": 0.95}, ["stop_status"], "nearest")
-            result = result.join(spread, "stop_status", "left")
-    return result.withColumns({c: settled(c) for c in ("calc_median", "recd_median", "diff_median")})
+        for name, q in (("median", 0.5), ("p05", 0.05), ("p95", 0.95)):
+            if name == "median" or c != "diff":
+                value = F.max(F.when((F.col("measure") == c) & (F.col("q") == q), F.col("value")))
+                picks.append((F.floor(value) / 1e6).alias(f"{c}_{name}"))
+    return found.groupBy("stop_status").agg(*picks)
 
 
 @query(
@@ -158,6 +168,17 @@ def _(t):
     return stats.histogram(intervals(t), "gap_sec", 1, 864_000, 80, scale="log").drop("edge")
 
 
+@query(
+    "log1p_histogram",
+    """SELECT least(floor(ln(1 + gap_sec) / ln(CAST(864001 AS DOUBLE)) * 80), 79) :: BIGINT AS bin, count(*) AS count
+       FROM trip_steps WHERE gap_sec BETWEEN 0 AND 864000 GROUP BY 1""",
+)
+def _(t):
+    from haltwerk.plans.queries_quality import intervals
+
+    return stats.histogram(intervals(t), "gap_sec", 0, 864_000, 80, scale="log1p").drop("edge")
+
+
 @query(
     "ecdf",
     """, ranked AS (SELECT drop_size, cume_dist() OVER (PARTITION BY rows_to_close IS NOT NULL ORDER BY drop_size) AS c,
@@ -183,11 +204,11 @@ def _(t):
     "binned_mean",
     f""", lim AS (SELECT quantile_cont(CAST({REC} AS DOUBLE), 0.01) AS q0, quantile_cont(CAST({REC} AS DOUBLE), 0.99) AS q1 FROM clean_core)
         SELECT least(floor(({REC} - q0) / ((q1 - q0) / 39)), 38) :: BIGINT AS bin, count(*) AS n,
-        round(avg({CALC} - {REC}) + 1e-9, 6) AS mean_y FROM clean_core, lim WHERE {REC} >= q0 AND {REC} < q1 GROUP BY 1""",
+        floor(sum(CAST(round(({CALC} - {REC}) * 1e6) AS BIGINT)) / count(*)) / 1e6 AS mean_y FROM clean_core, lim WHERE {REC} >= q0 AND {REC} < q1 GROUP BY 1""",
 )
 def _(t):
-    rows = clean_core(t).withColumn("diff", F.col(CALC) - F.col(REC))
-    return stats.binned_mean(rows, REC, "diff", 39).select("bin", "n", settled("mean_y"))
+    rows = clean_core(t).withColumn("diff", micros(F.col(CALC) - F.col(REC)))
+    return stats.binned_mean(rows, REC, "diff", 39).select("bin", "n", (F.floor(F.col("sum_y") / F.col("n")) / 1e6).alias("mean_y"))
 
 
 @query("delay_pearson", f"SELECT count(*) AS n, round(corr({CALC}, {REC}), 6) AS pearson FROM clean_core")
@@ -216,12 +237,7 @@ def _(t):
 )
 def _(t):
     # both limits come from the untrimmed rows
-    rows = clean_core(t)
-    kept = rows
-    for c in (CALC, REC):
-        limits = ranks.quantiles_wide(rows, c, {"lo": 0.05, "hi": 0.95}, method="nearest")
-        kept = kept.filter((F.col(c) >= limits.select("lo").scalar()) & (F.col(c) <= limits.select("hi").scalar()))
-    return stats.ols(kept, REC, CALC)
+    return stats.ols(stats.trimmed(clean_core(t), [CALC, REC]), REC, CALC)
 
 
 @query(
@@ -434,12 +450,31 @@ def _(t):
 @query(
     "zero_dwell_by_line",
     """SELECT linie, count(*) AS total, count(*) FILTER (dwell_time = 0) AS n_zero, count(*) FILTER (dwell_time > 0) AS n_positive,
-       round(median(dwell_time) FILTER (dwell_time > 0) + 1e-9, 6) AS median_pos,
+       floor(median(CAST(round(dwell_time * 1e6) AS BIGINT)) FILTER (dwell_time > 0)) / 1e6 AS median_pos,
        round(count(*) FILTER (dwell_time = 0) / count(*) * 100, 1) AS pct_zero
        FROM core WHERE stop_status <> 'no_door' GROUP BY linie""",
 )
 def _(t):
-    return diagnostics.zero_dwell_by_line(core(t)).withColumn("median_pos", settled("median_pos"))
+    rows = core(t).withColumn("dwell_time", micros("dwell_time"))
+    return diagnostics.zero_dwell_by_line(rows).withColumn("median_pos", F.floor("median_pos") / 1e6)
+
+
+@query(
+    "dwell_share",
+    """SELECT CASE WHEN dwell_time < 0 THEN 'sentinel' WHEN dwell_time = 0 THEN 'zero' ELSE 'positive' END AS kind,
+       count(*) AS count, round(100.0 * (count(*) / sum(count(*)) OVER ()), 1) AS pct FROM core GROUP BY 1""",
+)
+def _(t):
+    kind = F.when(F.col("dwell_time") < 0, "sentinel").when(F.col("dwell_time") == 0, "zero").otherwise("positive")
+    return stats.count_share(core(t).select(kind.alias("kind")), "kind")
+
+
+@query(
+    "core_status_share",
+    "SELECT stop_status, count(*) AS count, round(100.0 * (count(*) / sum(count(*)) OVER ()), 1) AS pct FROM core GROUP BY 1",
+)
+def _(t):
+    return stats.count_share(core(t).select("stop_status"), "stop_status")
 
 
 @query(
@@ -660,13 +695,13 @@ def _(t):
 
 @query("gbt_ablation")
 def _(t):
-    rows = stored(t, "splits", lambda: splits(t))
-    return ablation.run_ablation(rows, sets=["Full", "Ops-only"], rounds=3, depth=3, max_bins=256)
+    rows = stored(t, "splits", lambda: splits(t), "lineitem")
+    return ablation.run_ablation(rows, rounds=3, depth=3, max_bins=256)
 
 
 @query("feature_rank")
 def _(t):
-    rows = stored(t, "splits", lambda: splits(t))
+    rows = stored(t, "splits", lambda: splits(t), "lineitem")
     names = features.FEATURE_SETS["Full"]
     parts = {s: rows.filter(F.col("split") == s).drop("split") for s in ("train", "valid")}
     model = ablation.fit_gbt(parts["train"], parts["valid"], names, rounds=3, depth=3, max_bins=256)

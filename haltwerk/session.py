@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -33,6 +32,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "haltw
         .appName(app)
         .config("spark.driver.memory", os.environ.get("HALTWERK_DRIVER_MEMORY", "12g"))
         .config("spark.sql.shuffle.partitions", str(partitions))
+        .config("spark.sql.warehouse.dir", os.environ.get("HALTWERK_WAREHOUSE", "/tmp/haltwerk-warehouse"))
         .config("spark.ui.enabled", "false")
         # call sites of column functions cost several round trips each
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
@@ -45,10 +45,34 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "haltw
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """Folder for reliable checkpoints: the cluster's setting, else a fresh one."""
+    """Folder for written intermediate tables: ``spark.checkpoint.dir``, which all executors must share.
+
+    A session on one machine may do without the setting and uses a folder below
+    its warehouse; a cluster without it gets an error instead of a folder that
+    each executor would have for itself.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        shared = tempfile.mkdtemp(prefix="haltwerk-checkpoint-", dir="/tmp")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = f"{spark.conf.get('spark.sql.warehouse.dir')}/_intermediate"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared)
-    return shared
+    return shared.rstrip("/")
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def newest_change(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
+    """Name, length and modification time of the files of a table."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files, found = system.listFiles(place, True), []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))

@@ -128,8 +128,10 @@ class Tables:
         def cell(value):
             return F.lpad(value.cast("decimal(12,1)").cast("string"), 8, " ")
 
-        return daily.filter(day <= 25).select(
-            F.lpad(F.date_format("d", "yyyyMMdd"), 10, " ").alias(" MESS_DATUM"),
+        # the last days of a month are filed a century later, so that the feed has days without weather
+        filed = F.when(day <= 25, F.col("d")).otherwise(F.add_months("d", 1200))
+        return daily.select(
+            F.lpad(F.date_format(filed, "yyyyMMdd"), 10, " ").alias(" MESS_DATUM"),
             F.when(day % 7 == 3, "    -999").otherwise(cell((F.col("n") % 300) / 10)).alias(" TMK"),
             cell((F.col("n") % 350) / 10).alias(" TXK"),
             cell((F.col("top") % 90) / 10).alias(" TNK"),
@@ -143,13 +145,13 @@ class Tables:
 
     @property
     def special_days_text(self) -> DataFrame:
-        """Event calendar from the days of the feed: the 5th twice, the 12th and 26th once."""
+        """Event calendar from the days of the feed: the 5th twice, the 12th and 26th once, others a century later."""
         days = self.events.select(F.to_date("ts").alias("d")).distinct()
-        copies = F.when(F.dayofmonth("d") == 5, 2).when(F.dayofmonth("d").isin(12, 26), 1).otherwise(0)
-        listed = days.filter(copies > 0).withColumn("i", F.explode(F.sequence(F.lit(1), copies)))
+        listed = days.withColumn("i", F.explode(F.sequence(F.lit(1), F.when(F.dayofmonth("d") == 5, 2).otherwise(1))))
+        date = F.when(F.dayofmonth("d").isin(5, 12, 26), F.col("d")).otherwise(F.add_months("d", 1200))
         return listed.select(
             (F.dayofmonth("d") * 10 + F.col("i")).cast("long").alias("event_id"),
-            F.date_format("d", "yyyy-MM-dd").alias("date"),
+            F.date_format(date, "yyyy-MM-dd").alias("date"),
             F.concat(F.lit("type"), F.col("i").cast("string")).alias("event_type"),
             F.concat(F.lit("place"), F.dayofmonth("d").cast("string")).alias("location"),
             (51 + F.col("i") / 10).alias("latitude"),
@@ -176,14 +178,14 @@ class Tables:
 
     @property
     def vehicle_ranges(self) -> DataFrame:
-        """Number ranges from the parts: one tram and one bus range per size class up to 40."""
+        """Number ranges from the parts: one tram and one bus range per size class; classes over 40 far from any number."""
         size_class = F.expr("(p_size - 1) div 8")
-        classes = self.table("part").filter("p_size <= 40").groupBy(size_class.alias("c")).agg(
-            F.min("p_size").alias("lo"), F.max("p_size").alias("hi")
-        )
+        classes = self.table("part").groupBy(size_class.alias("c")).agg(F.min("p_size").alias("lo"), F.max("p_size").alias("hi"))
+        away = F.when(F.col("c") > 4, 10_000_000).otherwise(0)
+        classes = classes.select("c", (F.col("lo") + away).alias("lo"), (F.col("hi") + away).alias("hi"))
         tram = classes.select("c", (2900 + F.col("lo")).alias("a"), (2900 + F.col("hi")).alias("b"), F.lit("T").alias("g"))
         bus = classes.select(
-            "c", ((400 + F.col("lo")) * 1000).alias("a"), ((400 + F.col("hi")) * 1000 + 999).alias("b"), F.lit("B").alias("g")
+            "c", ((400 + F.col("lo")).cast("long") * 1000).cast("long").alias("a"), ((400 + F.col("hi")).cast("long") * 1000 + 999).cast("long").alias("b"), F.lit("B").alias("g")
         )
         return tram.unionByName(bus).select(
             F.concat("g", F.col("c").cast("string")).alias("typ"),
@@ -198,8 +200,9 @@ class Tables:
 
     @property
     def stop_geometry(self) -> DataFrame:
-        """Stops seen in the telemetry, 0 to 3, each under two names."""
-        stops = self.telemetry.filter("ort_nr_start < 4").select(F.col("ort_nr_start").alias("ort_nr")).distinct()
+        """Stops seen in the telemetry, each under two names; stops over 3 are filed under another number."""
+        number = F.when(F.col("ort_nr_start") < 4, F.col("ort_nr_start")).otherwise(F.col("ort_nr_start") + 100)
+        stops = self.telemetry.select(number.alias("ort_nr")).distinct()
         named = stops.withColumn("i", F.explode(F.array(F.lit(1), F.lit(2))))
         return named.select(
             "ort_nr",

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from haltwerk.functions.ordered import Series, unsliced
 from haltwerk.operators.detect import PING_SERIES, index_pings
@@ -57,18 +58,27 @@ def load_telemetry(spark: SparkSession, path: str, series: Series = PING_SERIES)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, **options) -> DataFrame:
-    """CSV with a header and an explicit schema; one scan, no inference."""
-    return spark.read.options(**{"header": True, "mode": "PERMISSIVE", **options}).schema(schema).csv(path)
+    """The named columns of a CSV with a header, whatever their order and whatever stands between them.
+
+    The header line is read first; types come from ``schema`` by name, other
+    columns are read as text and dropped.  A missing column raises, and so does
+    a file of the folder whose header differs.
+    """
+    wanted = {f.name: f for f in T._parse_datatype_string(schema).fields}
+    settings = {"header": True, "mode": "PERMISSIVE", **options}
+    header = require_columns(spark.read.options(**settings).csv(path), list(wanted)).columns
+    found = T.StructType([wanted.get(c, T.StructField(c, T.StringType())) for c in header])
+    return spark.read.options(**settings, enforceSchema=False).schema(found).csv(path).select(*[f"`{c}`" for c in wanted])
 
 
 def read_telemetry_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Telemetry CSV; columns are taken by position as in the schema."""
-    return read_csv(spark, path, TELEMETRY, enforceSchema=False)
+    """Telemetry CSV, columns by name."""
+    return read_csv(spark, path, TELEMETRY)
 
 
 def load_timetable(spark: SparkSession, path: str) -> DataFrame:
-    """Timetable CSV; the JSON stop list is quoted with doubled quotes."""
-    return read_csv(spark, path, TIMETABLE, quote='"', escape='"', multiLine=True)
+    """Timetable CSV; the JSON stop list stands in one line, quoted with doubled quotes, so that files can be split."""
+    return read_csv(spark, path, TIMETABLE, quote='"', escape='"')
 
 
 def load_weather(spark: SparkSession, path: str, missing: float = -999.0) -> DataFrame:
