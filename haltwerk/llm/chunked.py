@@ -22,8 +22,9 @@ SPAN = 256  # texts handled at once
 class Memory:
     """Joins the ids of chunks; ``encode`` gives the ids of a list of new chunks."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]]) -> None:
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], marks: str = "") -> None:
         self.encode = encode
+        self.marks = marks  # a chunk's trailing run of these, after a letter or digit, is encoded apart
         self.known: dict[str, bytes] = {"": b""}
 
     def join(self, texts: list[list[str]]) -> list[bytes]:
@@ -31,11 +32,19 @@ class Memory:
         if len(self.known) + len(new) > MEMORY:
             self.known = {"": b""}
             new = set().union(*texts) - self.known.keys()
+        ended: list[tuple[str, str]] = []
+        if self.marks:
+            ended = [(chunk, core) for chunk in new if (core := chunk.rstrip(self.marks)) and len(core) < len(chunk) and core[-1].isalnum()]
+            new -= {chunk for chunk, _ in ended}
+            new |= {core for _, core in ended} | {chunk[len(core) :] for chunk, core in ended}
+            new -= self.known.keys()
         fresh = sorted(new)
         self.known.update(zip(fresh, self.encode(fresh), strict=True))
         find = self.known.__getitem__
+        for chunk, core in ended:
+            self.known[chunk] = find(core) + find(chunk[len(core) :])
         joined = [b"".join(map(find, chunks)) for chunks in texts]
-        for chunk in fresh:
+        for chunk in (*fresh, *(c for c, _ in ended)):
             if len(chunk) > LONG:
                 del self.known[chunk]
         return joined
@@ -66,16 +75,21 @@ def _batch_encoder(path: str, plain_specials: bool) -> Callable[[list[str]], Ite
 
 @lru_cache(maxsize=4)
 def spaceless_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
-    """For a tokenizer that drops white space: texts are cut at spaces and line ends.
+    """For a lower-casing tokenizer that drops white space: texts are cut at spaces and line ends.
 
-    Such cuts lie between the tokenizer's own words, so ids are those of the
-    whole text.  Strings of special tokens in a text become their ids, as the
-    library does by default.
+    Such cuts lie between the tokenizer's own words, and so does the place where
+    letters or digits end and marks begin; the ids are those of the whole text.
+    A-Z are folded first, but for texts that might hold a special token's
+    string, which is told apart by case and becomes its id, as the library does
+    by default.
     """
-    memory = Memory(_batch_encoder(path, False))
+    memory = Memory(_batch_encoder(path, False), marks=".,;:!?#$%&*")
+
+    def folded(text: str) -> str:
+        return text if "<|" in text else text.encode().lower().decode()
 
     def encode(texts: list[str]) -> list[bytes]:
-        return memory.join([t.replace("\n", " ").split(" ") for t in texts])
+        return memory.join([folded(t).replace("\n", " ").split(" ") for t in texts])
 
     return encode
 
