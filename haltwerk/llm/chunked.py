@@ -64,6 +64,30 @@ def _library(path: str, plain_specials: bool):  # noqa: ANN202
     return made
 
 
+def _word_encoder(path: str) -> Callable[[list[str]], Iterable[bytes]]:
+    """For a tokenizer whose words end with tokens of their own kind: words of letters only go to the library in one string.
+
+    Their ids are told apart at those tokens.  If that doesn't give as many
+    parts as words, or for other chunks, each goes by itself.
+    """
+    library, plain = _library(path, False), _batch_encoder(path, False)
+    ends = np.zeros(library.get_vocab_size(), bool)
+    ends[[i for token, i in library.get_vocab().items() if token.endswith("</w>")]] = True
+
+    def encode(chunks: list[str]) -> Iterable[bytes]:
+        words = [c for c in chunks if c.isalpha()]
+        ids = np.array(library.encode(" ".join(words), add_special_tokens=False).ids if words else [], "<u4")
+        cuts = np.flatnonzero(ends[ids]) + 1
+        if len(cuts) != len(words):
+            return plain(chunks)
+        raw, at = ids.tobytes(), 4 * np.concatenate(([0], cuts))
+        parts = iter([raw[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
+        others = iter(plain([c for c in chunks if not c.isalpha()]))
+        return [next(parts) if c.isalpha() else next(others) for c in chunks]
+
+    return encode
+
+
 def _batch_encoder(path: str, plain_specials: bool) -> Callable[[list[str]], Iterable[bytes]]:
     library = _library(path, plain_specials)
 
@@ -83,7 +107,7 @@ def spaceless_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     string, which is told apart by case and becomes its id, as the library does
     by default.
     """
-    memory = Memory(_batch_encoder(path, False), marks=".,;:!?#$%&*")
+    memory = Memory(_word_encoder(path), marks=".,;:!?#$%&*")
 
     def folded(text: str) -> str:
         return text if "<|" in text else text.encode().lower().decode()
