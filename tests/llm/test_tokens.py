@@ -13,7 +13,7 @@ WORDS = public_tokenizers.path("word_bpe_49k.json")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = [
     "", " ", "plain text here", "  two  spaces  ", "tabs\tand\nlines \n \n\nmore\r\n x", "é é ́b ΑΣ ς İI",
-    "<|endoftext|> in <|startoftext|>text", "<|ENDOFTEXT|>. A.B, c1. é. ́. ½! x²?? a&&&b "<|endoftext|> in <|startoftext|>text", "<|endoftext|> in <|startoftext|>text", "<|endoftext|> in <|startoftext|>text",  #", "it's DON'T 12 345", "x\x1cy\x85z\xa0w　v", "nul \x00 byte", "🙂 emoji 你好", "x" * 700,
+    "<|endoftext|> in <|startoftext|>text", "<|ENDOFTEXT|>. A.B, c1. é. ́. ½! x²?? a&&&b &&& #", "it's DON'T 12 345", "x\x1cy\x85z\xa0w　v", "nul \x00 byte", "🙂 emoji 你好", "x" * 700,
     "▁ sign", "a b " * 400,
 ]
 
