@@ -21,6 +21,7 @@ HEADLINE = (
     "schedule_inclusive",
     "core_stop_events",
     "feature_matrix",
+    "project_core",  # writes the core table that later queries read
     "join_weather",
     "noisy_union",
     "gap_summary",

@@ -138,8 +138,11 @@ def ols(df: DataFrame, x: str, y: str) -> DataFrame:
     )
 
 
-def trimmed(df: DataFrame, columns: Sequence[str], low: float = 0.05, high: float = 0.95, method: str = "nearest") -> DataFrame:
-    """Rows between two quantiles in every given column; all limits come from the untrimmed rows, in one pass."""
+def trimmed(df: DataFrame, columns: Sequence[str], low: float = 0.05, high: float = 0.95, method: str = "nearest", inside: bool = True) -> DataFrame:
+    """Rows between two quantiles in every given column, or with ``inside=False`` those outside in some column.
+
+    All limits come from the untrimmed rows, in one run of quantiles.
+    """
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
     limits = quantiles(df.select(F.inline(cells)), "value", [low, high], ["column"], method)
     picks = []
@@ -147,9 +150,10 @@ def trimmed(df: DataFrame, columns: Sequence[str], low: float = 0.05, high: floa
         for name, q in (("lo", low), ("hi", high)):
             picks.append(F.max(F.when((F.col("column") == c) & (F.col("q") == q), F.col("value"))).alias(f"_{name}_{c}"))
     kept = df.join(F.broadcast(limits.agg(*picks)), F.lit(True))  # one row
+    between = F.lit(True)
     for c in columns:
-        kept = kept.filter(F.col(c).between(F.col(f"_lo_{c}"), F.col(f"_hi_{c}")))
-    return kept.select(*df.columns)
+        between = between & F.col(c).between(F.col(f"_lo_{c}"), F.col(f"_hi_{c}"))
+    return kept.filter(between if inside else ~between).select(*df.columns)
 
 
 def agreement(df: DataFrame, difference: Column, limits: Sequence[float]) -> DataFrame:

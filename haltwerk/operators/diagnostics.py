@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from haltwerk.functions.ordered import Series, keep_first, neighbours, running, unsliced
 from haltwerk.functions.ranks import quantiles
 from haltwerk.functions.scalars import count_where, false, local_time, share, true, whole_seconds_between
+from haltwerk.functions.stats import trimmed
 from haltwerk.operators.detect import DROP_THRESHOLD, PING_SERIES, index_pings, transitions
 
 TIMETABLE_KEY = ("fahrt_id", "ort_nr_start", "scheduled_arrival_time")
@@ -185,8 +186,8 @@ def event_context(events: DataFrame, pings: DataFrame, k: int = 3, series: Serie
 
 
 def hash_sample(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -> DataFrame:
-    """A repeatable sample of n rows: the first in the order of a seeded hash of their key."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), *keys).limit(n)
+    """A repeatable sample of n rows: the first in the order of a seeded hash of their key, the same in any engine."""
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]).cast("binary")), *keys).limit(n)
 
 
 # -- dwell --------------------------------------------------------------------
@@ -341,8 +342,4 @@ def gps_outside(df: DataFrame, lat: tuple[Column | float, Column | float], lon:
 def gps_outside_adaptive(df: DataFrame, low: float = 0.001, high: float = 0.999) -> DataFrame:
     """Rows outside the box of two quantiles of the valid coordinates."""
     valid = df.filter("pos_lat > 1 and pos_lon > 1")
-    box = {}
-    for c in ("pos_lat", "pos_lon"):
-        limits = quantiles(valid, c, [low, high], method="nearest")
-        box[c] = tuple(limits.filter(F.col("q") == q).select("value").scalar() for q in (low, high))
-    return gps_outside(valid, box["pos_lat"], box["pos_lon"])
+    return trimmed(valid, ["pos_lat", "pos_lon"], low, high, inside=False)

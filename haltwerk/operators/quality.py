@@ -261,20 +261,27 @@ def missing_summary(
     )
 
 
+def zero_vehicles(df: DataFrame) -> DataFrame:
+    """Vehicles with a zero coordinate."""
+    return gps_zero(df).select("fzg_id").distinct()
+
+
 def noisy_summary(
     df: DataFrame, spike: float = 300, small_drop: float = 50, extreme: float = 900, series: Series = TRIP_SERIES
 ) -> DataFrame:
-    """Noise report as one nested row; lists have one entry per status, line or affected vehicle."""
+    """Noise report as one nested row; lists have one entry per status or line.
+
+    Affected vehicles are counted; :func:`zero_vehicles` lists them as a table.
+    """
     flagged = noise_flags(df, spike, small_drop, extreme, series)
     lines = noisy_by_line(flagged)
 
     def entries(frame: DataFrame, *columns: str) -> Column:
         return frame.agg(F.sort_array(F.collect_list(F.struct(*columns)), False).alias("l")).scalar()
 
-    vehicles = gps_zero(df).select("fzg_id").distinct()
     return noisy_union(flagged).withColumns(
         {
-            "n1_affected_vehicles": vehicles.agg(F.sort_array(F.collect_list("fzg_id")).alias("l")).scalar(),
+            "n1_affected_vehicles": zero_vehicles(df).agg(F.count(F.lit(1))).scalar(),
             "n5_by_status": entries(default_zero_by_status(df), "count", "status_text"),
             "n6_by_status": entries(bad_status_by_status(df), "count", "status_text"),
             "noisy_by_line": entries(lines, "noisy_rate", *[c for c in lines.columns if c != "noisy_rate"]),

@@ -657,16 +657,27 @@ def _(t):
     return ablation.fixed_dwell(splits(t))
 
 
-@query("feature_sets")
-def _(t):
-    chosen = splits(t)
-    columns = [
-        F.struct(F.lit(name).alias("feature_set"), F.to_json(F.struct(*names)).alias("features"))
-        for name, names in features.FEATURE_SETS.items()
-    ]
-    return chosen.select("fahrt_id", "service_date", "split", F.explode(F.array(*columns)).alias("_s")).select(
-        "fahrt_id", "service_date", "split", "_s.*"
-    )
+def _sets_with(column: str) -> list[str]:
+    return [name for name, names in features.FEATURE_SETS.items() if column in names]
+
+
+def _set_column(c: str) -> str:
+    kind = "DOUBLE" if c in ("dwell_time", CALC) else "BIGINT"
+    value = f"CASE WHEN feature_set IN ({', '.join(repr(n) for n in _sets_with(c))}) THEN CAST({c} AS {kind}) END"
+    return f"round({value}, 6) AS {c}" if kind == "DOUBLE" else f"{value} AS {c}"
+
+
+@query(
+    "feature_sets",
+    f"""SELECT fahrt_id, service_date, split, feature_set, {", ".join(map(_set_column, features.FEATURES))}
+        FROM splits, (SELECT unnest([{", ".join(repr(n) for n in features.FEATURE_SETS)}]) AS feature_set)""",
+)
+def _(t):
+    """Every row once for each set, with the features of that set."""
+    names = F.array(*[F.lit(n) for n in features.FEATURE_SETS])
+    rows = splits(t).withColumn("feature_set", F.explode(names))
+    chosen = [F.when(F.col("feature_set").isin(_sets_with(c)), F.col(c)).alias(c) for c in features.FEATURES]
+    return rows.select("fahrt_id", "service_date", "split", "feature_set", *chosen)
 
 
 # The mean of the line in training stands in for a model's prediction.
