@@ -64,26 +64,32 @@ def _library(path: str, plain_specials: bool):  # noqa: ANN202
     return made
 
 
-def _word_encoder(path: str) -> Callable[[list[str]], Iterable[bytes]]:
-    """For a tokenizer whose words end with tokens of their own kind: words of letters only go to the library in one string.
+def _word_encoder(path: str, plain_specials: bool, edge: str, first: bool) -> Callable[[list[str]], Iterable[bytes]]:
+    """For a tokenizer whose words begin (``first``) or end with tokens that carry ``edge``.
 
-    Their ids are told apart at those tokens.  If that doesn't give as many
-    parts as words, or for other chunks, each goes by itself.
+    Words of letters only go to the library in one string, and their ids are
+    told apart at those tokens.  If that doesn't give as many parts as words,
+    and for other chunks, each goes by itself.
     """
-    library, plain = _library(path, False), _batch_encoder(path, False)
-    ends = np.zeros(library.get_vocab_size(), bool)
-    ends[[i for token, i in library.get_vocab().items() if token.endswith("</w>")]] = True
+    library, plain = _library(path, plain_specials), _batch_encoder(path, plain_specials)
+    edges = np.zeros(library.get_vocab_size(), bool)
+    edges[[i for token, i in library.get_vocab().items() if (token.startswith(edge) if first else token.endswith(edge))]] = True
+
+    def simple(chunk: str) -> bool:
+        return chunk[:1] == " " and chunk[1:].isalpha() if first else chunk.isalpha()
 
     def encode(chunks: list[str]) -> Iterable[bytes]:
-        words = [c for c in chunks if c.isalpha()]
-        ids = np.array(library.encode(" ".join(words), add_special_tokens=False).ids if words else [], "<u4")
-        cuts = np.flatnonzero(ends[ids]) + 1
-        if len(cuts) != len(words):
+        words = [c for c in chunks if simple(c)]
+        text = "".join(words) if first else " ".join(words)
+        ids = np.array(library.encode(text, add_special_tokens=False).ids if words else [], "<u4")
+        at = np.flatnonzero(edges[ids])
+        if len(at) != len(words) or (first and len(at) and at[0]):
             return plain(chunks)
-        raw, at = ids.tobytes(), 4 * np.concatenate(([0], cuts))
-        parts = iter([raw[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
-        others = iter(plain([c for c in chunks if not c.isalpha()]))
-        return [next(parts) if c.isalpha() else next(others) for c in chunks]
+        cuts = 4 * (np.append(at, len(ids)) if first else np.append(0, at + 1))
+        raw = ids.tobytes()
+        parts = iter([raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)])
+        others = iter(plain([c for c in chunks if not simple(c)]))
+        return [next(parts) if simple(c) else next(others) for c in chunks]
 
     return encode
 
@@ -107,7 +113,7 @@ def spaceless_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     string, which is told apart by case and becomes its id, as the library does
     by default.
     """
-    memory = Memory(_word_encoder(path), marks=".,;:!?#$%&*")
+    memory = Memory(_word_encoder(path, False, "</w>", False), marks=".,;:!?#$%&*")
 
     def folded(text: str) -> str:
         return text if "<|" in text else text.encode().lower().decode()
@@ -122,15 +128,19 @@ def spaceless_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
 def spaced_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """For a byte-level tokenizer whose words begin with their space.
 
-    A single space between two other characters begins a word; texts are cut
-    there.  Texts with other arrangements of spaces go to the library whole.
+    A single space between two other characters begins a word, a single line
+    end between two others is a word, and marks after a letter or digit are
+    words of their own; texts are cut there.  Texts with other arrangements of
+    spaces go to the library whole.
     """
-    memory = Memory(_batch_encoder(path, True))
+    memory = Memory(_word_encoder(path, True, "Ġ", True), marks=".,;:!?#$%&*")
 
     def chunks(text: str) -> list[str]:
         if "  " in text or text[:1] == " " or text[-1:] == " " or "\x00" in text:
             return [text]
-        return text.replace(" ", "\x00 ").split("\x00")
+        if "\n\n" in text or "\n " in text or " \n" in text or "\r" in text or "\t" in text or not text.isprintable() and any(c.isspace() and c not in " \n" for c in set(text)):
+            return text.replace(" ", "\x00 ").split("\x00")
+        return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
 
     def encode(texts: list[str]) -> list[bytes]:
         return memory.join([chunks(t) for t in texts])
