@@ -1,13 +1,13 @@
-"""Test items in training documents: rare n-gram seeds, then local alignment.
+"""Test items in training documents: n-gram seeds, then local alignment.
 
 1. Seeds.  All runs of ``seed_words`` words of the items are looked up in every
-   document, and the number of documents that hold each is counted.  Each item
-   keeps its rarer seeds: those in no more documents than four times its lower
-   quartile, or ``ALWAYS``.  A phrase that everybody uses drops out, while an item
-   copied into very many documents keeps its seeds, however frequent.
-2. Join.  Rare seeds join passages to items: seeds of one item that lie on about
-   the same diagonal of a document give one passage, the item's length and a
-   margin wide.
+   document; none is left out for being frequent, so that what is found in a
+   document depends on the document and the items alone, however many copies
+   other documents hold.
+2. Join.  Seeds join passages to items: seeds of one item that lie on about the
+   same diagonal of a document give one passage, the item's length and a margin
+   wide.  A passage that lacks so many of the item's words that no alignment can
+   reach ``threshold`` is dropped, which is how phrases that everybody uses go.
 3. Alignment.  Smith-Waterman scores item against passage, word by word: a match
    2, a mismatch or a gap -1.  ``score`` is the best local alignment's share of
    the item's score against itself; a copy with words replaced, left out or put
@@ -35,7 +35,6 @@ from haltwerk.llm.words import Texts, ngrams, slices, split, texts_of
 
 SEED_WORDS = 3
 THRESHOLD = 0.5
-ALWAYS = 16
 BLOCK_ITEMS = 5_000
 BLOCK_BYTES = 8 << 20
 MATCH, MISS, GAP = 2, -1, -1
@@ -56,6 +55,8 @@ class Items:
     seeds: np.ndarray  # hash, ascending
     owner: np.ndarray  # item of each seed
     place: np.ndarray  # first word of each seed
+    vocabulary: np.ndarray  # word hashes of all items, ascending
+    word_ids: list[np.ndarray]  # the items' words as places in the vocabulary
 
 
 def _items(table: pa.Table, seed_words: int) -> Items:
@@ -66,7 +67,11 @@ def _items(table: pa.Table, seed_words: int) -> Items:
     first = np.searchsorted(t.doc, np.arange(t.n + 1))
     order = np.argsort(seeds, kind="stable")
     owner = t.doc[at[order]]
-    return Items(table.column("item_id").combine_chunks(), [hashes[i:j] for i, j in zip(first[:-1], first[1:], strict=True)], seeds[order], owner, at[order] - first[owner])
+    vocabulary, ids = np.unique(hashes, return_inverse=True)
+    spans = list(zip(first[:-1], first[1:], strict=True))
+    return Items(
+        table.column("item_id").combine_chunks(), [hashes[i:j] for i, j in spans], seeds[order], owner, at[order] - first[owner], vocabulary, [ids[i:j] for i, j in spans]
+    )
 
 
 def _blocks(items: DataFrame, id_column: str, text_column: str, seed_words: int) -> Iterator[Items]:
@@ -88,39 +93,6 @@ def _found(seeds: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return hit, at[hit]
 
 
-def _frequencies(docs: DataFrame, items: Items, seed_words: int) -> np.ndarray:
-    """Documents that hold each seed of the block, over all documents."""
-    seeds = np.unique(items.seeds)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(len(seeds), np.int64)
-        for batch in batches:
-            texts = texts_of(batch)
-            for a, b in slices(texts):
-                t = _words(texts[a:b])
-                gram, at = ngrams(t.word_hash(), t.doc, seed_words)
-                hit, seed = _found(seeds, gram)
-                pairs = np.unique(seed * t.n + t.doc[at[hit]])
-                count += np.bincount(pairs // t.n, minlength=len(seeds))
-        some = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some])], names=["seed", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n")).collect()  # seeds of one block
-    count = np.zeros(len(seeds), np.int64)
-    for seed, n in rows:
-        count[seed] = n
-    return count[np.searchsorted(seeds, items.seeds)]
-
-
-def _rare(items: Items, count: np.ndarray) -> Items:
-    keep = np.zeros(len(count), bool)
-    for k in range(len(items.words)):
-        mine = np.flatnonzero(items.owner == k)
-        if len(mine):
-            keep[mine] = count[mine] <= max(ALWAYS, 4 * np.quantile(count[mine], 0.25))
-    return Items(items.ids, items.words, items.seeds[keep], items.owner[keep], items.place[keep])
-
-
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     """Smith-Waterman: the best score, and the passage words it spans (first, one past the last).
 
@@ -149,6 +121,15 @@ def _best(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return top, end, upto
 
 
+def _reach(present: np.ndarray) -> int:
+    """The most an alignment can score when only the marked words of the item occur in the passage.
+
+    Every item word within the aligned span gives a match at most, and costs a mismatch or a gap if the passage lacks it.
+    """
+    running = np.concatenate(([0], np.cumsum(np.where(present, MATCH, max(MISS, GAP)))))
+    return int((running - np.minimum.accumulate(running)).max())
+
+
 def _passages(doc: np.ndarray, item: np.ndarray, diagonal: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hits of one document and item whose diagonals follow each other closely, as one passage each: doc, item, low, high diagonal."""
     order = np.lexsort((diagonal, item, doc))
@@ -174,13 +155,21 @@ def _matched(t: Texts, items: Items, seed_words: int, threshold: float) -> list[
     first = np.searchsorted(t.doc, np.arange(t.n + 1))
     doc = t.doc[at]
     lengths = np.array([len(w) for w in items.words])
+    word_id = np.minimum(np.searchsorted(items.vocabulary, hashes), len(items.vocabulary) - 1)
+    word_id[items.vocabulary[word_id] != hashes] = len(items.vocabulary)
+    seen = np.zeros(len(items.vocabulary) + 1, bool)
     found: dict[tuple[int, int], tuple[float, int, int]] = {}
     for d, k, low, high in zip(*_passages(doc, items.owner[which], at - first[doc] - items.place[which], lengths), strict=True):
         item = items.words[k]
         margin = len(item) // 4 + 2
         a, b = max(low - margin, 0), high + len(item) + margin
-        passage = hashes[first[d] + a : min(first[d] + b, first[d + 1])]
-        score, start, end = align(item, passage)
+        span = slice(first[d] + a, min(first[d] + b, first[d + 1]))
+        seen[word_id[span]] = True
+        present = seen[items.word_ids[k]]
+        seen[word_id[span]] = False
+        if _reach(present) / (MATCH * len(item)) < threshold:
+            continue
+        score, start, end = align(item, hashes[span])
         share = score / (MATCH * len(item))
         old = found.get((d, k))
         if share >= threshold and (old is None or share > old[0]):
@@ -204,17 +193,16 @@ def matches(
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, first_word bigint, past_word bigint"
     out = docs.sparkSession.createDataFrame([], schema)
     for block in _blocks(items, item_column, item_text, seed_words):
-        rare = _rare(block, _frequencies(docs, block, seed_words))
 
-        def run(batches: Iterator[pa.RecordBatch], rare: Items = rare) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts = texts_of(batch)
                 for a, b in slices(texts):
-                    rows = _matched(_words(texts[a:b]), rare, seed_words, threshold)
+                    rows = _matched(_words(texts[a:b]), block, seed_words, threshold)
                     if rows:
                         doc, item, score, start, end = zip(*rows, strict=True)
                         yield pa.RecordBatch.from_arrays(
-                            [batch.column(0)[a:b].take(pa.array(doc)), rare.ids.take(pa.array(item)), pa.array(score), pa.array(start, pa.int64()), pa.array(end, pa.int64())],
+                            [batch.column(0)[a:b].take(pa.array(doc)), block.ids.take(pa.array(item)), pa.array(score), pa.array(start, pa.int64()), pa.array(end, pa.int64())],
                             names=["doc_id", "item_id", "score", "first_word", "past_word"],
                         )
 
@@ -226,14 +214,13 @@ def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, seed_
     """The documents that hold no item, row by row, with all their columns."""
     at = docs.columns.index("text")
     for block in _blocks(items, "item_id", "text", seed_words):
-        rare = _rare(block, _frequencies(docs, block, seed_words))
 
-        def run(batches: Iterator[pa.RecordBatch], rare: Items = rare) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts = batch.column(at).fill_null("")
                 keep = np.ones(batch.num_rows, bool)
                 for a, b in slices(texts):
-                    for d, *_ in _matched(_words(texts[a:b]), rare, seed_words, threshold):
+                    for d, *_ in _matched(_words(texts[a:b]), block, seed_words, threshold):
                         keep[a + d] = False
                 yield batch.filter(pa.array(keep))
 

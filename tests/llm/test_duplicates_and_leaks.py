@@ -89,6 +89,29 @@ def test_blocks_of_items_and_frequent_copies(spark, monkeypatch):
     assert decontaminate.matches(docs, items_of(spark)).count() == 200
 
 
+def test_many_equal_edited_copies(spark):
+    """Found in 200 documents as in one, though the words replaced leave few seeds, all of them frequent."""
+    item = ITEMS[0][1].split()
+    for edits in ((4, 9), (2, 7, 12)):  # 20 % of 15 words: 6 of 13 seeds gone and more
+        copy = " ".join("other" if i in edits else w for i, w in enumerate(item))
+        docs = spark.createDataFrame([(i, f"x{i} {copy} y{i}") for i in range(200)], "doc_id long, text string").repartition(3)
+        assert decontaminate.matches(docs, items_of(spark)).count() == 200
+        assert decontaminate.clean(docs, items_of(spark)).count() == 0
+
+
+def test_frequent_phrases_are_no_leaks(spark):
+    docs = spark.createDataFrame([(i, f"x{i} the lazy dog near the river bank y{i}") for i in range(200)], "doc_id long, text string")
+    assert decontaminate.matches(docs, items_of(spark)).count() == 0
+
+
+def test_reach_is_no_less_than_the_score():
+    draw = random.Random(3)
+    for _ in range(300):
+        a = np.array([draw.randrange(8) for _ in range(draw.randrange(1, 12))])
+        b = np.array([draw.randrange(8) for _ in range(draw.randrange(1, 8))])
+        assert decontaminate._reach(np.isin(a, b)) >= brute.smith_waterman(list(a), list(b))
+
+
 def test_leaks_in_odd_and_no_rows(spark, odd, nothing):
     assert decontaminate.matches(odd, items_of(spark)).collect() == []
     assert decontaminate.clean(odd, items_of(spark)).count() == 13
