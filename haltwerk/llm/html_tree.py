@@ -9,12 +9,18 @@ from dataclasses import dataclass, field
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 
-INLINE = frozenset(
+MATH = frozenset(
+    "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics annotation annotation-xml".split()
+)
+_SVG = frozenset(
+    "g path circle rect line polyline polygon ellipse text tspan textpath defs use symbol marker mask pattern clippath lineargradient radialgradient stop filter image foreignobject desc metadata switch view".split()
+)
+INLINE = MATH | frozenset(
     "a abbr acronym b bdi bdo big cite code data dfn del em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # contents are not text of the page
-SILENT = frozenset("script style noscript template title textarea iframe object svg math canvas audio video select noframes".split())
+SILENT = frozenset("script style noscript template title textarea iframe object svg annotation annotation-xml canvas audio video select noframes".split())
 _RAW = frozenset("script style title textarea noscript iframe noframes template".split())
 _CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
@@ -54,7 +60,7 @@ def parse(page: str) -> Tree:
     tree = Tree()
     stack: list[tuple[str, int]] = []  # open elements: tag, node (of the nearest block)
     pieces: list[tuple[str, bool]] = []
-    links, silent, node = 0, 0, -1
+    links, silent, foreign, node = 0, 0, 0, -1
 
     def add(tag: str, marks: str, text: str, linked: int) -> int:
         tree.tag.append(tag)
@@ -73,10 +79,11 @@ def parse(page: str) -> Tree:
 
     def leave(index: int) -> None:
         """Close the open elements from ``index`` on."""
-        nonlocal node, links, silent
+        nonlocal node, links, silent, foreign
         for tag, _ in stack[index:]:
             links -= tag == "a"
             silent -= tag in SILENT
+            foreign -= tag in ("svg", "math")
         if any(tag not in INLINE for tag, _ in stack[index:]):
             flush()
         del stack[index:]
@@ -118,12 +125,19 @@ def parse(page: str) -> Tree:
             if not silent:
                 pieces.append((" ", False))
             continue
+        if (foreign or tag in ("svg", "math")) and m.group(3).endswith("/"):
+            continue  # only there a closing slash ends the element
+        foreign += tag in ("svg", "math")
         if tag in INLINE:
             if tag == "a":
                 links += 1
+            silent += tag in SILENT
             if tag not in VOID:
                 stack.append((tag, node))
             continue
+        if foreign and tag in _SVG:
+            stack.append((tag, node))
+            continue
         # a block element: closes what it may not stand in
         for k in range(len(stack) - 1, 0, -1):
             open_tag = stack[k][0]

@@ -108,3 +108,17 @@ def test_pipeline_keeps_clean_documents(spark):
 
 def test_every_query_is_registered():
     assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 11))
+
+
+def test_self_closed_pictures_and_formulas_keep_the_text():
+    def runs(body):
+        tree = html_tree.parse(f"<html><body><article><p>{body}</p><p>After.</p></article></body></html>")
+        return [t for t in tree.text if t]
+
+    assert runs("One <svg viewBox='0 0 1 1' /> two") == ["One two", "After."]
+    assert runs("One <math/> two") == ["One two", "After."]
+    assert runs("Let <math><mi>x</mi><mspace width='1em'/><mo>&gt;</mo><mn>0</mn></math> be") == ["Let x>0 be", "After."]
+    assert runs("<math><semantics><mi>y</mi><annotation encoding='tex'>\\y</annotation></semantics></math> too") == ["y too", "After."]
+    assert runs("<svg><title/><path d='M0'/><text>no</text></svg>One") == ["One", "After."]
+    tree = html_tree.parse("<article><svg/>Directly<p>in it</p></article>")
+    assert [t for t in tree.text if t] == ["Directly", "in it"]
