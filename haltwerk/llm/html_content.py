@@ -374,13 +374,13 @@ def fit(pages: list[str], l2: float = 3e-6, steps: int = 300, rate: float = 0.1)
 
 
 def fitted(pages: DataFrame, fit_pages: int = FIT_PAGES, id_column: str = "page_id", html_column: str = "html") -> ContentModel:
-    """Train on about ``fit_pages`` of the pages, drawn by a hash of the id and taken to the driver."""
-    total = pages.count()
-    share = min(1.0, fit_pages / max(total, 1))
-    drawn = F.pmod(F.xxhash64(F.col(id_column), F.col(html_column)), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0)
+    """Train on about ``fit_pages`` of the pages that label themselves, drawn by a hash of the id and taken to the driver."""
     # a page of a megabyte teaches no more than one of some kilobytes
     small = F.coalesce(F.length(html_column), F.lit(0)) < 100_000
-    sample = pages.where(drawn & small).select(html_column).toArrow().column(0).to_pylist()
+    labelled = pages.where(small & F.col(html_column).rlike(r"(?i)<article[\s/>]"))
+    share = min(1.0, fit_pages / max(labelled.count(), 1))
+    drawn = F.pmod(F.xxhash64(F.col(id_column), F.col(html_column)), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0)
+    sample = labelled.where(drawn).select(html_column).toArrow().column(0).to_pylist()
     return fit(sorted(x for x in sample if x))
 
 

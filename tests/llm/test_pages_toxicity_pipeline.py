@@ -122,3 +122,12 @@ def test_self_closed_pictures_and_formulas_keep_the_text():
     assert runs("<svg><title/><path d='M0'/><text>no</text></svg>One") == ["One", "After."]
     tree = html_tree.parse("<article><svg/>Directly<p>in it</p></article>")
     assert [t for t in tree.text if t] == ["Directly", "in it"]
+
+
+def test_few_labelled_pages_among_many_train(spark, monkeypatch):
+    monkeypatch.setattr(html_content, "fit", lambda pages: pages)
+    labelled = [f"<html><body><ARTICLE class='a'><p>Text {i}.</p></ARTICLE></body></html>" for i in range(4)]
+    others = [f"<html><body><div><p>articles {i}</p></div></body></html>" for i in range(400)]
+    pages = spark.createDataFrame(list(enumerate([None, *labelled, *others])), "page_id long, html string").repartition(3)
+    assert html_content.fitted(pages, fit_pages=8) == sorted(labelled)
+    assert html_content.fitted(pages.where("page_id > 4"), fit_pages=8) == []
