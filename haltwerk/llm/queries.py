@@ -18,6 +18,7 @@ from haltwerk.llm import (
     quality_rules,
     scratch,
     separator_scan,
+    suffix_dedup,
     token_files,
     toxicity_chain,
     viterbi,
@@ -104,3 +105,15 @@ def op10_mixing_coder(spark: SparkSession, folder: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     token_files.write(table(spark, folder, "documents"), path, tokenizer, end_id=2, alphabet=49408)
     return token_files.digest(spark.read.parquet(path)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op11_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    rows = suffix_dedup.dedup(table(spark, folder, "documents"))
+    return rows.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
