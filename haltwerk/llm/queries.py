@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from haltwerk.llm import (
     decontaminate,
     deleted_interpolation,
+    filter_audit,
     html_content,
     minmax_dedup,
     quality_classifier,
@@ -117,3 +118,11 @@ def op11_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
         F.size("spans").cast("bigint").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+ORACLE_SQL["op13_filter_audit"] = filter_audit.SQL
