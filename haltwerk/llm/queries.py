@@ -19,6 +19,7 @@ from haltwerk.llm import (
     quality_rules,
     scratch,
     separator_scan,
+    spelling_variants,
     suffix_dedup,
     token_files,
     toxicity_chain,
@@ -120,6 +121,12 @@ def op11_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    words = spelling_variants.counted_words(table(spark, folder, "documents"))
+    return spelling_variants.variants(words)
+
+
 @query
 def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
