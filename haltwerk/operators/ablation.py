@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Mapping
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from haltwerk.functions.scalars import clip
 from haltwerk.functions.stats import error_metrics, relative_improvement
+from haltwerk.operators import boosting
+from haltwerk.operators.boosting import Settings
 from haltwerk.operators.features import CATEGORICAL, FEATURE_SETS, TRAVEL_CLIP
-from haltwerk.session import checkpoint_folder
 
 
 def split_days(features: DataFrame, min_rows: int = 10_000, n_valid: int = 2) -> DataFrame:
@@ -75,95 +73,48 @@ def feature_set(split: DataFrame, name: str) -> DataFrame:
     return split.select(*FEATURE_SETS[name], "target", "split")
 
 
-def fit_gbt(
-    train: DataFrame,
-    valid: DataFrame,
-    features: Sequence[str],
-    cats: Sequence[str] = CATEGORICAL,
-    rounds: int = 500,
-    step: float = 0.05,
-    depth: int = 6,
-    max_bins: int = 4096,
-    seed: int = 42,
-    checkpoint_interval: int = 10,
-    row_share: float = 0.8,
-    min_leaf: int = 50,
-    patience: int = 50,
-) -> PipelineModel:
-    """Boosted trees with early stopping on the validation rows.
-
-    Training ends after ``rounds``, or when ``patience`` rounds have brought no
-    lower squared error on the validation rows; the trees up to the best round
-    are kept.  Spark's own rule would end at the first round that gains less
-    than 1 %.  Trees of a longer run begin with those of a shorter one, so runs
-    are lengthened until patience is spent and the best length is fitted last.
-
-    ``row_share`` is the share of the training rows that each tree sees (the
-    sampling of stochastic boosting; 1 uses all), ``min_leaf`` the least rows of
-    a leaf.
-
-    Category values unseen in training share one extra index.
-    """
-    checkpoint_folder(train.sparkSession)
-    used = [c for c in features if c in cats]
-    indexed = {c: f"{c}_index" for c in used}
-    rows = train.withColumn("_valid", F.lit(False)).unionByName(valid.withColumn("_valid", F.lit(True)))
-    numbers = rows.select(
-        *[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) if c not in used else F.col(c).cast("string").alias(c) for c in features],
-        F.col("target").cast("double").alias("target"),
-        "_valid",
-    )
-    stages = [
-        *[StringIndexer(inputCol=c, outputCol=i, handleInvalid="keep") for c, i in indexed.items()],
-        VectorAssembler(inputCols=[indexed.get(c, c) for c in features], outputCol="features", handleInvalid="keep"),
-    ]
-    prepared = Pipeline(stages=stages).fit(numbers)
-    ready = prepared.transform(numbers).select("features", "target", "_valid")
-    learn, check = ready.filter(~F.col("_valid")), ready.filter("_valid")
-    trees = GBTRegressor(
-        labelCol="target",
-        featuresCol="features",
-        predictionCol="pred",
-        stepSize=step,
-        maxDepth=depth,
-        maxBins=max_bins,
-        minInstancesPerNode=min_leaf,
-        subsamplingRate=row_share,
-        seed=seed,
-        checkpointInterval=checkpoint_interval,
-    )
+VARIANTS = ("computed", "fixed")
+
+
+def both_variants(split: DataFrame) -> DataFrame:
+    """Each row once, with the computed and the fixed dwell time beside each other."""
+    fixed = fixed_dwell(split.withColumn("dwell_computed", F.col("dwell_time")))
+    return fixed.withColumnRenamed("dwell_time", "dwell_fixed")
+
+
+def model_columns(sets: Iterable[str] = tuple(FEATURE_SETS)) -> dict[str, list[str]]:
+    """Name and feature columns of the model of every set and variant."""
+    return {f"{s} {v}": [f"dwell_{v}" if c == "dwell_time" else c for c in FEATURE_SETS[s]] for s in sets for v in VARIANTS}
 
-    def fitted(n: int) -> GBTRegressionModel:
-        return trees.copy({trees.maxIter: n}).fit(learn)
-
-    n = rounds if check.isEmpty() else min(rounds, patience + patience // 4 + 1)
-    model = fitted(n)
-    while not check.isEmpty():
-        errors = model.evaluateEachIteration(check, "squared")
-        best = 1 + errors.index(min(errors))
-        if n == rounds or best + patience <= n:
-            model = model if best == n else fitted(best)
-            break
-        n = min(rounds, 2 * n)
-        model = fitted(n)
-    return PipelineModel([*prepared.stages, model])
-
-
-def score(model: PipelineModel, test: DataFrame, features: Sequence[str], cats: Sequence[str] = CATEGORICAL, lo: float = TRAVEL_CLIP[0], hi: float = TRAVEL_CLIP[1]) -> DataFrame:
-    """Predictions clipped to the target's bounds."""
-    numbers = test.select(
-        *[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) if c not in cats else F.col(c).cast("string").alias(c) for c in features],
-        F.col("target").cast("double").alias("target"),
+
+def fit_models(split: DataFrame, path: str, sets: Iterable[str] = tuple(FEATURE_SETS), settings: Settings = Settings()) -> str:
+    """Train the models of all sets and variants on the training days and write them below ``path``."""
+    rows = both_variants(split.filter(F.col("split").isin("train", "valid"))).withColumn("valid", F.col("split") == "valid")
+    return boosting.fit(rows, model_columns(sets), path, categories=CATEGORICAL, settings=settings)
+
+
+def predictions(split: DataFrame, path: str, sets: Iterable[str] = tuple(FEATURE_SETS), lo: float = TRAVEL_CLIP[0], hi: float = TRAVEL_CLIP[1]) -> DataFrame:
+    """Test rows with the prediction of each stored model, clipped to the target's bounds; one row per model."""
+    names = {name: f"_p{k}" for k, name in enumerate(model_columns(sets))}
+    rows = boosting.predict(both_variants(split).filter("split = 'test'"), path, names, CATEGORICAL)
+    scored = [
+        F.struct(F.lit(s).alias("feature_set"), F.lit(v).alias("variant"), clip(names[f"{s} {v}"], lo, hi).alias("pred")) for s in sets for v in VARIANTS
+    ]
+    return rows.withColumn("_s", F.explode(F.array(*scored))).select(
+        "_s.feature_set",
+        "_s.variant",
+        F.col("is_peak_hour").cast("bigint").alias("is_peak_hour"),
+        F.col("stop_status").cast("bigint").alias("stop_status"),
+        "target",
+        "_s.pred",
     )
-    return model.transform(numbers).withColumn("pred", clip("pred", lo, hi))
 
 
-def feature_rank(model: PipelineModel, spark, features: Sequence[str]) -> DataFrame:
-    """Features by importance; one row per feature."""
-    importances = model.stages[-1].featureImportances.toArray()
-    rows = [(f, float(v)) for f, v in zip(features, importances)]
-    ranked = spark.createDataFrame(rows, "feature string, importance double")
-    return ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.col("importance").desc(), "feature")))
+def feature_rank(spark: SparkSession, path: str, name: str = "Full", variant: str = "computed") -> DataFrame:
+    """Features of a stored model by their share of the gain; one row per feature."""
+    columns = model_columns([name])[f"{name} {variant}"]
+    ranked = boosting.importances(spark, path, f"{name} {variant}", columns)
+    return ranked.withColumn("feature", F.when(F.col("feature") == f"dwell_{variant}", "dwell_time").otherwise(F.col("feature")))
 
 
 def compare_variants(scored: Mapping[str, DataFrame]) -> DataFrame:
@@ -181,28 +132,6 @@ def compare_variants(scored: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
-def predictions(split: DataFrame, sets: Iterable[str] = tuple(FEATURE_SETS), **training) -> DataFrame:
-    """Test rows with the prediction of each feature set's model, fitted on the computed and on the fixed variant."""
-    variants = {"computed": split, "fixed": fixed_dwell(split)}
-    out = None
-    for name in sets:
-        features = FEATURE_SETS[name]
-        for label, rows in variants.items():
-            chosen = rows.select(*features, "target", "split")
-            parts = {s: chosen.filter(F.col("split") == s).drop("split") for s in ("train", "valid", "test")}
-            model = fit_gbt(parts["train"], parts["valid"], features, **training)
-            scored = score(model, parts["test"], features).select(
-                F.lit(name).alias("feature_set"),
-                F.lit(label).alias("variant"),
-                F.col("is_peak_hour").cast("bigint").alias("is_peak_hour"),
-                F.col("stop_status").cast("bigint").alias("stop_status"),
-                "target",
-                "pred",
-            )
-            out = scored if out is None else out.unionByName(scored)
-    return out
-
-
 def compared_sets(predicted: DataFrame, sets: Iterable[str] = tuple(FEATURE_SETS)) -> DataFrame:
     """Both variants' errors per feature set; one row per set."""
     results = None
@@ -213,7 +142,7 @@ def compared_sets(predicted: DataFrame, sets: Iterable[str] = tuple(FEATURE_SETS
     return results
 
 
-def run_ablation(split: DataFrame, sets: Iterable[str] = tuple(FEATURE_SETS), **training) -> DataFrame:
-    """Fit and score both variants per feature set; one row per set."""
+def run_ablation(split: DataFrame, path: str, sets: Iterable[str] = tuple(FEATURE_SETS), settings: Settings = Settings()) -> DataFrame:
+    """Fit, store and score both variants per feature set; one row per set."""
     sets = tuple(sets)
-    return compared_sets(predictions(split, sets, **training), sets)
+    return compared_sets(predictions(split, fit_models(split, path, sets, settings), sets), sets)

@@ -64,30 +64,35 @@ def fresh_core(t: Tables) -> DataFrame:
 _STORED: dict[tuple, str] = {}
 
 
-def _forget(spark: SparkSession) -> None:
-    """Delete the stored tables of this application; runs when Python ends, while the session still lives."""
-    for key in [k for k in _STORED if k[0] == spark.sparkContext.applicationId]:
+def _forget(spark: SparkSession, application: str) -> None:
+    """Delete the stored tables of an application when Python ends; its session may be stopped by then."""
+    for key in [k for k in _STORED if k[0] == application]:
         with suppress(Exception):
             delete_folder(spark, _STORED.pop(key))
 
 
-def stored(t: Tables, name: str, build: Callable[[], DataFrame], source: str = "events") -> DataFrame:
-    """A table written once per state of the source table's files, then read.
-
-    Analyses of the core table pass over it several times, so they read the
-    written table, as one would in production.
-    """
+def stored_folder(t: Tables, name: str, write: Callable[[str], object], source: str = "events") -> str:
+    """A folder that ``write`` fills once per state of the source table's files."""
     application = t.spark.sparkContext.applicationId
     key = (application, t.folder, name, newest_change(t.spark, f"{t.folder}/{source}.parquet"))
     if key not in _STORED:
         if not any(k[0] == application for k in _STORED):
-            atexit.register(_forget, t.spark)
+            atexit.register(_forget, t.spark, application)
         path = scratch(t, name)
-        files.write_parquet(build(), path)
+        write(path)
         for old in [k for k in _STORED if k[:3] == key[:3]]:
             delete_folder(t.spark, _STORED.pop(old))
         _STORED[key] = path
-    return t.spark.read.parquet(_STORED[key])
+    return _STORED[key]
+
+
+def stored(t: Tables, name: str, build: Callable[[], DataFrame], source: str = "events") -> DataFrame:
+    """A table written once per state of the source table's files, then read.
+
+    Analyses of the core table pass over it several times, so they read the
+    written table, as one would in production.
+    """
+    return t.spark.read.parquet(stored_folder(t, name, lambda path: files.write_parquet(build(), path), source))
 
 
 def core(t: Tables) -> DataFrame:

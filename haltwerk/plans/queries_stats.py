@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haltwerk.functions import ranks, stats
 from haltwerk.operators import ablation, detect, diagnostics, enrich, features, motion, timetable
-from haltwerk.plans.queries_core import clean_core, core, detected, indexed, schedule, stored
+from haltwerk.plans.queries_core import clean_core, core, detected, indexed, schedule, stored, stored_folder
 from haltwerk.plans.registry import query
 from haltwerk.sources.driver_tables import Tables
 
@@ -704,10 +704,18 @@ def _(t):
     return stats.error_metrics(_baseline(t), by=["is_peak_hour", "stop_status"])
 
 
+def stored_splits(t: Tables) -> DataFrame:
+    return stored(t, "splits", lambda: splits(t), "lineitem")
+
+
+def model_folder(t: Tables) -> str:
+    """The models of all sets and variants, trained once with the operator's full settings and stored."""
+    return stored_folder(t, "models", lambda path: ablation.fit_models(stored_splits(t), path), "lineitem")
+
+
 def predicted(t: Tables) -> DataFrame:
-    """The models' predictions of the test rows, written once; the models have the operator's full defaults."""
-    rows = stored(t, "splits", lambda: splits(t), "lineitem")
-    return stored(t, "predictions", lambda: ablation.predictions(rows), "lineitem")
+    """The stored models' predictions of the test rows, written once."""
+    return stored(t, "predictions", lambda: ablation.predictions(stored_splits(t), model_folder(t)), "lineitem")
 
 
 @query("gbt_ablation")
@@ -728,8 +736,66 @@ def _(t):
 
 @query("feature_rank")
 def _(t):
-    rows = stored(t, "splits", lambda: splits(t), "lineitem")
-    names = features.FEATURE_SETS["Full"]
-    parts = {s: rows.filter(F.col("split") == s).drop("split") for s in ("train", "valid")}
-    model = ablation.fit_gbt(parts["train"], parts["valid"], names)
-    return ablation.feature_rank(model, t.spark, names)
+    return ablation.feature_rank(t.spark, model_folder(t))
+
+
+# What must hold of trained models, whatever their numbers: rows, order of the errors, and no worse than a constant.
+_MODELS = f"""models AS (SELECT unnest([{", ".join(repr(n) for n in features.FEATURE_SETS)}]) AS feature_set, variant
+    FROM (SELECT unnest(['computed', 'fixed']) AS variant))"""
+
+
+@query(
+    "gbt_ablation_checks",
+    f"""SELECT unnest([{", ".join(repr(n) for n in features.FEATURE_SETS)}]) AS feature_set, true AS errors_in_order, true AS improvement_fits""",
+)
+def _(t):
+    rows = ablation.compared_sets(predicted(t))
+    ordered = [(F.col(f"mae_{v}") > 0) & (F.col(f"mae_{v}") <= F.col(f"rmse_{v}")) for v in ablation.VARIANTS]
+    fits = F.abs(F.col("mae_improvement_pct") * F.col("mae_fixed") / 100 - (F.col("mae_fixed") - F.col("mae_computed"))) < 1e-6
+    return rows.select("feature_set", (ordered[0] & ordered[1]).alias("errors_in_order"), fits.alias("improvement_fits"))
+
+
+@query(
+    "model_error_checks",
+    f""", {_MODELS}, test AS (SELECT count(*) AS n, sum(target) AS total FROM splits WHERE split = 'test')
+        SELECT feature_set, variant, n, round(total, 6) AS total, true AS within_bounds, true AS no_worse_than_constant FROM models, test""",
+)
+def _(t):
+    """Every model scores every test row, inside the bounds, and with an error that a constant's is not clearly below."""
+    mean = stored_splits(t).filter("split = 'train'").agg(F.avg("target")).scalar()
+    rows = predicted(t).groupBy("feature_set", "variant").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("target").alias("total"),
+        F.min(F.col("pred").between(10, 600)).alias("within_bounds"),
+        F.avg((F.col("pred") - F.col("target")) ** 2).alias("own"),
+        F.avg((mean - F.col("target")) ** 2).alias("constant"),
+    )
+    return rows.withColumn("no_worse_than_constant", F.col("own") <= 1.02 * F.col("constant")).drop("own", "constant")
+
+
+@query(
+    "model_group_checks",
+    f""", {_MODELS}, test AS (
+            SELECT is_peak_hour :: BIGINT AS is_peak_hour, stop_status :: BIGINT AS stop_status, count(*) AS n FROM splits WHERE split = 'test' GROUP BY 1, 2)
+        SELECT feature_set, variant, is_peak_hour, stop_status, n, true AS errors_in_order FROM models, test""",
+)
+def _(t):
+    rows = stats.error_metrics(predicted(t), by=["feature_set", "variant", "is_peak_hour", "stop_status"])
+    return rows.select("feature_set", "variant", "is_peak_hour", "stop_status", "n", ((F.col("mae") >= 0) & (F.col("mae") <= F.col("rmse") + 1e-9)).alias("errors_in_order"))
+
+
+@query(
+    "feature_rank_checks",
+    f"SELECT unnest([{", ".join(repr(n) for n in features.FEATURES)}]) AS feature, true AS is_share, true AS sums_to_one, true AS ranks_fit",
+)
+def _(t):
+    """Every feature has a share of the gain between 0 and 1, the shares add up to 1, and ranks follow them."""
+    rows = ablation.feature_rank(t.spark, model_folder(t))
+    whole = Window.partitionBy()  # a row per feature
+    fits = F.coalesce(F.lag("importance").over(Window.orderBy("rank")) >= F.col("importance"), F.lit(True))
+    return rows.select(
+        "feature",
+        F.col("importance").between(0, 1).alias("is_share"),
+        (F.abs(F.sum("importance").over(whole) - 1) < 1e-9).alias("sums_to_one"),
+        fits.alias("ranks_fit"),
+    )

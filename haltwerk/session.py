@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import uuid
+from contextlib import suppress
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Time zone: every hour, date and weekday below is computed in UTC unless a
 # zone is named.  Skew: a hot trip in the timetable join is split at run time.
@@ -76,3 +79,28 @@ def newest_change(spark: SparkSession, path: str) -> tuple[tuple[str, int, int],
         f = files.next()
         found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
     return tuple(sorted(found))
+
+
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def _delete_written() -> None:
+    while _WRITTEN:
+        with suppress(Exception):
+            delete_folder(*_WRITTEN.pop())
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> str:
+    """Have a folder deleted when Python ends, whether or not its session still runs then."""
+    if not _WRITTEN:
+        atexit.register(_delete_written)
+    _WRITTEN.append((spark, path))
+    return path
+
+
+def temporary_table(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back; it is deleted when Python ends."""
+    spark = df.sparkSession
+    path = delete_at_exit(spark, f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
