@@ -1,35 +1,53 @@
-"""Exact ranks and quantiles of a column of any size.
+"""Exact ranks and quantiles of a column of any size and any distribution.
 
 ``percentile`` keeps every distinct value of a group in one task, and a global
-``row_number`` sorts everything in one task.  Here values are counted first,
-then placed into order-preserving buckets in two levels.  Running totals are
-taken over the buckets, whose number is fixed, and over the distinct values
-inside one small bucket.  Results are exact; only the work is spread.
+``row_number`` sorts everything in one task.  Here values are counted first, and
+each gets a 64-bit key that orders like the value: the bits of the double.  A
+histogram over the leading 12 bits of the keys gives buckets; a bucket with more
+than ``LIMIT`` distinct values is *full*, and only full buckets are looked at
+again, by the next 12 bits, until none is full or no bits are left.  So no window
+has more than 4,096 buckets of one parent or ``LIMIT`` values, whatever the
+values: timestamps far from zero, one dense range, mixed signs, outliers.
+Results are exact; only the work is spread.
+
+The counted values are written once to the shared folder, since the histograms
+decide what is read next.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Buckets per doubling of |value|; some 60 doublings cover seconds, metres and
-# counts, so a group has a few thousand coarse buckets at most.
-PER_DOUBLING = 64
-FINE = 4096
+from haltwerk.session import temporary_table
 
+LIMIT = 100_000  # distinct values in one window
+SHIFTS = (52, 40, 28, 16, 4, 0)  # low bits left out at each step
 
-def _coarse(value: Column) -> Column:
-    return (F.signum(value) * F.floor(F.log2(F.lit(1.0) + F.abs(value)) * PER_DOUBLING)).cast("long")
 
+def order_key(value: Column) -> Column:
+    """A whole number that orders like a double: its bits, negated for negative values.
 
-def _fine(value: Column, coarse: Column) -> Column:
-    level = F.abs(coarse).cast("double")
-    low = F.pow(F.lit(2.0), level / PER_DOUBLING) - 1
-    high = F.pow(F.lit(2.0), (level + 1) / PER_DOUBLING) - 1
-    step = F.floor((F.abs(value) - low) / (high - low) * FINE)
-    return (F.signum(value) * F.greatest(F.lit(0), F.least(F.lit(FINE), step))).cast("long")
+    NaN comes last, as in Spark's order; both zeros are 0.
+    """
+    size = F.abs(value)
+    guess = F.floor(F.log2(size))  # one off at most, near powers of two
+    part = size * F.pow(F.lit(2.0), -guess)
+    exponent = guess + F.when(part >= 2, 1).when(part < 1, -1).otherwise(0)
+    part = F.when(part >= 2, part / 2).when(part < 1, part * 2).otherwise(part)
+    normal = (part * float(1 << 52)).cast("long") + (exponent + 1022).cast("long") * (1 << 52)
+    tiny = (size * 2.0**537 * 2.0**537).cast("long")
+    bits = (
+        F.when(size == 0, F.lit(0).cast("long"))
+        .when(F.isnan(size), F.lit((2047 << 52) + 1))
+        .when(size == float("inf"), F.lit(2047 << 52))
+        .when(size < 2.0**-1022, tiny)
+        .otherwise(normal)
+    )
+    return F.when(value < 0, -bits).otherwise(bits)
 
 
 def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -42,11 +60,6 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
     )
 
 
-def _placed(counts: DataFrame) -> DataFrame:
-    coarse = counts.withColumn("_c", _coarse(F.col("value")))
-    return coarse.withColumn("_f", _fine(F.col("value"), F.col("_c")))
-
-
 def _matches(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
     """Inner join in which NULL group keys meet each other."""
     renamed = right.select([F.col(c).alias(f"_r_{c}") if c in names else F.col(c) for c in right.columns])
@@ -59,28 +72,58 @@ def _running_before(df: DataFrame, by: Sequence[str], order: str, column: str, n
     return df.withColumn(name, F.coalesce(F.sum(column).over(window), F.lit(0)))
 
 
-def _coarse_totals(placed: DataFrame, by: Sequence[str]) -> DataFrame:
-    totals = placed.groupBy(*by, "_c").agg(F.sum("cnt").alias("_c_cnt"))
-    below = _running_before(totals, by, "_c", "_c_cnt", "_c_below")
-    return below.withColumn("n", F.sum("_c_cnt").over(Window.partitionBy(*by)))
+def _prefix(shift: int) -> Column:
+    return F.shiftright("_key", shift)
 
 
-def _ranks_in(placed: DataFrame, by: Sequence[str]) -> DataFrame:
-    """``below`` per distinct value, for rows that already carry ``_c_below`` and ``n``."""
-    fine_totals = placed.groupBy(*by, "_c", "_f").agg(F.sum("cnt").alias("_f_cnt"))
-    fine = _running_before(fine_totals, [*by, "_c"], "_f", "_f_cnt", "_f_below").drop("_f_cnt")
-    joined = _matches(placed, fine, [*by, "_c", "_f"])
-    inside = _running_before(joined, [*by, "_c", "_f"], "value", "cnt", "_v_below")
-    return inside.withColumn("below", F.col("_c_below") + F.col("_f_below") + F.col("_v_below")).select(
-        *by, "value", "cnt", "below", "n"
-    )
+def _keyed(counts: DataFrame) -> DataFrame:
+    return temporary_table(counts.withColumn("_key", order_key(F.col("value"))), "value-counts")
+
+
+def _buckets(
+    keyed: DataFrame, by: Sequence[str], wanted: Callable[[DataFrame], Column] | None = None, limit: int | None = None
+) -> list[tuple[int, DataFrame]]:
+    """Buckets that are not full, by the number of bits left out of their prefix.
+
+    Per bucket: ``_p`` (its prefix), ``_cnt`` (rows), ``_below`` (rows in lower
+    buckets) and ``n`` (rows of the group).  ``wanted`` chooses the buckets worth
+    a look; full ones that are not wanted are not refined.
+    """
+    limit = LIMIT if limit is None else limit
+    totals = [F.sum("cnt").alias("_cnt"), F.count(F.lit(1)).alias("_values")]
+    level = keyed.groupBy(*by, _prefix(SHIFTS[0]).alias("_p")).agg(*totals)
+    level = _running_before(level, by, "_p", "_cnt", "_below").withColumn("n", F.sum("_cnt").over(Window.partitionBy(*by)))
+    rows, found = keyed, []
+    for shift, finer in zip(SHIFTS, (*SHIFTS[1:], None)):
+        if wanted is not None:
+            level = level.filter(wanted(level))
+        most = level.agg(F.max("_values")).first()[0]
+        if finer is None or most is None or most <= limit:
+            return [*found, (shift, level.drop("_values"))]
+        level = temporary_table(level, "rank-buckets")  # 4,096 rows a full bucket or group at most
+        found.append((shift, level.filter(F.col("_values") <= limit).drop("_values")))
+        full = level.filter(F.col("_values") > limit).select(*by, "_p", F.col("_below").alias("_base"), "n")
+        rows = _matches(rows.drop("_p", "_base", "n").withColumn("_p", _prefix(shift)), full, [*by, "_p"])
+        level = rows.groupBy(*by, F.col("_p").alias("_parent"), "_base", "n", _prefix(finer).alias("_p")).agg(*totals)
+        level = _running_before(level, [*by, "_parent"], "_p", "_cnt", "_below")
+        level = level.withColumn("_below", F.col("_below") + F.col("_base")).drop("_parent", "_base")
+    return found
+
+
+def _ranks_in(keyed: DataFrame, by: Sequence[str], buckets: list[tuple[int, DataFrame]]) -> DataFrame:
+    """Values of the buckets with ``cnt``, ``below`` (rows smaller than the value) and ``n``."""
+    parts = []
+    for shift, level in buckets:
+        placed = _matches(keyed.withColumn("_p", _prefix(shift)), level.select(*by, "_p", "_below", "n"), [*by, "_p"])
+        inside = _running_before(placed, [*by, "_p"], "_key", "cnt", "_inside")
+        parts.append(inside.select(*by, "value", "cnt", (F.col("_below") + F.col("_inside")).alias("below"), "n"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def ranked_values(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Distinct values with ``cnt``, ``below`` (rows smaller than the value) and ``n`` (all rows)."""
-    placed = _placed(counts)
-    totals = _coarse_totals(placed, by).drop("_c_cnt")
-    return _ranks_in(_matches(placed, totals, [*by, "_c"]), by)
+    keyed = _keyed(counts)
+    return _ranks_in(keyed, by, _buckets(keyed, by))
 
 
 def quantiles(
@@ -89,7 +132,7 @@ def quantiles(
     """Exact quantiles per group, one row per (group, q).  A q may bring a method of its own.
 
     ``linear`` interpolates between order statistics, ``nearest`` takes the
-    order statistic at ``round(q * (n - 1))``, halves up.  Only the coarse buckets that
+    order statistic at ``round(q * (n - 1))``, halves up.  Only the buckets that
     hold a wanted rank are looked into.
     """
     return quantiles_of_counts(value_counts(df, value, by), qs, by, method)
@@ -109,14 +152,16 @@ def quantiles_of_counts(
     asked = [q if isinstance(q, tuple) else (q, method) for q in qs]
     if not {m for _, m in asked} <= {"linear", "nearest"}:
         raise ValueError("method is 'linear' or 'nearest'")
-    placed = _placed(counts)
-    totals = _coarse_totals(placed, by)
-    wanted = F.lit(False)
-    for q, how in asked:
-        for rank in _rank_pair(q, F.col("n"), how):
-            wanted = wanted | ((F.col("_c_below") <= rank) & (rank < F.col("_c_below") + F.col("_c_cnt")))
-    hit = totals.filter(wanted).drop("_c_cnt")
-    ranked = _ranks_in(_matches(placed, hit, [*by, "_c"]), by)
+    keyed = _keyed(counts)
+
+    def wanted(level: DataFrame) -> Column:
+        hit = F.lit(False)
+        for q, how in asked:
+            for rank in _rank_pair(q, level["n"], how):
+                hit = hit | ((level["_below"] <= rank) & (rank < level["_below"] + level["_cnt"]))
+        return hit
+
+    ranked = _ranks_in(keyed, by, _buckets(keyed, by, wanted))
 
     def holds(rank: Column) -> Column:
         return (F.col("below") <= rank) & (rank < F.col("below") + F.col("cnt"))
@@ -161,11 +206,12 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     Pairs are counted first, so that a frequent value meets its rank once per
     distinct pair and not once per row.
     """
-    pairs = (
+    pairs = temporary_table(
         df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
         .filter("x is not null and y is not null")
         .groupBy("x", "y")
-        .agg(F.count(F.lit(1)).alias("w"))
+        .agg(F.count(F.lit(1)).alias("w")),
+        "value-pairs",
     )
 
     def average_ranks(column: str) -> DataFrame:
