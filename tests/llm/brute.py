@@ -111,3 +111,96 @@ def smith_waterman(a, b):
         for j, y in enumerate(b, 1):
             table[i][j] = max(0, table[i - 1][j - 1] + (2 if x == y else -1), table[i - 1][j] - 1, table[i][j - 1] - 1)
     return max(map(max, table))
+
+
+def earlier_strings(rows, length):
+    """(id, text) rows -> id, bytes, removed, spans, kept bytes."""
+    first = {}
+    for d, t in rows:
+        b = (t or "").encode()
+        for i in range(len(b) - length + 1) if d is not None else ():
+            s = b[i : i + length]
+            first[s] = min(d, first.get(s, d))
+    out = []
+    for d, t in rows:
+        b = (t or "").encode()
+        gone = [False] * len(b)
+        for i in range(len(b) - length + 1) if d is not None else ():
+            if first[b[i : i + length]] < d:
+                gone[i : i + length] = [True] * length
+        spans = [i for i in range(len(b)) if gone[i] and (i == 0 or not gone[i - 1])]
+        out.append((d, len(b), sum(gone), len(spans), bytes(x for x, g in zip(b, gone) if not g)))
+    return out
+
+
+def misspelt_words(rows):
+    found = collections.Counter()
+    for d, t in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if d is None else d}:{w}".encode())
+            if h % 31 == 0:
+                w = w[: h % len(w)] + w[h % len(w) + 1 :]
+            found[w] += len(w) >= 7
+    return {w: n for w, n in found.items() if n >= 2}
+
+
+def one_edit(a, b):
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    return len(a) == len(b) + 1 and any(a[:i] + a[i + 1 :] == b for i in range(len(a)))
+
+
+def word_forms(counts, ratio=10):
+    """word -> form, root, n, near words, n of the form; compares every two words."""
+    near = {w: [v for v in counts if abs(len(v) - len(w)) < 2 and one_edit(v, w)] for w in counts}
+    form = {}
+    for w, others in near.items():
+        if others:
+            best = min(others, key=lambda v: (-counts[v], v))
+            if counts[best] >= ratio * counts[w]:
+                form[w] = best
+    out = []
+    for w, n in counts.items():
+        root = w
+        while root in form:
+            root = form[root]
+        out.append((w, form.get(w), root, n, len(near[w]), counts[form[w]] if w in form else None))
+    return out
+
+
+def filter_orders(rows, labels):
+    """(id, text, part) rows and (id, quality, toxic) labels -> rows of the audit, by applying the filters one after another."""
+    import itertools
+
+    good = {d for d, q, _ in labels if q == 1 and d is not None}
+    toxic = {d for d, _, x in labels if x == 1 and d is not None}
+    least = {}
+    for d, t, _ in rows:
+        if d is not None:
+            least[t or ""] = min(d, least.get(t or "", d))
+    fails = []
+    for d, t, p in rows:
+        t = t or ""
+        w = re.findall(r"[^\x20\x09-\x0d]+", t)
+        failed = {"A": len(w) < 200, "B": 100 * len(set(w)) < 50 * len(w), "C": 100 * len(re.findall("[A-Z]", t)) > 2 * len(t)}
+        failed |= {"D": bool(re.search("[#$%&*|]", t)), "E": d is not None and d > least[t]}
+        fails.append((d, p or "", {k for k, f in failed.items() if f}))
+    out = []
+    for part in {p for _, p, _ in fails}:
+        shapley = collections.Counter()
+        steps = []
+        for order in itertools.permutations("ABCDE"):
+            left = [(d, f) for d, p, f in fails if p == part]
+            every = list(left)
+            for k, this in enumerate(order, 1):
+                gone = [(d, f) for d, f in left if this in f]
+                left = [(d, f) for d, f in left if this not in f]
+                shapley[this] += len(gone)
+                redundant = sum(this in f for _, f in every) - len(gone)
+                only = sum(f == {this} for _, f in every)
+                steps.append((part, "".join(order), k, len(left), len(gone), redundant, only, sum(d in good for d, _ in gone), sum(d in toxic for d, _ in gone), this))
+        out += [(*s[:-1], shapley[s[-1]]) for s in steps]
+    return out
