@@ -33,25 +33,29 @@ DROP_THRESHOLD = 100
 PING_SERIES = Series(keys=("fzg_id",), time="tst_iso")
 
 
-def _links(pings: DataFrame) -> tuple[dict[str, str], dict[str, str]]:
+def _links(pings: DataFrame, series: Series) -> tuple[dict[str, str], dict[str, str]]:
+    lag = {"_distanz": "distanz", "_time_before": series.time}
     if "tuerkriterium" not in pings.columns:
-        return {"_distanz": "distanz"}, {}
-    return {"_distanz": "distanz", "door_before": "tuerkriterium"}, {"door_after": "tuerkriterium"}
+        return lag, {}
+    return {**lag, "door_before": "tuerkriterium"}, {"door_after": "tuerkriterium"}
 
 
 def ping_edges(pings: DataFrame, series: Series = PING_SERIES) -> DataFrame:
     """Slice edges that :func:`index_pings` needs."""
     door = ["tuerkriterium"] if "tuerkriterium" in pings.columns else []
-    return slice_edges(pings.select(*series.keys, *series.order, "distanz", *door), series, *_links(pings), index=True)
+    return slice_edges(pings.select(*series.keys, *series.order, "distanz", *door), series, *_links(pings, series), index=True)
 
 
 def index_pings(
-    pings: DataFrame, series: Series = PING_SERIES, keep_slices: bool = False, edges: DataFrame | None = None
+    pings: DataFrame, series: Series = PING_SERIES, keep_slices: bool = False, edges: DataFrame | None = None, keep_before: bool = False
 ) -> DataFrame:
-    """Add ``row_idx`` (from 0 per vehicle), ``delta``, and the door before and after."""
-    lag, lead = _links(pings)
+    """Add ``row_idx`` (from 0 per vehicle), ``delta``, and the door before and after.
+
+    ``keep_before`` keeps the time of the row before as ``_time_before``.
+    """
+    lag, lead = _links(pings, series)
     indexed = neighbours(pings, series, lag, lead, index="row_idx", keep_slices=keep_slices, edges=edges)
-    return indexed.withColumn("delta", F.col("distanz") - F.col("_distanz")).drop("_distanz")
+    return indexed.withColumn("delta", F.col("distanz") - F.col("_distanz")).drop("_distanz", *([] if keep_before else ["_time_before"]))
 
 
 def drops(
@@ -131,7 +135,12 @@ def _indexed_distances(
     from the same columns, so that Spark shuffles them once.
     """
     narrow = pings.select(*series.keys, *series.order, "distanz")
-    return _flag_drops(index_pings(narrow, series, keep_slices=True, edges=edges), drop_threshold)
+    return _flag_drops(index_pings(narrow, series, keep_slices=True, edges=edges, keep_before=True), drop_threshold)
+
+
+def _begins(series: Series) -> Column:
+    """Whether a row is the first one of its instant; pings may share one."""
+    return ~F.col(series.time).eqNullSafe(F.col("_time_before"))
 
 
 def _flag_drops(indexed: DataFrame, drop_threshold: float) -> DataFrame:
@@ -139,16 +148,18 @@ def _flag_drops(indexed: DataFrame, drop_threshold: float) -> DataFrame:
 
 
 def _edge_drops(narrow: DataFrame, series: Series) -> DataFrame:
-    """Per slice: its first drop, the last drop before it and the first drop after it."""
+    """Per slice: its first drop, the last drop before it, the first drop after it, and the last row before it that begins an instant."""
     part = slice_columns(series)
     drop_row = F.when(F.col("is_drop"), F.col("row_idx"))
-    found = cut_rows(narrow).groupBy(*part).agg(F.min(drop_row).alias("first_drop"), F.max(drop_row).alias("last_drop"))
+    begin_row = F.when(_begins(series), F.col("row_idx"))
+    found = cut_rows(narrow).groupBy(*part).agg(F.min(drop_row).alias("first_drop"), F.max(drop_row).alias("last_drop"), F.max(begin_row).alias("last_begin"))
     forward, backward = across_slices(series)
     return found.select(
         *part,
         "first_drop",
         F.max("last_drop").over(forward).alias("drop_before"),
         F.min("first_drop").over(backward).alias("drop_beyond"),
+        F.max("last_begin").over(forward).alias("begin_before"),
     )
 
 
@@ -170,14 +181,19 @@ def mark_drops(
     ``prev_drop``/``next_drop`` are the drop rows strictly before / after.
     ``_open_gap_before``/``_open_gap_after`` are the rows to the nearest
     opening, or to the slice edge where that is nearer.
+
+    ``late_shut`` marks the first row after an instant if its door is not open.
+    It closes a door that opened at that instant (``_time_before``, first row
+    ``_instant_row``), whatever the instant's other pings say.
     """
     edges = ping_edges(pings, series)
-    indexed = _flag_drops(transitions(index_pings(pings, series, keep_slices=True, edges=edges)), drop_threshold)
+    indexed = _flag_drops(transitions(index_pings(pings, series, keep_slices=True, edges=edges, keep_before=True)), drop_threshold)
     narrow = _indexed_distances(pings, drop_threshold, series, edges)
     joined = with_edges(indexed, _edge_drops(narrow, series).drop("first_drop"), series)
 
     drop_row = F.when(F.col("is_drop"), F.col("row_idx"))
     open_row = F.when(F.col("opens"), F.col("row_idx"))
+    begin_row = F.when(_begins(series), F.col("row_idx"))
     before = within_slice(series).rowsBetween(Window.unboundedPreceding, -1)
     after = within_slice(series, backward=True).rowsBetween(Window.unboundedPreceding, -1)
     up_to = within_slice(series).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -186,6 +202,8 @@ def mark_drops(
     marked = joined.withColumns(
         {
             "prev_drop": F.coalesce(F.max(drop_row).over(before), F.col("drop_before")),
+            "_instant_row": F.coalesce(F.max(begin_row).over(before), F.col("begin_before")),
+            "late_shut": _begins(series) & (row > 0) & ~true("tuerkriterium"),
             "_open_gap_before": row - F.coalesce(F.max(open_row).over(up_to), F.min(row).over(up_to) - 1),
         }
     ).withColumns(
@@ -194,7 +212,7 @@ def mark_drops(
             "_open_gap_after": F.coalesce(F.min(open_row).over(down_to), F.max(row).over(down_to) + 1) - row,
         }
     )
-    return unsliced(marked.drop("drop_before", "drop_beyond"))
+    return unsliced(marked.drop("drop_before", "drop_beyond", "begin_before"))
 
 
 def _copies(marked: DataFrame, n: Column, reach: int) -> DataFrame:
@@ -213,7 +231,9 @@ def _copies(marked: DataFrame, n: Column, reach: int) -> DataFrame:
     spread = spread.select("*", "_copy.*").drop("_copy").filter("drop_row_idx is not null")
     near = F.abs(row - F.col("drop_row_idx")) <= F.col("n")
     turns = F.col("opens") | F.col("shuts")
-    spread = spread.withColumns({"near": near}).filter(F.col("near") | turns)
+    # the instants that reach into the window are as many as its rows, so these rows are one more at most
+    after_near = F.col("late_shut") & (F.col("_instant_row") <= F.col("drop_row_idx") + F.col("n")) & (row > F.col("drop_row_idx") - F.col("n"))
+    spread = spread.withColumns({"near": near, "after_near": after_near}).filter(F.col("near") | turns | F.col("after_near"))
     lower = F.greatest(F.lit(0), F.col("drop_row_idx") - F.col("n"), F.col("bound") + 1)
     opening_inside = F.col("near") & F.col("opens") & (row > lower)
     # Rows that may lie between two openings of one window; a superset is
@@ -307,7 +327,8 @@ def detect_stop_events(
 
     ``carry`` names ping columns to take over from the drop row, which saves
     the later join by (vehicle, row).  ``keep_rescan`` keeps what the repair
-    step needs (first opening and last closing between the neighbouring drops),
+    step needs (first opening and last closing between the neighbouring drops,
+    and the first closed door after the arrival's instant),
     so that detection and repair share one pass over the pings.
     """
     n = window_size(row_intervals(pings, drop_threshold, series), n_min, n_max, n_default)
@@ -346,6 +367,7 @@ def detect_stop_events(
         F.collect_list(F.when(F.col("between"), step)).alias("_steps"),
         F.min(F.when(F.col("reopening"), time)).alias("rescan_open"),
         F.max(F.when(F.col("shuts"), time)).alias("rescan_close"),
+        F.collect_list(F.when(F.col("after_near"), F.struct(F.col("_time_before").alias("instant"), time.alias("shut")))).alias("_late"),
         *[of_drop(c).alias(c) for c in dict.fromkeys(["linie", *carry])],
     )
     same_trip = F.when(F.col("_trip_lo").isNull(), F.lit(True)).otherwise(
@@ -365,8 +387,9 @@ def detect_stop_events(
     ).withColumn(
         "stop_status", classify(F.col("door_open_count"), F.col("door_near_drop"), F.col("is_true_multi_door"))
     )
+    events = events.withColumn("late_close", F.get(F.filter("_late", lambda x: x["instant"] == F.col("arrival_time")), F.lit(0))["shut"])
     extra = [c for c in carry if c not in EVENT_COLUMNS and c not in series.keys]
-    rescan = ["rescan_open", "rescan_close"] if keep_rescan else []
+    rescan = ["rescan_open", "rescan_close", "late_close"] if keep_rescan else []
     return events.select(*series.keys, *EVENT_COLUMNS, *extra, *rescan)
 
 

@@ -2,7 +2,9 @@
 
 The search runs over the whole interval between the neighbouring drops.  The
 first opening and the last closing there are plain conditional minima and
-maxima, taken in the same pass as detection.
+maxima, taken in the same pass as detection.  Pings may share an instant: an
+event's door counts as open at the end of its arrival's instant, so a closed
+door right after it is a closing.
 """
 
 from __future__ import annotations
@@ -37,10 +39,8 @@ def rescue_cases(events: DataFrame) -> DataFrame:
     return events.withColumn("rescue_case", case)
 
 
-def rescan(pings: DataFrame, drop_threshold: float = DROP_THRESHOLD, series: Series = PING_SERIES) -> DataFrame:
-    """First opening and last closing between the drops around each drop."""
-    used = dict.fromkeys([*series.keys, *series.order, "distanz", "tuerkriterium"])
-    marked = mark_drops(pings.select(*used), drop_threshold, series).filter("opens or shuts")
+def _spread(marked: DataFrame) -> DataFrame:
+    """Rows to the drops before and after them."""
     own = F.struct(
         F.when(F.col("is_drop"), F.col("row_idx")).otherwise(F.col("prev_drop")).alias("drop_row_idx"),
         F.when(F.col("is_drop"), F.coalesce(F.col("prev_drop"), F.lit(-1))).otherwise(F.lit(-2)).alias("bound"),
@@ -49,28 +49,35 @@ def rescan(pings: DataFrame, drop_threshold: float = DROP_THRESHOLD, series: Ser
         F.when(~F.col("is_drop"), F.col("next_drop")).alias("drop_row_idx"),
         F.coalesce(F.col("prev_drop"), F.lit(-1)).alias("bound"),
     )
-    spread = marked.withColumn("_copy", F.explode(F.array(own, following))).select("*", "_copy.*")
+    return marked.withColumn("_copy", F.explode(F.array(own, following))).select("*", "_copy.*").filter("drop_row_idx is not null")
+
+
+def rescan(events: DataFrame, pings: DataFrame, drop_threshold: float = DROP_THRESHOLD, series: Series = PING_SERIES) -> DataFrame:
+    """Events with the first opening and last closing between the drops around theirs, and the first closed door after their arrival's instant."""
+    used = dict.fromkeys([*series.keys, *series.order, "distanz", "tuerkriterium"])
+    spread = _spread(mark_drops(pings.select(*used), drop_threshold, series).filter("opens or shuts or late_shut"))
     reopening = F.col("opens") & (F.col("row_idx") > F.col("bound") + 1)
-    return (
-        spread.filter("drop_row_idx is not null")
-        .groupBy(*series.keys, "drop_row_idx")
-        .agg(
-            F.min(F.when(reopening, F.col(series.time))).alias("rescan_open"),
-            F.max(F.when(F.col("shuts"), F.col(series.time))).alias("rescan_close"),
-        )
+    keys = [*series.keys, "drop_row_idx"]
+    turns = spread.groupBy(*keys).agg(
+        F.min(F.when(reopening, F.col(series.time))).alias("rescan_open"),
+        F.max(F.when(F.col("shuts"), F.col(series.time))).alias("rescan_close"),
     )
+    late = spread.filter("late_shut").select(*keys, F.col("_time_before").alias("arrival_time"), F.col(series.time).alias("late_close"))
+    return events.join(turns, keys, "left").join(late, [*keys, "arrival_time"], "left")
 
 
 def patch(events: DataFrame) -> DataFrame:
     """Patched times and status from the case label and the rescan columns."""
     case, opened, closed = F.col("rescue_case"), F.col("rescan_open"), F.col("rescan_close")
-    found_close = (case == 1) & (closed > F.col("arrival_time"))
+    # the last closing after the arrival's instant; the door counts as open at that instant's end
+    later = F.greatest(F.when(closed > F.col("arrival_time"), closed), F.col("late_close"))
+    found_close = (case == 1) & later.isNotNull()
     reopened = (case == 2) & opened.isNotNull()
     doorless = (case == 2) & opened.isNull()
     return events.withColumns(
         {
             "arrival_time": F.when(reopened, opened).otherwise(F.col("arrival_time")),
-            "departure_time": F.when(found_close, closed)
+            "departure_time": F.when(found_close, later)
             .when(reopened & (closed > opened), closed)
             .when(reopened, opened)
             .otherwise(F.col("departure_time")),
@@ -95,9 +102,9 @@ def rescue_dwell_times(
     if "rescan_open" not in events.columns:
         if pings is None:
             raise ValueError("pings are needed unless the events carry rescan columns")
-        events = events.join(rescan(pings, drop_threshold, series), [*series.keys, "drop_row_idx"], "left")
+        events = rescan(events, pings, drop_threshold, series)
     patched = patch(rescue_cases(events))
-    return patched if keep_labels else patched.drop("rescue_case", "is_patched", "rescan_open", "rescan_close")
+    return patched if keep_labels else patched.drop("rescue_case", "is_patched", "rescan_open", "rescan_close", "late_close")
 
 
 def patch_merge(base: DataFrame, updates: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

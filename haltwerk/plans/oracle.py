@@ -7,6 +7,7 @@ ones before a statement.
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 
 INDEX_WINDOW = "(PARTITION BY fzg_id ORDER BY tst_iso, ping_id)"
 TRIP_WINDOW = "(PARTITION BY fahrt_id ORDER BY tst_iso, ping_id)"
@@ -92,10 +93,14 @@ VIEWS: dict[str, str] = {
         FROM cased c JOIN flagged p ON p.fzg_id = c.fzg_id AND p.opens
          AND p.row_idx > coalesce(prev_drop, -1) + 1 AND p.row_idx < coalesce(next_drop, max_row + 1)
         WHERE rescue_case = 2 GROUP BY c.fzg_id, c.drop_row_idx""",
+    "following": """
+        SELECT c.fzg_id, c.drop_row_idx, min(p.row_idx) AS first_after
+        FROM cased c JOIN flagged p ON p.fzg_id = c.fzg_id AND p.tst_iso > c.arrival_time
+        WHERE rescue_case = 1 GROUP BY c.fzg_id, c.drop_row_idx""",
     "reclosed": """
         SELECT c.fzg_id, c.drop_row_idx, max(p.tst_iso) AS last_close
-        FROM cased c LEFT JOIN reopened r USING (fzg_id, drop_row_idx)
-        JOIN flagged p ON p.fzg_id = c.fzg_id AND p.closes
+        FROM cased c LEFT JOIN reopened r USING (fzg_id, drop_row_idx) LEFT JOIN following n USING (fzg_id, drop_row_idx)
+        JOIN flagged p ON p.fzg_id = c.fzg_id AND (p.closes OR (p.row_idx = n.first_after AND NOT p.tuerkriterium))
          AND p.row_idx > coalesce(prev_drop, -1) AND p.row_idx < coalesce(next_drop, max_row + 1)
          AND p.tst_iso > CASE WHEN rescue_case = 2 THEN r.first_open ELSE c.arrival_time END
         WHERE rescue_case > 0 GROUP BY c.fzg_id, c.drop_row_idx""",
@@ -289,16 +294,17 @@ def _used(sql: str) -> set[str]:
     return set(_WORD.findall(sql)) & set(VIEWS)
 
 
-def with_views(sql: str) -> str:
-    """Put the views a statement uses, and theirs, before it."""
+def with_views(sql: str, replaced: Mapping[str, str] | None = None) -> str:
+    """Put the views a statement uses, and theirs, before it; ``replaced`` gives other definitions of some."""
+    views = {**VIEWS, **(replaced or {})}
     needed: set[str] = set()
     pending = list(_used(sql))
     while pending:
         name = pending.pop()
         if name not in needed:
             needed.add(name)
-            pending += _used(VIEWS[name])
+            pending += _used(views[name])
     if not needed:
         return sql
-    parts = [f"{name} AS ({VIEWS[name]})" for name in VIEWS if name in needed]
+    parts = [f"{name} AS ({views[name]})" for name in views if name in needed]
     return "WITH " + ",\n".join(parts) + "\n" + sql

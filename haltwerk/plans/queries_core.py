@@ -15,6 +15,7 @@ from haltwerk.functions.ordered import Series, keep_first, neighbours
 from haltwerk.functions.scalars import clip, service_date, status_code
 from haltwerk.operators import detect, diagnostics, enrich, features, matching, quality, rescue, timetable
 from haltwerk.plans import core as core_plan
+from haltwerk.plans import oracle
 from haltwerk.plans.registry import query
 from haltwerk.session import checkpoint_folder, delete_folder, newest_change
 from haltwerk.sources import files
@@ -654,6 +655,38 @@ def _(t):
     return rescue.rescue_counts(core_plan.stop_events(t.telemetry, series=t.pings, labels=True))
 
 
+# The feed by a clock that stands still for eight hours at a time: many pings share an instant.
+_COARSE = oracle.VIEWS["telemetry"].replace("ts AS tst_iso", "time_bucket(INTERVAL 8 HOURS, ts) AS tst_iso")
+
+
+def coarse_telemetry(t: Tables) -> DataFrame:
+    tick = 8 * 3600 * 1_000_000
+    micros = F.unix_micros("tst_iso")
+    return t.telemetry.withColumn("tst_iso", F.timestamp_micros(micros - F.pmod(micros, F.lit(tick))))
+
+
+@query(
+    "rescued_coarse_clock",
+    "SELECT fzg_id, drop_row_idx, rescue_case :: BIGINT AS rescue_case, arrival_time, departure_time, stop_status, is_patched FROM rescued",
+    views={"telemetry": _COARSE},
+)
+def _(t):
+    found = core_plan.stop_events(coarse_telemetry(t), series=t.pings, labels=True)
+    return found.select("fzg_id", "drop_row_idx", "rescue_case", "arrival_time", "departure_time", "stop_status", "is_patched")
+
+
+@query(
+    "rescan_coarse_clock",
+    "SELECT fzg_id, drop_row_idx, rescue_case :: BIGINT AS rescue_case, arrival_time, departure_time, stop_status, is_patched FROM rescued",
+    views={"telemetry": _COARSE},
+)
+def _(t):
+    """The same with a second look at the pings in place of the detection's own columns."""
+    pings = coarse_telemetry(t)
+    found = rescue.rescue_dwell_times(detect.detect_stop_events(pings, series=t.pings), pings, series=t.pings, keep_labels=True)
+    return found.select("fzg_id", "drop_row_idx", "rescue_case", "arrival_time", "departure_time", "stop_status", "is_patched")
+
+
 # -- timetable and measures ---------------------------------------------------
 
 

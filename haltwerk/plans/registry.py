@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,13 +28,13 @@ class Query:
 QUERIES: dict[str, Query] = {}
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Build], Build]:
-    """Register a query; ``sql`` is its check statement over the oracle views."""
+def query(name: str, sql: str | None = None, views: Mapping[str, str] | None = None) -> Callable[[Build], Build]:
+    """Register a query; ``sql`` is its check statement over the oracle views, some of which ``views`` may replace."""
 
     def register(build: Build) -> Build:
         if name in QUERIES:
             raise ValueError(f"query {name} exists already")
-        QUERIES[name] = Query(name, build, with_views(sql) if sql else None)
+        QUERIES[name] = Query(name, build, with_views(sql, views) if sql else None)
         return build
 
     return register

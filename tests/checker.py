@@ -98,9 +98,13 @@ def rescue(rows, events):
                     e["departure"] = rows[closed if closed is not None else opened]["ts"]
             else:
                 at = max(i for i, r in enumerate(rows) if r["ts"] == e["arrival"])
-                closes = [i for i, kind in turns(rows, at + 1, last, lax=True) if kind == "close"]
-                if closes:
-                    e["departure"] = rows[closes[-1]]["ts"]
+                open_, closed = True, None  # the door counts as open at the end of that instant
+                for i in range(at + 1, last + 1):
+                    if open_ and not rows[i]["door"]:
+                        closed = i
+                    open_ = rows[i]["door"]
+                if closed is not None:
+                    e["departure"] = rows[closed]["ts"]
         out.append(e)
     return out
 

@@ -11,11 +11,11 @@ from haltwerk.functions.ordered import Series, spread_hot
 from haltwerk.operators import detect, rescue
 
 START = datetime(2025, 7, 28, 5, 0, tzinfo=timezone.utc)
-SCHEMA = "fzg_id bigint, tst_iso timestamp, distanz double, tuerkriterium boolean, linie bigint, fahrt_id bigint"
+SCHEMA = "fzg_id bigint, tst_iso timestamp, distanz double, tuerkriterium boolean, linie bigint, fahrt_id bigint, ping_id bigint"
 
 
 def series(length):
-    return Series(keys=("fzg_id",), time="tst_iso", slice_length=length)
+    return Series(keys=("fzg_id",), time="tst_iso", ties=("ping_id",), slice_length=length)
 
 
 def rows_of(distances, doors, trips=None, start=START, gap=10):
@@ -28,7 +28,7 @@ def rows_of(distances, doors, trips=None, start=START, gap=10):
 
 def frame(spark, vehicles):
     data = [
-        (v, r["ts"], float(r["distanz"]), r["door"], 7, r["trip"]) for v, rows in vehicles.items() for r in rows
+        (v, r["ts"], float(r["distanz"]), r["door"], 7, r["trip"], i) for v, rows in vehicles.items() for i, r in enumerate(rows)
     ]
     random.Random(1).shuffle(data)
     return spark.createDataFrame(data, SCHEMA)
@@ -110,7 +110,19 @@ def test_rescue_cases(spark):
     assert (out.stop_status, out.arrival_time, out.departure_time) == ("no_door", out.drop_time, out.drop_time)
 
 
-def random_vehicle(rng, size):
+def test_closed_door_after_the_arrivals_instant(spark):
+    """Two pings share the arrival's instant, the second one closed: the closed door after them is the closing."""
+    rows = rows_of([300, 310, 0, 1, 2, 3, 4, 5], [N, N, N, T, N, N, N, N])
+    rows[4]["ts"] = rows[3]["ts"]
+    pings = frame(spark, {1: rows})
+    found = detect.detect_stop_events(pings, series=series(60), n_min=3, n_max=3, n_default=3, keep_rescan=True)
+    for events in (found, found.drop("rescan_open", "rescan_close", "late_close")):
+        out = rescue.rescue_dwell_times(events, pings, series=series(60)).collect()[0]
+        assert out.arrival_time.replace(tzinfo=timezone.utc) == rows[3]["ts"]
+        assert out.departure_time.replace(tzinfo=timezone.utc) == rows[5]["ts"]
+
+
+def random_vehicle(rng, size, pauses=(1, 5, 10, 120)):
     rows, distance, moment, door, trip = [], 0.0, START, False, 1
     for _ in range(size):
         roll = rng.random()
@@ -124,16 +136,17 @@ def random_vehicle(rng, size):
             door = rng.choice([True, False, False, None]) if rng.random() < 0.15 else not door
         if rng.random() < 0.04:
             trip += 1
-        moment += timedelta(seconds=rng.choice([1, 5, 10, 120]))
+        moment += timedelta(seconds=rng.choice(pauses))
         rows.append({"ts": moment, "distanz": distance, "door": door, "trip": trip if rng.random() > 0.01 else None})
     return rows
 
 
 @pytest.mark.parametrize("seed, length", [(1, 30), (2, 100_000), (3, -40), (4, -10_000)])
-def test_equals_checker_on_random_series(spark, seed, length):
-    """One vehicle holds most rows; how it is cut must not matter (below 0: hot keys only)."""
+@pytest.mark.parametrize("pauses", [(1, 5, 10, 120), (0, 0, 0, 5, 60)])
+def test_equals_checker_on_random_series(spark, seed, length, pauses):
+    """One vehicle holds most rows; how it is cut must not matter (below 0: hot keys only), nor how many pings share an instant."""
     rng = random.Random(seed)
-    vehicles = {v: random_vehicle(rng, 900 if v == 0 else rng.choice([1, 2, 40, 90])) for v in range(8)}
+    vehicles = {v: random_vehicle(rng, 900 if v == 0 else rng.choice([1, 2, 40, 90]), pauses) for v in range(8)}
     pings = frame(spark, vehicles)
     n = checker.window_size(vehicles.values())
     expected = {}
@@ -144,7 +157,7 @@ def test_equals_checker_on_random_series(spark, seed, length):
     cut = series(length) if length > 0 else spread_hot(pings, series(1), rows_per_slice=-length)
     found = detect.detect_stop_events(pings, series=cut, keep_rescan=True)
     fixed = rescue.rescue_dwell_times(found, series=cut)
-    again = rescue.rescue_dwell_times(found.drop("rescan_open", "rescan_close"), pings, series=cut)
+    again = rescue.rescue_dwell_times(found.drop("rescan_open", "rescan_close", "late_close"), pings, series=cut)
     got = {(e.fzg_id, e.drop_row_idx): e for e in found.collect()}
     assert set(got) == set(expected)
 
