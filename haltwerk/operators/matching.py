@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haltwerk.functions.ordered import Series, keep_first, neighbours
+from haltwerk.functions.ordered import Series, keep_first, neighbours, running, spread_hot
 from haltwerk.functions.scalars import seconds_between, service_date
 
 MATCH_KEYS = ("fahrt_id", "ort_nr_start", "service_date")
@@ -41,8 +41,8 @@ def drop_row_attributes(events: DataFrame, pings: DataFrame, columns: Sequence[s
 def schedule_lists(timetable: DataFrame, keys: Sequence[str] = MATCH_KEYS, cutoff_hours: int = 4) -> DataFrame:
     """Candidate arrivals per key as one sorted list.
 
-    A list holds the times one trip calls at one stop, so it is no longer than
-    the trip's own stop list.
+    A list holds the times one trip calls at one stop on one service date, so it
+    is no longer than the trip's own stop list.
     """
     dated = timetable.withColumn("service_date", service_date("scheduled_arrival_time", cutoff_hours))
     renamed = dated.withColumnRenamed("ort_nr", "ort_nr_start")
@@ -59,9 +59,14 @@ def match_nearest(
 ) -> DataFrame:
     """Attach the scheduled call nearest in time; ties go to the lower stop index.
 
-    Each event meets one list of candidates and picks from it in place, so
-    neither candidate pairs nor a second shuffle by event arise.
+    With the service date among the keys, each event meets one list of
+    candidates and picks from it in place, so neither candidate pairs nor a
+    second shuffle by event arise.  Without it a list would hold the calls of all
+    days; then events and calls are merged by time (:func:`nearest_by_merge`).
     """
+    if "service_date" not in keys:
+        found = nearest_by_merge(events, timetable, keys, time_col)
+        return found.withColumn("service_date", service_date(time_col, cutoff_hours))
     dated = events.withColumn("service_date", service_date(time_col, cutoff_hours))
     lists = schedule_lists(timetable, keys, cutoff_hours)
     moment = F.unix_micros(F.col(time_col))
@@ -83,6 +88,46 @@ def match_nearest(
     ).drop("_best", "candidates")
 
 
+def nearest_by_merge(
+    events: DataFrame, timetable: DataFrame, keys: Sequence[str], time_col: str = "arrival_time", rows_per_slice: int = 2_000_000
+) -> DataFrame:
+    """Attach the scheduled call nearest in time by an as-of merge; ties go to the lower stop index.
+
+    Events and calls of a key stand in one series by time; running values give
+    each event the last call up to it and the first one from it on, and the
+    nearer one wins.  No task holds a list of calls, and keys of more than
+    ``rows_per_slice`` rows are cut.  Events with a NULL key or time match
+    nothing; ``n_candidates`` is the number of calls of the key.
+    """
+    call = timetable.withColumnRenamed("ort_nr", "ort_nr_start").dropna(subset=[*keys, "scheduled_arrival_time"])
+    # one call per instant, the one with the lower stop index
+    calls = call.groupBy(*keys, F.col("scheduled_arrival_time").alias("_at")).agg(
+        F.min(F.struct("stop_index"))["stop_index"].alias("_stop"), F.count(F.lit(1)).alias("_calls")
+    )
+    numbers = calls.groupBy(*[F.col(k).alias(f"_n_{k}") for k in keys]).agg(F.sum("_calls").alias("n_candidates"))
+    kept = [c for c in events.columns if c not in ("stop_index", "scheduled_arrival_time", "n_candidates")]
+    apart = F.shiftrightunsigned(F.xxhash64(*[F.col(c) for c in kept]), 1)  # 0 and up; calls come before events of their instant
+    asked = events.select(*kept, F.col(time_col).alias("_at"), apart.alias("_tie"), F.lit(True).alias("_asks"))
+    merged = asked.unionByName(calls.drop("_calls").withColumns({"_tie": F.lit(-1).cast("long"), "_asks": F.lit(False)}), allowMissingColumns=True)
+    series = Series(keys=tuple(keys), time="_at", ties=("_tie",))
+    cut = spread_hot(merged.select(*keys, "_at", "_tie"), series, rows_per_slice)
+    at = F.unix_micros("_at")
+    mark = F.when(~F.col("_asks"), F.struct(at.alias("t"), F.col("_stop").alias("stop")))
+    linked = running(merged, cut, latest={"_before": mark}, upcoming={"_after": mark}).filter("_asks")
+
+    def choice(side: str, gap: Column) -> Column:
+        return F.when(F.col(side).isNotNull() & F.col("_at").isNotNull(), F.struct(gap.alias("gap"), F.col(f"{side}.stop").alias("stop"), F.col(f"{side}.t").alias("t")))
+
+    best = F.least(choice("_before", at - F.col("_before.t")), choice("_after", F.col("_after.t") - at))
+    picked = linked.withColumn("_best", best).join(numbers, [F.col(k) == F.col(f"_n_{k}") for k in keys], "left")
+    return picked.select(
+        *kept,
+        F.timestamp_micros("_best.t").alias("scheduled_arrival_time"),
+        F.col("_best.stop").alias("stop_index"),
+        F.coalesce("n_candidates", F.lit(0)).cast("long").alias("n_candidates"),
+    )
+
+
 def add_delays(matched: DataFrame, time_col: str = "arrival_time", recorded_col: str = "lage") -> DataFrame:
     """Calculated delay (actual minus scheduled, seconds) and the delay the vehicle reports."""
     return matched.withColumns(

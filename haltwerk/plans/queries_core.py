@@ -384,8 +384,9 @@ def _(t):
          ORDER BY abs(epoch_us(e.drop_time) - epoch_us(s.scheduled_arrival_time)), s.stop_index) = 1""",
 )
 def _(t):
+    events = stored(t, "rescued", lambda: rescued(t))  # read for the cut, the edges and the merge
     matched = matching.match_nearest(
-        rescued(t), schedule(t, inclusive=False), keys=("fahrt_id", "ort_nr_start"), time_col="drop_time"
+        events, schedule(t, inclusive=False), keys=("fahrt_id", "ort_nr_start"), time_col="drop_time"
     ).filter("scheduled_arrival_time is not null")
     return matching.add_delays(matched, "drop_time").select(
         "fzg_id", "drop_row_idx", "stop_index", "scheduled_arrival_time", "delay_calculated_sec"
