@@ -116,6 +116,44 @@ def density_grid(
     return cells.groupBy("x_bin", "y_bin").agg(F.count(F.lit(1)).alias("count"))
 
 
+def hex_grid(
+    df: DataFrame, x: str, y: str, x_range: tuple[float, float], y_range: tuple[float, float], columns: int = 65
+) -> DataFrame:
+    """Occupied hexagons of a plane: lattice, column, row, centre, count and its decimal logarithm.
+
+    Centres stand on two lattices, the second one offset by half a cell both
+    ways; a point belongs to the nearer centre, which makes the cells hexagons.
+    There are ``columns`` cells across and as many rows as keep them regular.
+    Points outside the ranges (edges are inside) and missing ones count nowhere.
+    """
+    rows = int(columns / 3**0.5)
+    (x_low, x_high), (y_low, y_high) = x_range, y_range
+    u = (F.col(x).cast("double") - x_low) * (columns / (x_high - x_low))
+    v = (F.col(y).cast("double") - y_low) * (rows / (y_high - y_low))
+    inside = F.col(x).between(x_low, x_high) & F.col(y).between(y_low, y_high)
+    points = df.filter(inside).select(u.alias("u"), v.alias("v"))
+    # the nearest centre of either lattice; a row is the root of three times as high as a column is wide
+    centres = {"i0": F.floor(F.col("u") + 0.5), "j0": F.floor(F.col("v") + 0.5), "i1": F.floor("u"), "j1": F.floor("v")}
+    near = points.withColumns(centres)
+    first = (F.col("u") - F.col("i0")) ** 2 + 3 * (F.col("v") - F.col("j0")) ** 2
+    second = (F.col("u") - F.col("i1") - 0.5) ** 2 + 3 * (F.col("v") - F.col("j1") - 0.5) ** 2
+    lattice = F.when(first < second, 0).otherwise(1)
+    cells = near.select(
+        lattice.alias("lattice"),
+        F.when(first < second, F.col("i0")).otherwise(F.col("i1")).cast("long").alias("column"),
+        F.when(first < second, F.col("j0")).otherwise(F.col("j1")).cast("long").alias("row"),
+    )
+    counted = cells.groupBy("lattice", "column", "row").agg(F.count(F.lit(1)).alias("count"))
+    half = F.col("lattice") * 0.5
+    return counted.withColumns(
+        {
+            "x": x_low + (F.col("column") + half) * ((x_high - x_low) / columns),
+            "y": y_low + (F.col("row") + half) * ((y_high - y_low) / rows),
+            "log_count": F.log10("count"),
+        }
+    )
+
+
 def binned_mean(df: DataFrame, x: str, y: str, bins: int, trim: tuple[float, float] = (0.01, 0.99)) -> DataFrame:
     """Mean of y per bin of x between two quantiles of x; the upper edge belongs to no bin."""
     limits = quantiles_wide(df, x, {"_lo": trim[0], "_hi": trim[1]})

@@ -7,16 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haltwerk.functions.ordered import keep_first
+from haltwerk.functions.ordered import Series, keep_first, neighbours, running, spread_hot
 
 # fixed values: columns of the station file, sentinel of a missing reading
 WEATHER_COLUMNS = ("TMK", "TXK", "TNK", "TGK", "RSK", "RSKF", "SDK", "SHK_TAG", "FM")
 WEATHER_MISSING = -999.0
 VEHICLE_COLUMNS = ("fahrzueg_type", "fahrgasttüren", "länge_m", "sitzplätze", "stehplätze", "kapazitaet")
 
-# Ranges are filed under the power of two next above their width.
-RANGE_LEVELS = 63
-
 
 def strip_names(df: DataFrame) -> DataFrame:
     """Trim blanks from column names."""
@@ -61,6 +58,33 @@ def real_vehicles(vehicles: DataFrame) -> DataFrame:
     return vehicles.filter(F.col("typ").isNotNull() & ~is_numeric_type() & F.col("fzg_nr").isNotNull())
 
 
+_POINTS = Series(keys=("_all",), time="_at", ties=("_tie",))
+
+
+def _at(value: Column) -> Column:
+    """A whole number as an instant, the order that series know."""
+    return F.timestamp_micros(value.cast("long"))
+
+
+def elementary_intervals(ranges: DataFrame, lo: str, hi: str, rows_per_slice: int = 200_000) -> tuple[DataFrame, DataFrame]:
+    """The intervals between the sorted ends of all ranges, and which ranges cover them.
+
+    Returns the ends (``_at``, ``_no`` from 0: the interval that begins there)
+    and the ranges, each once per interval it covers (with ``_no``).  A range
+    covers its intervals as a whole, so a number's ranges are those of its
+    interval.
+    """
+    valid = ranges.filter(F.col(lo) <= F.col(hi))
+    ends = valid.select(F.explode(F.array(F.col(lo).cast("long"), F.col(hi).cast("long") + 1)).alias("_end")).distinct()
+    ends = ends.select("_end", _at(F.col("_end")).alias("_at"), F.lit(0).alias("_all"), F.lit(0).alias("_tie"))
+    numbered = neighbours(ends, spread_hot(ends, _POINTS, rows_per_slice), index="_no").select("_end", "_at", "_no")
+    first = numbered.select(F.col("_end").alias("_lo"), F.col("_no").alias("_first"))
+    last = numbered.select(F.col("_end").alias("_hi"), F.col("_no").alias("_last"))
+    placed = valid.join(first, F.col(lo) == F.col("_lo")).join(last, F.col(hi) + 1 == F.col("_hi"))
+    covered = placed.withColumn("_no", F.explode(F.sequence(F.col("_first"), F.col("_last") - 1)))
+    return numbered.drop("_end"), covered.drop("_lo", "_hi", "_first", "_last")
+
+
 def range_lookup(
     df: DataFrame,
     key: str,
@@ -68,37 +92,27 @@ def range_lookup(
     lo: str,
     hi: str,
     how: str = "left",
+    rows_per_slice: int = 200_000,
 ) -> DataFrame:
-    """Rows joined with every integer range that holds their key.
+    """Rows joined with every integer range that holds their key; with ``left``, rows in no range have NULLs.
 
-    Each range is filed at the level whose buckets are at least as wide as the
-    range, so it touches two buckets at most; each row asks one bucket per
-    level in use.  That makes an equi-join, without comparing every row with
-    every range, whatever widths and overlaps the ranges have.
+    Keys and the ends of the ranges are merged in order, which gives each row
+    the elementary interval it lies in; one equi-join on the interval gives the
+    ranges, and rows without any fall out of the same join.  No row is compared
+    with a range that does not hold it, and none is copied before the join.  The
+    merge is cut into slices of ``rows_per_slice`` rows.
     """
-    width = F.col(hi) - F.col(lo) + 1
-    level = F.greatest(F.lit(0), F.ceil(F.log2(width.cast("double")))).cast("int")
-    filed = ranges.filter(F.col(lo) <= F.col(hi)).withColumn("_level", F.least(level, F.lit(RANGE_LEVELS - 1)))
-    buckets = F.sequence(F.expr(f"shiftright(`{lo}`, _level)"), F.expr(f"shiftright(`{hi}`, _level)"))
-    filed = filed.withColumn("_bucket", F.explode(buckets))
-
-    used = filed.agg(F.sort_array(F.collect_set("_level")).alias("l")).scalar()
-    asked = df.filter(F.col(key).isNotNull()).withColumn("_level", F.explode(used))
-    asked = asked.withColumn("_bucket", F.expr(f"shiftright(`{key}`, _level)"))
-    hits = asked.join(filed, ["_level", "_bucket"]).filter(F.col(key).between(F.col(lo), F.col(hi)))
-    hits = hits.drop("_level", "_bucket")
-    if how == "inner":
-        return hits
-    if how != "left":
+    if how not in ("inner", "left"):
         raise ValueError("how is 'inner' or 'left'")
-    return hits.unionByName(_without(df, hits), allowMissingColumns=True)
-
-
-def _without(df: DataFrame, hits: DataFrame) -> DataFrame:
-    """Rows of ``df`` that found no range, compared as whole rows."""
-    matched = hits.select(*[F.col(c).alias(f"_h_{c}") for c in df.columns])
-    condition = [F.col(c).eqNullSafe(F.col(f"_h_{c}")) for c in df.columns]
-    return df.join(matched, condition, "left_anti")
+    ends, covered = elementary_intervals(ranges, lo, hi, rows_per_slice)
+    spread = F.shiftrightunsigned(F.xxhash64(*[F.col(c) for c in df.columns]), 1)  # equal keys can be cut apart
+    asked = df.withColumns({"_at": _at(F.col(key)), "_all": F.lit(0), "_tie": spread, "_asks": F.lit(True)})
+    marks = ends.withColumns({"_all": F.lit(0), "_tie": F.lit(-1).cast("long"), "_asks": F.lit(False)})
+    merged = asked.unionByName(marks, allowMissingColumns=True)
+    cut = spread_hot(merged.select("_all", "_at", "_tie"), _POINTS, rows_per_slice)
+    placed = running(merged, cut, latest={"_in": F.when(~F.col("_asks"), F.col("_no"))}).filter("_asks")
+    inside = placed.withColumn("_in", F.when(F.col(key).isNotNull(), F.col("_in"))).drop("_at", "_all", "_tie", "_asks", "_no")
+    return inside.join(covered, F.col("_in") == F.col("_no"), how).drop("_in", "_no")
 
 
 def vehicle_info(vehicles: DataFrame, ranges: DataFrame) -> DataFrame:

@@ -200,6 +200,32 @@ def _(t):
     return stats.density_grid(t.telemetry, "pos_lon", "pos_lat", (13.7, 13.76), (51.0, 51.1), 50)
 
 
+def _hex_sql(view: str, x: str, y: str, low: float, high: float, columns: int) -> str:
+    """The hexagons of a square, in SQL."""
+    rows = int(columns / 3**0.5)
+    span = f"(CAST({high} AS DOUBLE) - {low})"
+    return f"""(SELECT lattice, i AS column, j AS row, count(*) AS count, round({low} + (i + lattice * 0.5) * ({span} / {columns}), 6) AS x,
+            round({low} + (j + lattice * 0.5) * ({span} / {rows}), 6) AS y, round(log10(count(*)), 6) AS log_count
+        FROM (SELECT (a >= b) :: BIGINT AS lattice, CASE WHEN a < b THEN floor(u + 0.5) ELSE floor(u) END :: BIGINT AS i,
+                     CASE WHEN a < b THEN floor(v + 0.5) ELSE floor(v) END :: BIGINT AS j
+              FROM (SELECT *, pow(u - floor(u + 0.5), 2) + 3 * pow(v - floor(v + 0.5), 2) AS a,
+                           pow(u - floor(u) - 0.5, 2) + 3 * pow(v - floor(v) - 0.5, 2) AS b
+                    FROM (SELECT ({x} - CAST({low} AS DOUBLE)) * ({columns} / {span}) AS u, ({y} - CAST({low} AS DOUBLE)) * ({rows} / {span}) AS v
+                          FROM {view} WHERE {x} BETWEEN {low} AND {high} AND {y} BETWEEN {low} AND {high})))
+        GROUP BY lattice, i, j)"""
+
+
+@query("hex_grid", f"SELECT * FROM {_hex_sql('clean_core', REC, CALC, -180, 600, 65)}")
+def _(t):
+    """Recorded against calculated delay in hexagons, over the displayed range."""
+    return stats.hex_grid(clean_core(t), REC, CALC, (-180.0, 600.0), (-180.0, 600.0), 65)
+
+
+@query("hex_grid_pings", f"SELECT * FROM {_hex_sql('telemetry', 'distanz', 'lage', 0, 300, 40)}")
+def _(t):
+    return stats.hex_grid(t.telemetry, "distanz", "lage", (0.0, 300.0), (0.0, 300.0), 40)
+
+
 @query(
     "binned_mean",
     f""", lim AS (SELECT quantile_cont(CAST({REC} AS DOUBLE), 0.01) AS q0, quantile_cont(CAST({REC} AS DOUBLE), 0.99) AS q1 FROM clean_core)

@@ -57,3 +57,38 @@ def test_merge_has_no_list_and_takes_empty_sides(spark):
     assert "collect_list" not in found._jdf.queryExecution().executedPlan().toString()
     assert matching.nearest_by_merge(asked, timetable.where("false"), KEYS).where(F.col("stop_index").isNotNull()).count() == 0
     assert matching.nearest_by_merge(asked.where("false"), timetable, KEYS).collect() == []
+
+
+@pytest.mark.parametrize("rows_per_slice", [15, 200_000])
+def test_range_lookup_in_slices(spark, rows_per_slice):
+    from haltwerk.operators import enrich
+
+    draw = random.Random(8)
+    ranges = [(f"r{k}", a := draw.randrange(-20, 60), a + draw.choice([0, 3, 30])) for k in range(25)] + [("none", 5, 4), ("far", 2**50, 2**50 + 2), ("null", None, 3)]
+    points = [(k, draw.choice([7, 7, 7, draw.randrange(-40, 100), None, 2**50 + 1])) for k in range(200)] + [(7, 7), (7, 7)]
+    df = spark.createDataFrame(points, "id int, k bigint")
+    table = spark.createDataFrame(ranges, "name string, lo bigint, hi bigint")
+    held = lambda k, a, b: k is not None and a is not None and a <= k <= b
+    inner = sorted((i, n) for i, k in points for n, a, b in ranges if held(k, a, b))
+    outer = sorted(inner + [(i, None) for i, k in points if not any(held(k, a, b) for _, a, b in ranges)], key=str)
+    assert sorted((r.id, r.name) for r in enrich.range_lookup(df, "k", table, "lo", "hi", "inner", rows_per_slice).collect()) == inner
+    found = enrich.range_lookup(df, "k", table, "lo", "hi", "left", rows_per_slice)
+    assert sorted(((r.id, r.name) for r in found.collect()), key=str) == outer and found.columns == ["id", "k", "name", "lo", "hi"]
+    assert enrich.range_lookup(df, "k", table.where("false"), "lo", "hi").count() == len(points)
+
+
+def test_hexagons_are_nearest_centres(spark):
+    from haltwerk.functions import stats
+
+    draw = random.Random(9)
+    points = [(draw.uniform(-1, 11), draw.uniform(-1, 6)) for _ in range(400)] + [(None, 1.0), (0.0, 0.0), (10.0, 5.0)]
+    df = spark.createDataFrame(points, "x double, y double")
+    cells = stats.hex_grid(df, "x", "y", (0.0, 10.0), (0.0, 5.0), 9).collect()
+    inside = [(x, y) for x, y in points if x is not None and 0 <= x <= 10 and 0 <= y <= 5]
+    assert sum(c["count"] for c in cells) == len(inside)
+    wide, high, counts = 10 / 9, 5 / 5, {}
+    centres = [((i + o) * wide, (j + o) * high) for o in (0, 0.5) for i in range(-1, 11) for j in range(-1, 8)]
+    for x, y in inside:
+        best = min(centres, key=lambda c: ((x - c[0]) / wide) ** 2 + 3 * ((y - c[1]) / high) ** 2)
+        counts[round(best[0], 6), round(best[1], 6)] = counts.get((round(best[0], 6), round(best[1], 6)), 0) + 1
+    assert {(round(c.x, 6), round(c.y, 6)): c["count"] for c in cells} == counts
