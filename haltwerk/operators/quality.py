@@ -223,19 +223,34 @@ def noisy_by_line(flagged: DataFrame, line_col: str = "linie", include_n3: bool
 
 # -- summary documents --------------------------------------------------------
 
+LONGEST = 100  # entries of a document's list
+
+
+def _heaviest(frame: DataFrame, by: str, label: str, columns: Sequence[str], longest: int) -> Column:
+    """The entries with the largest ``by`` as one list, in that order; ties go by label.
+
+    Entries are groups, counted in parallel; each task passes on its ``longest``
+    heaviest ones, so the list is bounded whatever the number of groups.  Whole
+    lists are tables: see the functions that make them.
+    """
+    top = frame.orderBy(F.desc(by), F.asc(label)).limit(longest)
+    entry = F.struct((-F.col(by)).alias("_least"), *dict.fromkeys([label, *columns]))
+    listed = F.array_sort(F.collect_list(entry))
+    fields = list(dict.fromkeys([label, *columns]))
+    return top.agg(F.transform(listed, lambda e: F.struct(*[e[c].alias(c) for c in fields])).alias("l")).scalar()
+
 
 def redundant_summary(
-    df: DataFrame, keys: Sequence[str] = ("fzg_id", "tst_iso"), line_col: str = "linie"
+    df: DataFrame, keys: Sequence[str] = ("fzg_id", "tst_iso"), line_col: str = "linie", longest: int = LONGEST
 ) -> DataFrame:
-    """Duplicate report as one nested row; the list has one entry per line."""
+    """Duplicate report as one nested row; it lists the lines with the most repeated rows, ``longest`` at most."""
     lines = soft_dup_by_line(df, keys, line_col)
-    listed = lines.agg(F.sort_array(F.collect_list(F.struct("soft_dup_rate", line_col, "soft_dup_rows", "total_rows")), False).alias("l"))
     hard = hard_duplicates(df)
     return soft_duplicates(df, keys).withColumns(
         {
             "hard_dup_count": hard.select("hard_dup_count").scalar(),
             "hard_dup_rate": hard.select("hard_dup_rate").scalar(),
-            "soft_dup_by_line": listed.scalar(),
+            "soft_dup_by_line": _heaviest(lines, "soft_dup_rows", line_col, ["soft_dup_rows", "total_rows", "soft_dup_rate"], longest),
         }
     )
 
@@ -245,18 +260,19 @@ def missing_summary(
     groups: Mapping[str, Sequence[str]] = FIELD_GROUPS,
     gap_threshold_sec: int = 30,
     series: Series = TRIP_SERIES,
+    longest: int = LONGEST,
 ) -> DataFrame:
-    """Missing-data report as one nested row."""
+    """Missing-data report as one nested row; it lists all fields, and the lines with the most rows, ``longest`` at most."""
     fields = field_missing(df, groups).agg(
         F.sort_array(F.collect_list(F.struct("group", "column", "null_count", "null_rate"))).alias("l")
-    )
+    )  # one entry per column
     by_line = missing_by_line(df, groups["core"])
-    lines = by_line.agg(F.sort_array(F.collect_list(F.struct("linie", *[c for c in by_line.columns if c != "linie"]))).alias("l"))
+    rates = [c for c in by_line.columns if c != "linie"]
     return gap_summary(df, gap_threshold_sec, series).withColumns(
         {
             "core_completeness_rate": core_completeness(df, groups["core"]).select("core_completeness_rate").scalar(),
             "field_missing": fields.scalar(),
-            "missing_by_line": lines.scalar(),
+            "missing_by_line": _heaviest(by_line, "total_rows", "linie", rates, longest),
         }
     )
 
@@ -267,23 +283,39 @@ def zero_vehicles(df: DataFrame) -> DataFrame:
 
 
 def noisy_summary(
-    df: DataFrame, spike: float = 300, small_drop: float = 50, extreme: float = 900, series: Series = TRIP_SERIES
+    df: DataFrame,
+    spike: float = 300,
+    small_drop: float = 50,
+    extreme: float = 900,
+    series: Series = TRIP_SERIES,
+    longest: int = LONGEST,
 ) -> DataFrame:
-    """Noise report as one nested row; lists have one entry per status or line.
+    """Noise report as one nested row; its lists hold the statuses and lines with the most noise, ``longest`` at most.
 
     Affected vehicles are counted; :func:`zero_vehicles` lists them as a table.
     """
     flagged = noise_flags(df, spike, small_drop, extreme, series)
     lines = noisy_by_line(flagged)
-
-    def entries(frame: DataFrame, *columns: str) -> Column:
-        return frame.agg(F.sort_array(F.collect_list(F.struct(*columns)), False).alias("l")).scalar()
-
     return noisy_union(flagged).withColumns(
         {
             "n1_affected_vehicles": zero_vehicles(df).agg(F.count(F.lit(1))).scalar(),
-            "n5_by_status": entries(default_zero_by_status(df), "count", "status_text"),
-            "n6_by_status": entries(bad_status_by_status(df), "count", "status_text"),
-            "noisy_by_line": entries(lines, "noisy_rate", *[c for c in lines.columns if c != "noisy_rate"]),
+            "n5_by_status": _heaviest(default_zero_by_status(df), "count", "status_text", ["count"], longest),
+            "n6_by_status": _heaviest(bad_status_by_status(df), "count", "status_text", ["count"], longest),
+            "noisy_by_line": _heaviest(lines, "any_noisy_count", "linie", lines.columns, longest),
         }
     )
+
+
+def summary_rows(document: DataFrame, labels: Mapping[str, str]) -> DataFrame:
+    """A document's numbers in long form: measure, label, value.  ``labels`` names the label field of each list."""
+    plain = [c for c in document.columns if c not in labels]
+    whole = F.array(*[F.struct(F.lit(c).alias("measure"), F.lit("").alias("label"), F.col(c).cast("double").alias("value")) for c in plain])
+    parts = [document.select(F.inline(whole))]
+    for name, label in labels.items():
+        entries = document.select(F.explode(name).alias("e")).select("e.*")
+        numbers = [c for c, kind in entries.dtypes if c != label and kind != "string"]
+        cells = F.array(
+            *[F.struct(F.lit(f"{name}.{c}").alias("measure"), F.col(label).cast("string").alias("label"), F.col(c).cast("double").alias("value")) for c in numbers]
+        )
+        parts.append(entries.select(F.inline(cells)))
+    return reduce(DataFrame.unionByName, parts)

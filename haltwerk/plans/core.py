@@ -55,14 +55,15 @@ def core_table(
     return add_binary_features(matched, tz=tz, workday_max_iso=workday_max_iso)
 
 
-def write_core(core: DataFrame, path: str, files_per_day: int = 8) -> None:
-    """Core table as Parquet, one folder per service date with at most ``files_per_day`` files.
+def write_core(core: DataFrame, path: str) -> None:
+    """Core table as Parquet, one folder per service date.
 
-    Rows are dealt by date and vehicle first, so that tasks don't leave a small
-    file in every folder and a single day isn't one task.
+    Rows are dealt by date and rebalanced by volume: adaptive execution gives a
+    large day as many tasks and files as it needs
+    (``spark.sql.adaptive.advisoryPartitionSizeInBytes`` each) and lets small
+    days share a task, without a count of the rows.
     """
     from haltwerk.functions.scalars import service_date
 
     dated = core.withColumn("service_date", service_date(F.col("arrival_time")))
-    dealt = dated.repartition("service_date", F.pmod(F.hash("fzg_id"), F.lit(files_per_day)))
-    dealt.write.mode("overwrite").partitionBy("service_date").parquet(path)
+    dated.hint("rebalance", F.col("service_date")).write.mode("overwrite").partitionBy("service_date").parquet(path)

@@ -287,6 +287,25 @@ VIEWS: dict[str, str] = {
               (SELECT linie, avg(dwell_time) AS m FROM splits WHERE split = 'train' GROUP BY 1) USING (linie))""",
 }
 
+
+def changed(old: str, new: str) -> dict[str, str]:
+    """The telemetry view with one expression replaced, for ``with_views``."""
+    if VIEWS["telemetry"].count(old) != 1:
+        raise ValueError(f"{old!r} does not stand in the view once")
+    return {"telemetry": VIEWS["telemetry"].replace(old, new)}
+
+
+# The feeds of the adapter's variants, see ``sources/driver_tables.py``.
+SHARED_TRIPS = changed("user_id * 10 + (day(ts) - 1) // 10 AS fahrt_id", "(user_id % 15) * 10 + (user_id * 10 + (day(ts) - 1) // 10) % 10 AS fahrt_id")
+COARSE_ODOMETER = changed("value AS distanz", "floor(value / 100) * 100 AS distanz")
+COARSE_CLOCK = changed("ts AS tst_iso", "time_bucket(INTERVAL 8 HOURS, ts) AS tst_iso")
+GAPPY_FEED = {
+    "telemetry": f"""
+        SELECT * REPLACE (CASE WHEN ping_id % 40 <> 0 THEN fahrt_id END AS fahrt_id, CASE WHEN ping_id % 55 <> 0 THEN ort_nr_start END AS ort_nr_start,
+                          CASE WHEN ping_id % 77 <> 0 THEN tuerkriterium END AS tuerkriterium, CASE WHEN ping_id % 90 <> 0 THEN distanz END AS distanz)
+        FROM ({VIEWS["telemetry"]})"""
+}
+
 _WORD = re.compile(r"[A-Za-z_][A-Za-z_0-9]*")
 
 

@@ -19,7 +19,7 @@ from haltwerk.plans import oracle
 from haltwerk.plans.registry import query
 from haltwerk.session import checkpoint_folder, delete_folder, newest_change
 from haltwerk.sources import files
-from haltwerk.sources.driver_tables import Tables
+from haltwerk.sources.driver_tables import GappyFeed, SharedTrips, Tables
 
 
 def scratch(t: Tables, name: str) -> str:
@@ -297,10 +297,12 @@ def _(t):
 
 @query(
     "core_completeness",
-    "SELECT count(*) AS total_rows, count(*) AS complete_rows, CAST(1 AS DOUBLE) AS core_completeness_rate FROM telemetry",
+    """SELECT count(*) AS total_rows, count(*) FILTER (full_row) AS complete_rows, round(count(*) FILTER (full_row) / count(*), 6) AS core_completeness_rate
+       FROM (SELECT distanz IS NOT NULL AND tuerkriterium IS NOT NULL AND fahrt_id IS NOT NULL AND ort_nr_start IS NOT NULL AS full_row FROM telemetry)""",
+    views=oracle.GAPPY_FEED,
 )
 def _(t):
-    return quality.core_completeness(t.telemetry)
+    return quality.core_completeness(GappyFeed(t.spark, t.folder, t.hot_rows).telemetry)
 
 
 @query("stop_status_rule", "SELECT fzg_id, drop_row_idx, stop_status FROM detected")
@@ -454,13 +456,19 @@ def _(t):
     return found.select("fzg_id", "fzg_nr_int", "fahrzueg_type", "fzg_nr_from", "fzg_nr_to")
 
 
+def shared_core(t: Tables) -> DataFrame:
+    """The written core table of a feed in which vehicles share trips."""
+    return stored(t, "shared-core", lambda: fresh_core(SharedTrips(t.spark, t.folder, t.hot_rows)))
+
+
 @query(
     "collision_semi",
     """SELECT fzg_id, drop_row_idx, fahrt_id, ort_nr_start, scheduled_arrival_time FROM core
        QUALIFY count(*) OVER (PARTITION BY fahrt_id, ort_nr_start, scheduled_arrival_time) > 1""",
+    views=oracle.SHARED_TRIPS,
 )
 def _(t):
-    return diagnostics.collision_semi(core(t)).select(
+    return diagnostics.collision_semi(shared_core(t)).select(
         "fzg_id", "drop_row_idx", "fahrt_id", "ort_nr_start", "scheduled_arrival_time"
     )
 
@@ -656,8 +664,7 @@ def _(t):
     return rescue.rescue_counts(core_plan.stop_events(t.telemetry, series=t.pings, labels=True))
 
 
-# The feed by a clock that stands still for eight hours at a time: many pings share an instant.
-_COARSE = oracle.VIEWS["telemetry"].replace("ts AS tst_iso", "time_bucket(INTERVAL 8 HOURS, ts) AS tst_iso")
+# A clock that stands still for eight hours at a time: many pings share an instant.
 
 
 def coarse_telemetry(t: Tables) -> DataFrame:
@@ -669,7 +676,7 @@ def coarse_telemetry(t: Tables) -> DataFrame:
 @query(
     "rescued_coarse_clock",
     "SELECT fzg_id, drop_row_idx, rescue_case :: BIGINT AS rescue_case, arrival_time, departure_time, stop_status, is_patched FROM rescued",
-    views={"telemetry": _COARSE},
+    views=oracle.COARSE_CLOCK,
 )
 def _(t):
     found = core_plan.stop_events(coarse_telemetry(t), series=t.pings, labels=True)
@@ -679,7 +686,7 @@ def _(t):
 @query(
     "rescan_coarse_clock",
     "SELECT fzg_id, drop_row_idx, rescue_case :: BIGINT AS rescue_case, arrival_time, departure_time, stop_status, is_patched FROM rescued",
-    views={"telemetry": _COARSE},
+    views=oracle.COARSE_CLOCK,
 )
 def _(t):
     """The same with a second look at the pings in place of the detection's own columns."""

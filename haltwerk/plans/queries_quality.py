@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from haltwerk.functions import ranks, stats
 from haltwerk.operators import diagnostics, quality
 from haltwerk.plans.queries_core import indexed
-from haltwerk.plans.registry import query
+from haltwerk.plans.registry import QUERIES, query
 from haltwerk.sources.driver_tables import Tables
 from haltwerk.sources.files import distinct_rows
 
@@ -245,13 +245,69 @@ def _(t):
     return flagged(t).select(F.explode(F.array_compact(hits)).alias("category"), "ping_id")
 
 
+def _documents(t: Tables, longest: int = quality.LONGEST) -> dict[str, DataFrame]:
+    return {
+        "A1": quality.redundant_summary(t.table("lineitem"), LINE_KEYS, "l_returnflag", longest),
+        "A2": quality.missing_summary(t.telemetry, gap_threshold_sec=GAP, series=t.trips, longest=longest),
+        "A3": quality.noisy_summary(t.telemetry, series=t.trips, longest=longest),
+    }
+
+
 @query("quality_summary")
 def _(t):
-    redundant = quality.redundant_summary(t.table("lineitem"), LINE_KEYS, "l_returnflag")
-    missing = quality.missing_summary(t.telemetry, gap_threshold_sec=GAP, series=t.trips)
-    noisy = quality.noisy_summary(t.telemetry, series=t.trips)
-    documents = [("A1", redundant), ("A2", missing), ("A3", noisy)]
-    rows = [d.select(F.lit(n).alias("report"), F.to_json(F.struct("*")).alias("document")) for n, d in documents]
+    rows = [d.select(F.lit(n).alias("report"), F.to_json(F.struct("*")).alias("document")) for n, d in _documents(t).items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+_LISTS = {
+    "A1": {"soft_dup_by_line": "l_returnflag"},
+    "A2": {"field_missing": "column", "missing_by_line": "linie"},
+    "A3": {"n5_by_status": "status_text", "n6_by_status": "status_text", "noisy_by_line": "linie"},
+}
+SHORT = 5  # entries of the lists in the long form, fewer than there are lines
+
+
+def _flat(report: str, name: str | None, sql: str, numbers: list[str], label: str = "''", by: str | None = None) -> str:
+    """The numbers of a statement in long form; with ``by`` its ``SHORT`` heaviest rows."""
+    top = f" QUALIFY row_number() OVER (ORDER BY {by} DESC, {label}) <= {SHORT}" if by else ""
+    prefix = f"{name}." if name else ""
+    return " UNION ALL ".join(
+        f"SELECT '{report}' AS report, '{prefix}{c}' AS measure, CAST({label} AS VARCHAR) AS label, round(CAST({c} AS DOUBLE), 6) AS value FROM (SELECT * FROM ({sql}){top})"
+        for c in numbers
+    )
+
+
+def _checked(name: str) -> str:
+    return QUERIES[name].sql
+
+
+_HARD_SQL = """SELECT CAST(coalesce(sum(c) FILTER (c > 1), 0) AS BIGINT) AS hard_dup_count, round(coalesce(sum(c) FILTER (c > 1), 0) / sum(c), 6) AS hard_dup_rate
+    FROM (SELECT *, count(*) AS c FROM lineitem GROUP BY ALL)"""
+_LINE_RATES = ["total_rows", *(f"{c}_null_rate" for c in quality.FIELD_GROUPS["core"])]
+
+
+@query(
+    "quality_summary_rows",
+    " UNION ALL ".join(
+        [
+            _flat("A1", None, _checked("soft_duplicates"), ["total_rows", "soft_dup_extra_rows", "soft_dup_affected_groups", "soft_dup_rate"]),
+            _flat("A1", None, _HARD_SQL, ["hard_dup_count", "hard_dup_rate"]),
+            _flat("A1", "soft_dup_by_line", _checked("soft_dup_by_line"), ["soft_dup_rows", "total_rows", "soft_dup_rate"], "l_returnflag", "soft_dup_rows"),
+            _flat("A2", None, _checked("gap_summary"), ["total_rows", "trip_gap_count", "affected_trips", "trip_gap_rate"]),
+            _flat("A2", None, "SELECT CAST(count(*) FILTER (distanz IS NOT NULL AND fahrt_id IS NOT NULL AND tuerkriterium IS NOT NULL AND ort_nr_start IS NOT NULL) AS DOUBLE) / count(*) AS core_completeness_rate FROM telemetry", ["core_completeness_rate"]),
+            _flat("A2", "field_missing", _checked("field_missing"), ["null_count", "null_rate"], '"column"'),
+            _flat("A2", "missing_by_line", _checked("missing_by_line"), _LINE_RATES, "linie", "total_rows"),
+            _flat("A3", None, _checked("noisy_union"), ["total_rows", *(f"n{i}_count" for i in range(1, 7)), "noisy_union_count", "noisy_union_legacy", "noisy_union_rate"]),
+            _flat("A3", None, "SELECT count(DISTINCT fzg_id) AS n1_affected_vehicles FROM noise WHERE n1", ["n1_affected_vehicles"]),
+            _flat("A3", "n5_by_status", "SELECT status_text, count(*) AS count FROM noise WHERE n5 GROUP BY 1", ["count"], "status_text", "count"),
+            _flat("A3", "n6_by_status", "SELECT status_text, count(*) AS count FROM noise WHERE n6 GROUP BY 1", ["count"], "status_text", "count"),
+            _flat("A3", "noisy_by_line", _checked("noisy_by_line"), ["total_rows", *(f"n{i}_count" for i in range(1, 7)), "any_noisy_count", "noisy_rate"], "linie", "any_noisy_count"),
+        ]
+    ),
+)
+def _(t):
+    """The three documents in long form, with lists of a few entries."""
+    rows = [quality.summary_rows(d, _LISTS[n]).withColumn("report", F.lit(n)) for n, d in _documents(t, SHORT).items()]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 

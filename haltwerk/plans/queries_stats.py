@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from haltwerk.functions import ranks, stats
 from haltwerk.operators import ablation, detect, diagnostics, enrich, features, motion, timetable
-from haltwerk.plans.queries_core import clean_core, core, detected, indexed, schedule, stored, stored_folder
+from haltwerk.plans import oracle
+from haltwerk.plans.queries_core import clean_core, core, detected, indexed, schedule, shared_core, stored, stored_folder
 from haltwerk.plans.registry import query
-from haltwerk.sources.driver_tables import Tables
+from haltwerk.sources.driver_tables import CoarseOdometer, Tables
 
 CALC, REC = "delay_calculated_sec", "delay_recorded_sec"
 QS = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
@@ -350,9 +351,11 @@ def _(t):
          (PARTITION BY fzg_id ORDER BY tst_iso, ping_id) AS run FROM speeds)
        SELECT fzg_id, CAST(run AS BIGINT) AS run, count(*) AS n_rows, CAST(sum(dt) AS BIGINT) AS duration_sec
        FROM marked WHERE speed_ms = 0 GROUP BY 1, 2""",
+    oracle.COARSE_ODOMETER,
 )
 def _(t):
-    return motion.stationary_runs(t.telemetry.select("fzg_id", "tst_iso", "ping_id", "distanz"), series=t.pings)
+    feed = CoarseOdometer(t.spark, t.folder, t.hot_rows).telemetry
+    return motion.stationary_runs(feed.select("fzg_id", "tst_iso", "ping_id", "distanz"), series=t.pings)
 
 
 # -- diagnostics --------------------------------------------------------------
@@ -512,35 +515,37 @@ def _(t):
     return diagnostics.zero_dwell_cause(core(t), indexed(t))
 
 
-# Collisions by the same trip and stop: in these tables no two events share a full timetable record.
-_TRIP_STOP = ("fahrt_id", "ort_nr_start")
-_HITS = """, hits AS (SELECT fahrt_id, ort_nr_start, count(*) AS n, count(DISTINCT fzg_id) AS v,
+# Events of vehicles that share their trips, matched to one timetable record: trip, stop and scheduled arrival.
+_HITS = """, hits AS (SELECT fahrt_id, ort_nr_start, scheduled_arrival_time, count(*) AS n, count(DISTINCT fzg_id) AS v,
              string_agg(DISTINCT stop_status, '/' ORDER BY stop_status) AS s,
-             (epoch_us(max(arrival_time)) - epoch_us(min(arrival_time))) // 1000000 AS gap FROM core GROUP BY 1, 2)"""
+             (epoch_us(max(arrival_time)) - epoch_us(min(arrival_time))) // 1000000 AS gap FROM core
+             WHERE scheduled_arrival_time IS NOT NULL GROUP BY 1, 2, 3)"""
 
 
 @query(
     "collisions",
     _HITS + """ SELECT count(*) AS records, count(*) FILTER (n > 1) AS colliding_records,
                 CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS colliding_events FROM hits""",
+    oracle.SHARED_TRIPS,
 )
 def _(t):
-    return diagnostics.collisions(core(t), _TRIP_STOP)
+    return diagnostics.collisions(shared_core(t))
 
 
 @query(
     "collision_types",
     _HITS + """ SELECT CASE WHEN v = 1 THEN 'same_vehicle' ELSE 'diff_vehicle' END AS collision_type, s AS stop_statuses,
                 count(*) AS n_records FROM hits WHERE n > 1 GROUP BY 1, 2""",
+    oracle.SHARED_TRIPS,
 )
 def _(t):
-    records = diagnostics.collision_records(core(t), _TRIP_STOP)
+    records = diagnostics.collision_records(shared_core(t))
     return records.groupBy("collision_type", "stop_statuses").agg(F.count(F.lit(1)).alias("n_records"))
 
 
-@query("collision_gap", _HITS + " " + linear_sql("(SELECT gap FROM hits WHERE n > 1)", "gap", qs=(0.0, 0.25, 0.5, 0.75, 0.9, 1.0)))
+@query("collision_gap", _HITS + " " + linear_sql("(SELECT gap FROM hits WHERE n > 1)", "gap", qs=(0.0, 0.25, 0.5, 0.75, 0.9, 1.0)), oracle.SHARED_TRIPS)
 def _(t):
-    records = diagnostics.collision_records(core(t), _TRIP_STOP)
+    records = diagnostics.collision_records(shared_core(t))
     return ranks.quantiles(records, "gap_sec", (0.0, 0.25, 0.5, 0.75, 0.9, 1.0))
 
 

@@ -239,3 +239,33 @@ class Tables:
             (F.col("l_quantity") * 14 + F.col("l_discount") * 100).alias("travel_time"),
             F.col("l_quantity").cast("long").alias("besetztgrad"),
         )
+
+
+@dataclass(frozen=True)
+class SharedTrips(Tables):
+    """The same feed with trips that several vehicles drive, so that events of two vehicles meet one timetable record."""
+
+    @property
+    def telemetry(self) -> DataFrame:
+        own = super().telemetry
+        return own.withColumn("fahrt_id", (F.col("fzg_id") % 15) * 10 + F.col("fahrt_id") % 10)
+
+
+@dataclass(frozen=True)
+class CoarseOdometer(Tables):
+    """The same feed with an odometer that counts hundreds, so that vehicles stand still."""
+
+    @property
+    def telemetry(self) -> DataFrame:
+        return super().telemetry.withColumn("distanz", F.floor(F.col("distanz") / 100).cast("double") * 100)
+
+
+@dataclass(frozen=True)
+class GappyFeed(Tables):
+    """The same feed with core fields missing here and there."""
+
+    @property
+    def telemetry(self) -> DataFrame:
+        own = super().telemetry
+        gaps = {"fahrt_id": 40, "ort_nr_start": 55, "tuerkriterium": 77, "distanz": 90}
+        return own.withColumns({c: F.when(F.col("ping_id") % n != 0, F.col(c)) for c, n in gaps.items()})
