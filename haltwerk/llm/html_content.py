@@ -17,6 +17,7 @@ itself.  So the model learns class words, links and shapes besides landmarks.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -32,6 +33,7 @@ from haltwerk.llm.html_tree import Tree, parse
 from haltwerk.llm.words import mixed
 
 FIT_PAGES = 300
+FIT_CHARS = 100_000  # longer pages teach no more, and cost more
 
 # fixed values: words in class, id and role attributes, by what they announce
 GROUPS = {
@@ -187,7 +189,9 @@ def landmark_labels(tree: Tree) -> list[bool] | None:
 
 def redressed(tree: Tree, label: list[bool], seed: int) -> tuple[Tree, list[bool]]:
     """The page in other clothes: landmarks as divisions with class names, and more that isn't content."""
-    draw = iter(mixed(np.arange(1, 1 << 16, dtype=np.uint64) * np.uint64(2 * seed + 1)).tolist())
+    block = (1 << 16) - 1
+    numbers = (np.arange(k, k + block, dtype=np.uint64) for k in itertools.count(1, block))
+    draw = (x for some in numbers for x in mixed(some * np.uint64(2 * seed + 1)).tolist())  # without an end
 
     def pick(group: str) -> str:
         words = GROUPS[group].split()
@@ -373,21 +377,32 @@ def fit(pages: list[str], l2: float = 3e-6, steps: int = 300, rate: float = 0.1)
     return ContentModel({name: float(w[k]) for name, k in forest.index.items()}, b, passed)
 
 
-def fitted(pages: DataFrame, fit_pages: int = FIT_PAGES, id_column: str = "page_id", html_column: str = "html") -> ContentModel:
-    """Train on about ``fit_pages`` of the pages that label themselves, drawn by a hash of the id and taken to the driver."""
-    # a page of a megabyte teaches no more than one of some kilobytes
-    small = F.coalesce(F.length(html_column), F.lit(0)) < 100_000
-    labelled = pages.where(small & F.col(html_column).rlike(r"(?i)<article[\s/>]"))
+def fitted(
+    pages: DataFrame, fit_pages: int = FIT_PAGES, id_column: str = "page_id", html_column: str = "html", fit_chars: int = FIT_CHARS
+) -> ContentModel:
+    """Train on about ``fit_pages`` of the pages that label themselves, drawn by a hash of the id and taken to the driver.
+
+    Two bounds keep the sample small: pages of ``fit_chars`` characters or more
+    train only if all labelled pages are that long, and then the eight shortest
+    do; and no more than twice ``fit_pages`` rows are taken, should many rows be
+    equal.
+    """
+    every = pages.where(F.col(html_column).rlike(r"(?i)<article[\s/>]"))
+    labelled = every.where(F.length(html_column) < fit_chars)
     share = min(1.0, fit_pages / max(labelled.count(), 1))
     drawn = F.pmod(F.xxhash64(F.col(id_column), F.col(html_column)), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0)
-    sample = labelled.where(drawn).select(html_column).toArrow().column(0).to_pylist()
+    sample = labelled.where(drawn).select(html_column).limit(2 * fit_pages).toArrow().column(0).to_pylist()
+    if not sample:
+        sample = every.orderBy(F.length(html_column), html_column).limit(8).select(html_column).toArrow().column(0).to_pylist()
     return fit(sorted(x for x in sample if x))
 
 
 def extract(pages: DataFrame, model: ContentModel, id_column: str = "page_id", html_column: str = "html", carried: tuple[str, ...] = ("url",)) -> DataFrame:
     """page_id, carried columns, text and n_chars (code points) of every page, from its whole HTML.
 
-    NULL HTML is an empty page with empty text.
+    NULL HTML is an empty page with empty text.  Repeated rows and rows that
+    share an id are read one by one; long pages are read whole.  ``carried`` must
+    not name a column text or n_chars.
     """
     rows = pages.select(F.col(id_column).alias("page_id"), *carried, F.col(html_column).alias("html"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S)
@@ -20,7 +21,11 @@ INLINE = MATH | frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # contents are not text of the page
-SILENT = frozenset("script style noscript template title textarea iframe object svg annotation annotation-xml canvas audio video select noframes".split())
+SILENT = frozenset("button datalist option optgroup script style noscript template title textarea iframe object svg annotation annotation-xml canvas audio video select noframes".split())
+# stand inside a line of text and leave it whole, whether their own contents are text or not
+_IN_LINE = INLINE | frozenset(
+    "script style noscript template textarea iframe object svg canvas audio video select option optgroup button input output picture source track param embed area map meter progress datalist link meta".split()
+)
 _RAW = frozenset("script style title textarea noscript iframe noframes template".split())
 _CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
@@ -61,6 +66,11 @@ def parse(page: str) -> Tree:
     stack: list[tuple[str, int]] = []  # open elements: tag, node (of the nearest block)
     pieces: list[tuple[str, bool]] = []
     links, silent, foreign, node = 0, 0, 0, -1
+    opened: Counter[str] = Counter()  # elements on the stack by tag
+
+    def enter(tag: str) -> None:
+        stack.append((tag, node))
+        opened[tag] += 1
 
     def add(tag: str, marks: str, text: str, linked: int) -> int:
         tree.tag.append(tag)
@@ -81,10 +91,11 @@ def parse(page: str) -> Tree:
         """Close the open elements from ``index`` on."""
         nonlocal node, links, silent, foreign
         for tag, _ in stack[index:]:
+            opened[tag] -= 1
             links -= tag == "a"
             silent -= tag in SILENT
             foreign -= tag in ("svg", "math")
-        if any(tag not in INLINE for tag, _ in stack[index:]):
+        if stack[-1][1] != stack[index - 1][1]:  # a block ends
             flush()
         del stack[index:]
         node = stack[-1][1] if stack else -1
@@ -114,11 +125,11 @@ def parse(page: str) -> Tree:
             break  # a tag that the end of the page cuts off
         tag = name.lower()
         if m.group(1):
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[k][0] == tag:
                     leave(k)
                     break
-                if tag in INLINE and stack[k][0] not in INLINE:
+                if tag in _IN_LINE and stack[k][0] not in _IN_LINE:
                     break
             continue
         if tag == "br":
@@ -128,15 +139,20 @@ def parse(page: str) -> Tree:
         if (foreign or tag in ("svg", "math")) and m.group(3).endswith("/"):
             continue  # only there a closing slash ends the element
         foreign += tag in ("svg", "math")
-        if tag in INLINE:
-            if tag == "a":
-                links += 1
-            silent += tag in SILENT
+        if tag in _RAW:  # what follows is not markup until the end tag
+            if tag not in _IN_LINE and not silent:
+                flush()
+            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            at = close.end() if close else n
+            continue
+        if tag in _IN_LINE:
             if tag not in VOID:
-                stack.append((tag, node))
+                links += tag == "a"
+                silent += tag in SILENT
+                enter(tag)
             continue
         if foreign and tag in _SVG:
-            stack.append((tag, node))
+            enter(tag)
             continue
         # a block element: closes what it may not stand in
         for k in range(len(stack) - 1, 0, -1):
@@ -149,12 +165,8 @@ def parse(page: str) -> Tree:
         flush()
         if tag in VOID:
             continue
-        if tag in _RAW:  # what follows is not markup until the end tag
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = close.end() if close else n
-            continue
         node = add(tag, _marks(m.group(3)) if m.group(3) else "", "", 0)
-        stack.append((tag, node))
+        enter(tag)
         silent += tag in SILENT
     flush()
     return tree

@@ -236,6 +236,12 @@ def _prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(first, f"key bigint, node {kind}, size bigint, rank bigint")
 
 
+def _distinct_texts(docs: DataFrame) -> DataFrame:
+    """One row for each id and text: pairs are confirmed once, however often their rows are repeated."""
+    alike = docs.groupBy("doc_id", F.xxhash64("text").alias("_print"), F.octet_length("text").alias("_bytes"))
+    return alike.agg(F.first("text").alias("text")).select("doc_id", "text")
+
+
 def _connected(bands: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """node, label of the nodes that have links: components of all similar pairs."""
     least = bands.groupBy("key").agg(F.min(F.struct("node", "size")).alias("least"), F.count(F.lit(1)).alias("members"))
@@ -244,7 +250,7 @@ def _connected(bands: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     zero = F.lit(0).cast("long")
     first = shared.select("a", "size_a", zero.alias("rank_a"), F.col("node").alias("b"), F.col("size").alias("size_b"), zero.alias("rank_b"))
     met = shared.select(F.explode(F.array("a", "node")).alias("node")).distinct()
-    docs = scratch.written(docs.join(met, docs["doc_id"] == met["node"], "left_semi"), "involved")
+    docs = scratch.written(_distinct_texts(docs.join(met, docs["doc_id"] == met["node"], "left_semi")), "involved")
     labels = components(_confirmed(_may_link(first, percent), docs, words, percent))
     rows, turn = shared.select("key", "node", "size", zero.alias("rank")), 0
     # the smaller set of a similar pair shares one of even fewer of its first shingles

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -103,7 +102,7 @@ def op9_toxicity_chain(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op10_mixing_coder(spark: SparkSession, folder: str) -> DataFrame:
-    path = f"{scratch.shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
+    path = scratch.folder(spark, "token-files")
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     token_files.write(table(spark, folder, "documents"), path, tokenizer, end_id=2, alphabet=49408)
     return token_files.digest(spark.read.parquet(path)).select("doc_id", "start", "n_tokens", "ids_crc32")

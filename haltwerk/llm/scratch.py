@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haltwerk.session import checkpoint_folder
+from haltwerk.session import checkpoint_folder, delete_at_exit, temporary_table
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -15,11 +15,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: later steps start from the files."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write a table to the shared folder and read it back: later steps start from the files.
+
+    The files are deleted when Python ends.
+    """
+    return temporary_table(df, name)
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the shared folder, deleted when Python ends."""
+    return delete_at_exit(spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
 
 
 def text_bytes(df: DataFrame, column: str) -> int:

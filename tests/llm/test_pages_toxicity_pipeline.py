@@ -107,7 +107,7 @@ def test_pipeline_keeps_clean_documents(spark):
 
 
 def test_every_query_is_registered():
-    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 14))
 
 
 def test_self_closed_pictures_and_formulas_keep_the_text():
@@ -131,3 +131,76 @@ def test_few_labelled_pages_among_many_train(spark, monkeypatch):
     pages = spark.createDataFrame(list(enumerate([None, *labelled, *others])), "page_id long, html string").repartition(3)
     assert html_content.fitted(pages, fit_pages=8) == sorted(labelled)
     assert html_content.fitted(pages.where("page_id > 4"), fit_pages=8) == []
+
+
+@pytest.mark.parametrize(
+    "inside",
+    [
+        "<script>x</script>", "<style>p {}</style>", "<noscript>x</noscript>", "<svg><title>x</title><text>x</text></svg>", "<input value='x'>",
+        "<textarea>x</textarea>", "<iframe src='x'>x</iframe>", "<audio controls>x</audio>", "<output></output>", "<picture><source><img alt='x'></picture>",
+        "<button type='button'>x</button>", "<select><option>x<option>y</select>", "<video><track>x</video>", "<canvas>x</canvas>", "<object data='x'>x</object>",
+    ],
+)
+def test_elements_within_a_line_keep_it_whole(inside):
+    tree = html_tree.parse(f"<html><body><article><p>one {inside} two</p><p>three</p></article></body></html>")
+    assert [t for t in tree.text if t] == ["one two", "three"]
+    loose = html_tree.parse(f"<article>one {inside} two<p>three</p></article>")
+    assert [t for t in loose.text if t] == ["one two", "three"]
+
+
+def test_large_deep_and_cluttered_pages():
+    import time
+
+    many = "<html><body><article>" + "".join(f"<p class='a{k}'>Paragraph {k} of the page.</p>" for k in range(20_000)) + "</article></body></html>"
+    deep = "<div>" * 20_000 + "<p>low</p>" + "</em>" * 20_000 + "</div>" * 20_000
+    marked = "<article>" + "".join(f"<p {' '.join(f'data-{k}={k}' for k in range(200))}>text {i}</p>" for i in range(50)) + "</article>"
+    began = time.process_time()
+    assert [t for t in html_tree.parse(deep).text if t] == ["low"]
+    assert time.process_time() - began < 5  # grows with the page, not with its square
+    model = html_content.fit([many, marked], steps=5)
+    for page in (many, deep, marked):
+        assert isinstance(html_content.content(page, model), str)
+    tree = html_tree.parse(many)
+    other, labels = html_content.redressed(tree, html_content.landmark_labels(tree), 3)
+    assert len(other.tag) == len(labels) > 10_000
+
+
+def test_training_pages_are_bounded_and_never_none(spark, monkeypatch):
+    monkeypatch.setattr(html_content, "fit", lambda pages: pages)
+    long = [f"<article><p>{'word ' * (50 + k)}</p></article>" for k in range(20)]
+    pages = spark.createDataFrame(list(enumerate(long)), "page_id long, html string")
+    assert html_content.fitted(pages, fit_chars=100) == sorted(sorted(long, key=len)[:8])
+    equal = spark.range(500).selectExpr("1L AS page_id", "'<article><p>same</p></article>' AS html")
+    assert len(html_content.fitted(equal, fit_pages=300)) <= 600
+
+
+def test_pages_with_more_columns(spark, model):
+    rows = [(1, "u", "<article><p>Some text of the article, long enough to be one.</p></article>", "t", 3), (1, "u", None, "t", 4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, tag string, node int")
+    found = html_content.extract(pages, model).collect()
+    assert sorted(r.n_chars == 0 for r in found) == [False, True] and found[0].asDict().keys() == {"page_id", "url", "text", "n_chars"}
+
+
+def test_duplicate_stage_keeps_one_row_of_each_group(spark, nothing):
+    words = [f"w{k}" for k in range(120)]
+    a, b = " ".join(words), " ".join([*words[:60], "new", *words[61:]])
+    rows = [(5, a, "x"), (5, a, "x"), (5, a, "y"), (3, b, "x"), (None, a, "x"), (7, "alone " + b[::-1], "x")]
+    rows += [(None, "clean text of a page without an id " + " ".join(f"n{k}" for k in range(90)), "x")] * 2
+    rows += [(None, "another one without an id " + " ".join(f"m{k}" for k in range(90)), "x"), (9, "", "x"), (9, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    kept = corpus_pipeline.near_duplicates_stage(spark, docs, "")
+    found = sorted(((r.doc_id, (r.text or "")[:5]) for r in kept.collect()), key=str)
+    assert kept.columns == docs.columns
+    assert found == sorted([(3, "w0 w1"), (7, "alone"), (None, "clean"), (None, "anoth"), (9, "")], key=str)
+
+
+def test_repeated_rows_of_near_copies_cost_no_pairs(spark):
+    from haltwerk.llm import minmax_dedup
+
+    words = [f"w{k}" for k in range(200)]
+    a, b = " ".join(words), " ".join([*words[:100], "new", *words[101:]])
+    docs = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string").crossJoin(spark.range(1000)).select("doc_id", "text").repartition(4)
+    involved = minmax_dedup._distinct_texts(docs)
+    assert involved.count() == 2
+    found = minmax_dedup.near_duplicates(docs).groupBy("doc_id", "component_id").count().collect()
+    assert sorted(map(tuple, found)) == [(1, 1, 1000), (2, 1, 1000)]
