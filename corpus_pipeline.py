@@ -4,10 +4,10 @@ Each stage reads what the stage before it wrote, works on all of its rows, and
 passes on whole documents with all their columns; the last one encodes them.
 
 NULL and empty texts fail the base quality rules and leave at the first stage;
-an empty table stays empty through all stages.  Rows that share an id are one
-document for the duplicate stage: they stay or go together.  Rows with a NULL
-id are dropped there, as no group can name them.  All other stages decide row
-by row and never look at ids.
+an empty table stays empty through all stages.  The duplicate stage keeps
+exactly one row of each group of near copies, so one row of each id too; a row
+without an id is a document of its own, known by its text.  All other stages
+decide row by row and never look at ids.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from haltwerk.llm import decontaminate, minmax_dedup, quality_classifier, quality_rules, scratch, viterbi
 
@@ -35,10 +36,17 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each group of near copies."""
-    verdict = minmax_dedup.near_duplicates(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
-    kept = verdict.where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Keep one row of each group of near copies: that of the least id, a row without an id only if no other is there.
+
+    Of rows with that id it is the one with the least hash, whichever columns differ.
+    """
+    unnamed = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 2)  # beyond the ids in use
+    keyed = docs.withColumn("_row", F.coalesce(F.col("doc_id").cast("bigint"), unnamed))
+    verdict = minmax_dedup.near_duplicates(keyed, SHINGLE_WORDS, SIMILAR_PERCENT, id_column="_row")
+    kept = verdict.where("kept").select(F.col("doc_id").alias("_row")).distinct()
+    # repeated rows combine before they are shuffled
+    one = keyed.groupBy("_row").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_one"))
+    return one.join(kept, "_row", "left_semi").select("_one.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
