@@ -31,7 +31,7 @@ class Series:
 
     ``time`` is a timestamp and ``ties`` makes the order total.
     ``slice_length`` in seconds cuts every key, unless ``hot`` lists the keys to
-    cut and their lengths.
+    cut and their lengths, or ``whole`` says that none needs a cut.
     """
 
     keys: tuple[str, ...]
@@ -40,13 +40,14 @@ class Series:
     slice_length: int = 900
     hot: DataFrame | None = field(default=None, compare=False, repr=False)
     crowded: DataFrame | None = field(default=None, compare=False, repr=False)
+    whole: bool = field(default=False, compare=False, repr=False)
 
     @property
     def order(self) -> list[str]:
         return [self.time, *self.ties]
 
     def keyed_by(self, *keys: str) -> "Series":
-        return replace(self, keys=keys, hot=None, crowded=None)
+        return replace(self, keys=keys, hot=None, crowded=None, whole=False)
 
     def over(self, time: str, *ties: str) -> "Series":
         """The same keys and cut for rows with another time column.
@@ -93,9 +94,8 @@ def spread_hot(df: DataFrame, series: Series, rows_per_slice: int = 2_000_000, s
     names = [f"_h_{k}" for k in series.keys]
     keyed = df.select(*[F.col(k).alias(n) for k, n in zip(series.keys, names)], _micros(series.time).alias("_t"), *series.ties[:1])
     counted = keyed.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_slice)
-    if counted.isEmpty():  # nothing to cut: plans that use the series drop their edges
-        kinds = ", ".join(f"`{n}` {df.schema[k].dataType.simpleString()}" for k, n in zip(series.keys, names))
-        return replace(series, hot=df.sparkSession.createDataFrame([], f"{kinds}, _bounds array<bigint>"), crowded=None)
+    if counted.isEmpty():  # nothing to cut: plain windows, no edges
+        return replace(series, hot=None, crowded=None, whole=True)
     match = [F.col(n).eqNullSafe(F.col(f"_c{n}")) for n in names]
     renamed = counted.select(*[F.col(n).alias(f"_c{n}") for n in names], "_n")
     rows = keyed.join(F.broadcast(renamed), match).drop(*[f"_c{n}" for n in names])
@@ -132,6 +132,8 @@ def sliced(df: DataFrame, series: Series) -> DataFrame:
     null-safely.
     """
     columns = {name: F.col(key) for key, name in zip(series.keys, _key_names(series))}
+    if series.whole:
+        return df.withColumns({**columns, SLICE: F.lit(None).cast("bigint")})
     if series.hot is None:
         number = F.expr(f"unix_micros(`{series.time}`) div {int(series.slice_length) * 1_000_000}")
         columns[SLICE] = F.coalesce(number, F.lit(_NO_TIME))
@@ -152,6 +154,8 @@ def sliced(df: DataFrame, series: Series) -> DataFrame:
 def with_edges(base: DataFrame, edges: DataFrame, series: Series) -> DataFrame:
     """Left join of an edge table; keys match null-safely, rows of keys that are not cut match nothing."""
     part = slice_columns(series)
+    if series.whole:
+        return base.withColumns({f.name: F.lit(None).cast(f.dataType) for f in edges.schema.fields if f.name not in part})
     other = edges.withColumnsRenamed({c: f"_e{c}" for c in part})
     match = [F.col(c).eqNullSafe(F.col(f"_e{c}")) for c in _key_names(series)]
     return base.join(other, [*match, F.col(SLICE) == F.col(f"_e{SLICE}")], "left").drop(*[f"_e{c}" for c in part])

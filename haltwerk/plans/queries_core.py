@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from haltwerk.functions.ordered import Series, keep_first, neighbours
 from haltwerk.functions.scalars import clip, service_date, status_code
-from haltwerk.operators import detect, diagnostics, enrich, features, matching, quality, rescue, timetable
+from haltwerk.operators import detect, diagnostics, enrich, features, increments, matching, quality, rescue, timetable
 from haltwerk.plans import core as core_plan
 from haltwerk.plans import oracle
 from haltwerk.plans.registry import query
-from haltwerk.session import checkpoint_folder, delete_folder, newest_change
+from haltwerk.session import checkpoint_folder, delete_at_exit, delete_folder, newest_change
 from haltwerk.sources import files
 from haltwerk.sources.driver_tables import GappyFeed, SharedTrips, Tables
 
@@ -609,6 +609,28 @@ def _(t):
     return detect.detect_stop_events(t.telemetry, series=t.pings)
 
 
+_HALVES_AT = "2024-01-16"
+
+
+@query("stop_events_by_halves", f"SELECT {_EVENT_SQL} FROM detected", views={"size_n": "SELECT 5 AS n"})
+def _(t):
+    """The second half of the feed with the state that the first half leaves behind, and the first half's final events."""
+    early, late = (t.telemetry.filter(f"tst_iso {side} TIMESTAMP '{_HALVES_AT}'") for side in ("<", ">="))
+    first = increments.increment_events(early, None, 5, series=t.pings).filter("is_final")
+    state = written(t, increments.next_state(early, None, series=t.pings), "state")
+    second = increments.increment_events(late, state, 5, series=t.pings)
+    return first.unionByName(second).select("fzg_id", *detect.EVENT_COLUMNS)
+
+
+@query("stop_events_clustered", f"SELECT {_EVENT_SQL} FROM detected")
+def _(t):
+    """Detection over a store that is bucketed by vehicle and sorted by time."""
+    name = f"haltwerk_pings_{uuid.uuid4().hex}"
+    path = delete_at_exit(t.spark, scratch(t, "clustered"))
+    pings = files.write_clustered(t.telemetry, name, path, ["fzg_id"], ["tst_iso", "ping_id"], buckets=8)
+    return detect.detect_stop_events(pings, series=t.pings)
+
+
 # -- repair -------------------------------------------------------------------
 
 
