@@ -1,9 +1,13 @@
 """Test items in training documents: n-gram seeds, then local alignment.
 
-1. Seeds.  All runs of ``seed_words`` words of the items are looked up in every
-   document; none is left out for being frequent, so that what is found in a
-   document depends on the document and the items alone, however many copies
-   other documents hold.
+1. Seeds.  Runs of ``seed_words`` words of the items are looked up in every
+   document.  The documents that hold each seed are counted first; an item's
+   *rare* seeds are those in no more documents than its median seed.  A rare
+   seed joins its document to the item at once.  Other seeds, phrases that
+   everybody uses, join a document only if it has enough of the item's words for
+   an alignment at ``threshold``: one sum over the item's words, with no loss, as
+   a document without them can't reach it.  So no seed is left out for being
+   frequent, and what is found in a document depends on it and the items alone.
 2. Join.  Seeds join passages to items: seeds of one item that lie on about the
    same diagonal of a document give one passage, the item's length and a margin
    wide.  A passage that lacks so many of the item's words that no alignment can
@@ -16,7 +20,8 @@
 
 Words are longest runs of letters and digits, A-Z folded.  Items are the query
 set: they are taken in blocks of bounded size, each block travels to all
-documents, and documents are neither shuffled nor collected.  Items with fewer
+documents, and documents are neither shuffled nor collected.  Of equally good
+passages of a document the one with the lower diagonal is reported.  Items with fewer
 words than a seed match nothing; neither do NULL and empty texts.
 """
 
@@ -24,13 +29,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from haltwerk.llm import packed
 from haltwerk.llm.words import Texts, ngrams, slices, split, texts_of
 
 SEED_WORDS = 3
@@ -57,6 +63,7 @@ class Items:
     place: np.ndarray  # first word of each seed
     vocabulary: np.ndarray  # word hashes of all items, ascending
     word_ids: list[np.ndarray]  # the items' words as places in the vocabulary
+    rare: np.ndarray | None = None  # of seeds; all if they were not counted
 
 
 def _items(table: pa.Table, seed_words: int) -> Items:
@@ -93,6 +100,47 @@ def _found(seeds: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return hit, at[hit]
 
 
+COUNT_PARTS = 64
+
+
+def counted(docs: DataFrame, block: Items, seed_words: int) -> Items:
+    """The block with its rare seeds marked, from the number of documents that hold each seed.
+
+    Tasks add up their documents; a table with one count per seed of the block
+    is all that reaches the driver.
+    """
+    kinds = np.unique(block.seeds)
+    edges = np.linspace(0, len(kinds), COUNT_PARTS + 1).astype(int)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(kinds), np.uint64)
+        for batch in batches:
+            texts = texts_of(batch)
+            for a, b in slices(texts):
+                t = _words(texts[a:b])
+                gram, at = ngrams(t.word_hash(), t.doc, seed_words)
+                hit, seed = _found(kinds, gram)
+                held = np.unique(t.doc[at[hit]] * len(kinds) + seed)
+                total += np.bincount(held % len(kinds), minlength=len(kinds)).astype(np.uint64)
+        rows = [packed.planes(total[i:j]) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(COUNT_PARTS), pa.int32()), pa.array(rows, pa.binary())], names=["part", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        k = table.column("part")[0].as_py()
+        total = sum(packed.numbers(c, int(edges[k + 1] - edges[k])) for c in table.column("counts").to_pylist())
+        return pa.table({"part": table.column("part")[:1], "counts": pa.array([packed.planes(total)], pa.binary())})
+
+    shape = "part int, counts binary"
+    rows = {r["part"]: bytes(r["counts"]) for r in docs.select("text").mapInArrow(count, shape).groupBy("part").applyInArrow(add, shape).collect()}
+    sums = [packed.numbers(rows[k], int(edges[k + 1] - edges[k])) if k in rows else np.zeros(edges[k + 1] - edges[k], np.uint64) for k in range(COUNT_PARTS)]
+    of_seed = np.concatenate(sums)[np.searchsorted(kinds, block.seeds)].astype(np.int64)
+    order = np.lexsort((of_seed, block.owner))
+    owner = block.owner[order]
+    first = np.searchsorted(owner, np.arange(len(block.words) + 1))
+    middle = of_seed[order[np.minimum((first[:-1] + first[1:] - 1) // 2, len(order) - 1)]]
+    return replace(block, rare=of_seed <= middle[block.owner])
+
+
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     """Smith-Waterman: the best score, and the passage words it spans (first, one past the last).
 
@@ -141,6 +189,32 @@ def _passages(doc: np.ndarray, item: np.ndarray, diagonal: np.ndarray, lengths:
     return doc[first], item[first], diagonal[first], diagonal[last]
 
 
+def _worth_a_look(
+    doc: np.ndarray, owner: np.ndarray, rare: np.ndarray, first: np.ndarray, word_id: np.ndarray, items: Items, seen: np.ndarray, threshold: float
+) -> np.ndarray:
+    """Hits of the pairs of text and item that have a rare seed, or enough of the item's words in the text.
+
+    The best alignment's matches are words of the item that the text has, so
+    these must make ``threshold`` of the item's own score alone.
+    """
+    pair = doc.astype(np.int64) * len(items.words) + owner
+    good = [np.unique(pair[rare])]
+    other = np.setdiff1d(pair, good[0])
+    d, k = other // len(items.words), other % len(items.words)
+    cuts = [*np.flatnonzero(np.diff(d, prepend=-1)).tolist(), len(d)]
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        own = word_id[first[d[i]] : first[d[i] + 1]]
+        seen[own] = True
+        seen[-1] = False  # words of no item
+        some = [items.word_ids[x] for x in k[i:j].tolist()]
+        sizes = np.array([len(x) for x in some])
+        present = np.add.reduceat(seen[np.concatenate(some)].astype(np.int64), np.cumsum(sizes) - sizes)
+        seen[own] = False
+        good.append(other[i:j][present >= threshold * sizes])
+    good = np.concatenate(good)
+    return np.isin(pair, good)
+
+
 def _matched(t: Texts, items: Items, seed_words: int, threshold: float) -> list[tuple[int, int, float, int, int]]:
     """Text, item, score and word span of the best alignment of each text and item above the threshold."""
     hashes = t.word_hash()
@@ -158,8 +232,14 @@ def _matched(t: Texts, items: Items, seed_words: int, threshold: float) -> list[
     word_id = np.minimum(np.searchsorted(items.vocabulary, hashes), len(items.vocabulary) - 1)
     word_id[items.vocabulary[word_id] != hashes] = len(items.vocabulary)
     seen = np.zeros(len(items.vocabulary) + 1, bool)
+    owner = items.owner[which]
+    if items.rare is not None:
+        keep = _worth_a_look(doc, owner, items.rare[which], first, word_id, items, seen, threshold)
+        at, which, doc, owner = at[keep], which[keep], doc[keep], owner[keep]
+        if not len(at):
+            return []
     found: dict[tuple[int, int], tuple[float, int, int]] = {}
-    for d, k, low, high in zip(*_passages(doc, items.owner[which], at - first[doc] - items.place[which], lengths), strict=True):
+    for d, k, low, high in zip(*_passages(doc, owner, at - first[doc] - items.place[which], lengths), strict=True):
         item = items.words[k]
         margin = len(item) // 4 + 2
         a, b = max(low - margin, 0), high + len(item) + margin
@@ -193,6 +273,7 @@ def matches(
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, first_word bigint, past_word bigint"
     out = docs.sparkSession.createDataFrame([], schema)
     for block in _blocks(items, item_column, item_text, seed_words):
+        block = counted(docs, block, seed_words)
 
         def run(batches: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -212,8 +293,9 @@ def matches(
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, seed_words: int = SEED_WORDS) -> DataFrame:
     """The documents that hold no item, row by row, with all their columns."""
-    at = docs.columns.index("text")
+    at, texts = docs.columns.index("text"), docs.select("text")
     for block in _blocks(items, "item_id", "text", seed_words):
+        block = counted(texts, block, seed_words)
 
         def run(batches: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:
             for batch in batches:

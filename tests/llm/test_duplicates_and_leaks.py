@@ -1,4 +1,5 @@
 import random
+import re
 
 import brute
 import numpy as np
@@ -104,6 +105,55 @@ def test_frequent_phrases_are_no_leaks(spark):
     assert decontaminate.matches(docs, items_of(spark)).count() == 0
 
 
+def test_every_item_against_every_document(spark):
+    """All pairs by alignment of the whole texts, where they share a seed."""
+    folder = "/root/testdata/sf0.001"
+    docs, items = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "benchmark"))
+    got = {(r.doc_id, r.item_id): round(r.score, 9) for r in decontaminate.matches(docs, items).collect()}
+    word = lambda t: re.findall(r"[^\x00-/:-@\[-`{-\x7f]+", (t or "").encode().lower().decode())
+    texts = {r.doc_id: word(r.text) for r in docs.collect()}
+    asked = {r.item_id: word(r.text) for r in items.collect()}
+    number = {w: i for i, w in enumerate({w for x in (*texts.values(), *asked.values()) for w in x})}
+    runs = lambda w: {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+    seeds, want = {k: runs(w) for k, w in asked.items()}, {}
+    for d, text in texts.items():
+        held = runs(text)
+        for k, item in asked.items():
+            if seeds[k] & held:
+                score = decontaminate.align(np.array([number[w] for w in item]), np.array([number[w] for w in text]))[0] / (2 * len(item))
+                if score >= 0.5:
+                    want[d, k] = round(score, 9)
+    assert got == want and want
+
+
+def test_thousands_of_items_with_a_stock_phrase(spark):
+    """Frequent seeds cost a sum of words for each item, not an alignment, and lose nothing."""
+    import time
+
+    stock = "which one of the following is true"
+    items = spark.createDataFrame([(k, f"{stock} " + " ".join(f"i{k}x{j}" for j in range(12))) for k in range(3_000)], "item_id long, text string")
+    leak = f"{stock} " + " ".join(f"i77x{j}" for j in range(12))
+    texts = [(d, " ".join([stock, f"a{d}", stock, f"b{d}", *(["and", leak] if d == 5 else [])])) for d in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert [(r.doc_id, r.item_id, r.score) for r in decontaminate.matches(docs, items).collect()] == [(5, 77, 1.0)]
+    (block,) = decontaminate._blocks(items, "item_id", "text", 3)
+    marked = decontaminate.counted(docs, block, 3)
+    t = decontaminate._words(pa.array([x for _, x in texts]))
+    began = time.process_time()
+    found = decontaminate._matched(t, marked, 3, 0.5)
+    assert time.process_time() - began < 2
+    assert [f[:2] for f in found] == [(5, block.ids.to_pylist().index(77))]
+    assert not marked.rare.all() and marked.rare.any()
+
+
+def test_rare_and_frequent_seeds_find_the_same(spark):
+    folder = "/root/testdata/sf0.001"
+    docs, items = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "benchmark"))
+    (block,) = decontaminate._blocks(items, "item_id", "text", 3)
+    t = decontaminate._words(pa.array([r.text or "" for r in docs.collect()]))
+    assert decontaminate._matched(t, decontaminate.counted(docs, block, 3), 3, 0.5) == decontaminate._matched(t, block, 3, 0.5)
+
+
 def test_reach_is_no_less_than_the_score():
     draw = random.Random(3)
     for _ in range(300):
