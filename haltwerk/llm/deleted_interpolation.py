@@ -12,7 +12,8 @@ the remaining counts predict it, and each bucket takes the weights under which
 its held-out tokens are likeliest.  The final model counts all training texts.
 
 How counts reach the texts: texts are dealt into groups of a few megabytes by a
-hash.  A group sends each distinct word and word pair once, with its count, as
+hash of the row's number, equal rows too (so the table must give the same rows in
+the same partitions each time it is read, as a scan of files does).  A group sends each distinct word and word pair once, with its count, as
 sorted packed arrays, one row per range of hashes; a range adds up what it got
 and sends the totals back to the groups that asked.  What is shuffled is the
 distinct n-grams of each group, no word is hotter than another, and no table of
@@ -189,6 +190,15 @@ def _replies(table: pa.Table) -> pa.Table:
     return _batch(out, _ARROW_REPLY)
 
 
+def _range_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's share of the sums that ranges report, as plain columns for Spark to add up."""
+    total = np.zeros(4, np.uint64)
+    for batch in batches:
+        for counts in batch.column(0).to_pylist():
+            total += packed.numbers(counts, 4)
+    yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in total], names=["kept", "kept_kinds", "tokens", "kinds"])
+
+
 def _known(seq: np.ndarray, replies: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """c(v), c(w) and c(v w) of every token of a group's sequence, in order (starts and texts' edges left out)."""
     rows = sorted(replies.to_pylist(), key=lambda r: (r["size"], r["part"]))
@@ -260,7 +270,8 @@ def _prepared(docs: DataFrame, id_column: str, text_column: str, groups: int) ->
         F.col(text_column).alias("text"),
         held.alias("held_out"),
         (~held & fold).alias("aside"),
-        F.pmod(F.xxhash64(id_column, text_column), F.lit(groups)).alias("pid"),
+        # by the row's number, so that equal rows don't fill one group
+        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).alias("pid"),
     )
 
 
@@ -273,8 +284,8 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", t
     fold = rows.where("aside").select("text", "pid", F.lit(2).alias("role")).repartition(max(1, groups // 2), "pid")
     asked = fold.groupBy("pid").applyInArrow(_group_requests(parts), _REQUEST)
     replies = scratch.written(counted.unionByName(asked).groupBy("size", "part").applyInArrow(_replies, _REPLY), "interpolation-replies")
-    sums = [packed.numbers(bytes(r[0]), 4) for r in replies.where("pid = -2").select("counts").collect()]  # a row per range
-    kept, _, tokens, kinds = (int(x) for x in np.sum([np.zeros(4, np.uint64), *sums], axis=0))
+    sums = replies.where("pid = -2").select("counts").mapInArrow(_range_sums, "kept bigint, kept_kinds bigint, tokens bigint, kinds bigint")
+    kept, tokens, kinds = (int(x or 0) for x in sums.agg(F.sum("kept"), F.sum("tokens"), F.sum("kinds")).first())
     cells = (
         fold.groupBy("pid")
         .cogroup(replies.where("pid >= 0").groupBy("pid"))

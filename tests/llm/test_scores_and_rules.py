@@ -100,3 +100,16 @@ def test_label_model_recovers_accuracies():
     np.testing.assert_allclose(model.good_accuracy, g, atol=0.02)
     np.testing.assert_allclose(model.bad_accuracy, b, atol=0.06)
     assert model == weak_labels.fit(patterns[::-1], weight[::-1])
+
+
+def test_equal_rows_are_dealt_apart(spark, monkeypatch):
+    """Many repeated rows fill several groups, and are scored like others."""
+    monkeypatch.setattr(di, "GROUP_BYTES", 4_000)
+    monkeypatch.setattr(di, "RANGE_BYTES", 8_000)
+    doc_id = next(i for i in range(20) if not brute.held_out(i))
+    docs = spark.range(400).selectExpr(f"{doc_id}L AS doc_id", "'the same words again and again in every row' AS text").repartition(3)
+    groups = di._prepared(docs, "doc_id", "text", 10).groupBy("pid").count().collect()
+    assert len(groups) == 10 and max(r["count"] for r in groups) < 100
+    found = di.score(docs).collect()
+    assert len(found) == 400 and len({(r.score, r.base_score, r.n_tokens, r.train_tokens) for r in found}) == 1
+    assert found[0].train_tokens == 400 * 10 and found[0].n_known == 10
