@@ -50,7 +50,7 @@ def removed(df):
     return key([(r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), bytes(r.kept)) for r in df.collect()])
 
 
-@pytest.mark.parametrize("hot", [0, 2, suffix_dedup.HOT])
+@pytest.mark.parametrize("hot", [1, suffix_dedup.HOT])
 def test_removed_bytes_of_whole_table(spark, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 40_000)
     monkeypatch.setattr(suffix_dedup, "SEGMENT_BYTES", 20_000)
@@ -112,18 +112,19 @@ def test_composed_pairs(letters, monkeypatch):
         assert len(found) == len(set(found)) and set(found) == want
 
 
-@pytest.mark.parametrize("limit", [0, 3, spelling_variants.LIMIT])
-def test_variants_of_whole_table(spark, limit):
+def test_variants_of_whole_table(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     counts = brute.misspelt_words(pairs(docs))
     words = spelling_variants.counted_words(docs)
     assert {r.word: r.n for r in words.collect()} == counts
-    assert key(map(tuple, spelling_variants.variants(words, limit=limit).collect())) == key(brute.word_forms(counts))
+    want = key(brute.word_forms(counts))
+    for limit in (3, spelling_variants.LIMIT):
+        assert key(map(tuple, spelling_variants.variants(words, limit=limit).collect())) == want
 
 
 def test_forms_roots_and_ties(spark):
     counts = {"lettera": 2, "letters": 30, "lettars": 3, "xlettars": 1, "letterz": 30, "letter": 400, "Äpfelchen": 5, "äpfelchen": 60, "abcdefg": 1, "bcdefgh": 1}
-    counts |= {"x" * 5_000: 3, "x" * 4_999: 40, "x" * 2_000 + "y" + "x" * 2_999: 2}
+    counts |= {"x" * 600: 3, "x" * 599: 40, "x" * 200 + "y" + "x" * 399: 2}
     words = spark.createDataFrame(list(counts.items()), "word string, n long")
     for limit in (1, spelling_variants.LIMIT):
         found = key(map(tuple, spelling_variants.variants(words, limit=limit).collect()))
