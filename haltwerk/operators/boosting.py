@@ -25,7 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from haltwerk.session import checkpoint_folder, delete_folder
@@ -360,8 +360,6 @@ def importances(spark: SparkSession, path: str, model: str, features: Sequence[s
     nodes = spark.read.parquet(f"{path}/nodes").where((F.col("model") == model) & F.col("feature").isNotNull())
     gains = nodes.groupBy("feature").agg(F.sum("gain").alias("gain"))
     named = spark.createDataFrame([(f,) for f in features], "feature string").join(F.broadcast(gains), "feature", "left")
-    from pyspark.sql import Window
-
     total = F.sum(F.coalesce("gain", F.lit(0.0))).over(Window.partitionBy())
     share = F.coalesce(F.try_divide(F.coalesce("gain", F.lit(0.0)), total), F.lit(0.0))
     return named.select("feature", share.alias("importance")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), "feature")))
