@@ -65,6 +65,26 @@ def test_stored_predictions_change_nothing(spark, place, store_every):
     assert nodes.where("feature = 'c'").count() and nodes.agg({"tree": "max"}).first()[0] == 9
 
 
+def trees_carried(function):
+    """Trees among the values a task's function carries."""
+    found, waiting = 0, [c.cell_contents for c in function.__closure__ or ()]
+    while waiting:
+        value = waiting.pop()
+        found += isinstance(value, boosting.Tree)
+        waiting += value.values() if isinstance(value, dict) else value if isinstance(value, list) else ()
+    return found
+
+
+def test_no_job_grows_earlier_trees_again(spark, place, monkeypatch):
+    df = spark.range(2000).selectExpr("double(id % 50) AS x", "'a' AS c", "double(id % 50) AS target", "id % 4 = 0 AS valid")
+    carried, kind = [], type(df)
+    real = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, *given, **named: (carried.append(trees_carried(f)), real(self, f, *given, **named))[1])
+    boosting.fit(df, {"m": ["x"], "n": ["x"]}, place, settings=Settings(rounds=6, depth=2, min_leaf=5, store_every=100))
+    assert spark.read.parquet(f"{place}/nodes").agg({"tree": "max"}).first()[0] == 5
+    assert max(carried) == 2  # one tree of each model, whatever the round
+
+
 def test_training_ends_with_patience_and_keeps_the_best_trees(spark, place):
     rows = [(float(k % 100), "a", float(k % 100), False) for k in range(400)]
     other = [(x, c, 49.5, True) for x, c, _, _ in rows]
