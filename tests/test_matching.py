@@ -59,6 +59,17 @@ def test_merge_has_no_list_and_takes_empty_sides(spark):
     assert matching.nearest_by_merge(asked.where("false"), timetable, KEYS).collect() == []
 
 
+def test_merge_is_dealt_by_rows_and_never_sorts_calls_to_count_them(spark):
+    calls = [(trip, stop, i, START + timedelta(seconds=i // 2)) for trip in range(20) for stop in range(3) for i in range(20)]
+    calls += [(1, 1, None, START)]
+    timetable = spark.createDataFrame(calls, "fahrt_id long, ort_nr long, stop_index long, scheduled_arrival_time timestamp")
+    asked = spark.createDataFrame([(1, 1, START), (2, 1, START)], "fahrt_id long, ort_nr_start long, arrival_time timestamp")
+    found = matching.nearest_by_merge(asked, timetable, KEYS, task_rows=200)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("REPARTITION_BY_NUM") == 1 and ", 7)" in plan  # 1203 rows
+    assert sorted((r.fahrt_id, r.stop_index, r.n_candidates) for r in found.collect()) == [(1, None, 21), (2, 0, 20)]
+
+
 @pytest.mark.parametrize("rows_per_slice", [15, 200_000])
 def test_range_lookup_in_slices(spark, rows_per_slice):
     from haltwerk.operators import enrich
