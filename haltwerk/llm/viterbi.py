@@ -67,9 +67,15 @@ class Pieces:
             for c in piece:
                 node = node.setdefault(c, {})
             node[""] = (score, i)
+        self.steps = self._compact(self.tree)
+        self.alone = {p for p, _, _ in scored if len(p) == 1}
         #: no piece has a space after another character, so words are searched apart
         self.words_apart = not any(SPACE in p.lstrip(SPACE) for p, _, _ in scored)
 
+    def _compact(self, node: dict) -> dict:
+        """The tree with one look-up a character: the tree below it, score and id of the piece it ends (None: no piece)."""
+        return {c: (self._compact(below), *below.get("", (None, -1))) for c, below in node.items() if c}
+
 
 class Search:
     """A streaming search: ``feed`` characters, take committed ids, ``end``."""
@@ -88,8 +94,9 @@ class Search:
         for i in range(0, len(text), step):
             self.text += text[i : i + step]
             self.widest = max(self.widest, len(self.text))
-            self._advance(len(self.text) - self.pieces.longest)
-            out += self._commit(self._meeting())
+            if len(self.text) - self.pieces.longest > self.done:
+                self._advance(len(self.text) - self.pieces.longest)
+                out += self._commit(self._meeting())
         return out
 
     def end(self) -> list[int]:
@@ -98,29 +105,23 @@ class Search:
         return self._commit(len(self.text))
 
     def _advance(self, until: int) -> None:
-        """Try the pieces that begin before ``until``."""
-        text, best, tree = self.text, self.best, self.pieces.tree
+        """Try the pieces that begin before ``until``; of equal scores the first found, which has the longest last piece, stays."""
+        text, best, steps, alone = self.text, self.best, self.pieces.steps, self.pieces.alone
         n = len(text)
         best += [(-1e300, 0, -1)] * (n + 1 - len(best))
-        alone = self.pieces.unknown_score
+        unknown = self.pieces.unknown_score
         for i in range(self.done, until):
             here = best[i][0]
             if here <= -1e300:
                 continue
-            node, j, single = tree, i, False
-            while j < n:
-                node = node.get(text[j])
-                if node is None:
-                    break
+            node, j = steps, i
+            while j < n and text[j] in node:
+                node, score, piece = node[text[j]]
                 j += 1
-                found = node.get("")
-                if found is not None:
-                    single = single or j == i + 1
-                    score = here + found[0]
-                    if score > best[j][0] or (score == best[j][0] and j - i > best[j][1]):
-                        best[j] = (score, j - i, found[1])
-            if not single and here + alone > best[i + 1][0]:
-                best[i + 1] = (here + alone, 1, -1)
+                if score is not None and here + score > best[j][0]:
+                    best[j] = (here + score, j - i, piece)
+            if text[i] not in alone and here + unknown > best[i + 1][0]:
+                best[i + 1] = (here + unknown, 1, -1)
         self.done = max(self.done, until)
 
     def _meeting(self) -> int:

@@ -39,6 +39,14 @@ def test_streaming_search_equals_the_full_table(spark):
         assert decode(ids) == text.replace(viterbi.SPACE, " ")
 
 
+def test_a_word_within_the_window_is_searched_once(monkeypatch):
+    pieces, passes, real = viterbi.loaded(PIECES), [], viterbi.Search._advance
+    monkeypatch.setattr(viterbi.Search, "_advance", lambda self, until: (passes.append(until), real(self, until))[1])
+    for word in (viterbi.SPACE + "therbleti", "", "\u1234", "e" * pieces.longest):
+        passes.clear()
+        assert viterbi.search(pieces, word) == brute.viterbi(pieces, word) and passes == [len(word)]
+
+
 def test_the_window_stays_small():
     run = viterbi.Search(viterbi.loaded(PIECES))
     ids = run.feed("thethere" * 20_000)
