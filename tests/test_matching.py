@@ -103,3 +103,20 @@ def test_hexagons_are_nearest_centres(spark):
         best = min(centres, key=lambda c: ((x - c[0]) / wide) ** 2 + 3 * ((y - c[1]) / high) ** 2)
         counts[round(best[0], 6), round(best[1], 6)] = counts.get((round(best[0], 6), round(best[1], 6)), 0) + 1
     assert {(round(c.x, 6), round(c.y, 6)): c["count"] for c in cells} == counts
+
+
+def test_lists_of_calls_are_never_broadcast(spark):
+    trips = spark.createDataFrame([(k,) for k in range(50)], "fahrt_id long").repartition(4, "fahrt_id")
+    calls = trips.selectExpr("fahrt_id", "posexplode(transform(sequence(0, 199), i -> i % 4)) AS (stop_index, ort_nr)")
+    timetable = calls.selectExpr("fahrt_id", "ort_nr", "cast(stop_index AS long) AS stop_index", "timestamp'2025-03-01 12:00:00' + make_interval(0, 0, 0, 0, 0, 0, stop_index) AS scheduled_arrival_time")
+    rows = [(k, k % 60 if k % 7 else None, k % 5, START + timedelta(hours=12, seconds=k)) for k in range(200)]
+    asked = spark.createDataFrame(rows, "n long, fahrt_id long, ort_nr_start long, arrival_time timestamp")
+    found = matching.match_nearest(asked, timetable)
+    got = {r.n: (r.stop_index, r.n_candidates) for r in found.collect()}
+
+    def expected(n, trip, stop):
+        own = [(abs(i - n), i) for i in range(200) if i % 4 == stop] if trip is not None and trip < 50 else []
+        return (min(own)[1] if own else None, len(own))
+
+    assert got == {n: expected(n, trip, stop) for n, trip, stop, _ in rows}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
