@@ -118,6 +118,27 @@ def test_fit_rows_bounds_training_only(spark, place):
     assert boosting.predict(df, place, {"m": "p"}).where("p IS NOT NULL").count() == 4000
 
 
+def test_training_reads_all_rows_by_default(spark, place, monkeypatch):
+    df = spark.range(2_050_000).selectExpr("double(id % 50) AS x", "'a' AS c", "double(id % 50) AS target", "id % 4 = 0 AS valid")
+    read, real = [], boosting._write_blocks
+    monkeypatch.setattr(boosting, "_write_blocks", lambda rows, *given: (read.append(rows.count()), real(rows, *given))[1])
+    boosting.fit(df, {"m": ["x"]}, place, settings=Settings(rounds=1, depth=1))
+    assert read == [2_050_000] and spark.read.parquet(f"{place}/nodes").where("feature = 'x'").count() == 1
+
+
+def test_histograms_that_reach_the_driver_are_bounded(spark, place, monkeypatch):
+    df = spark.range(800).selectExpr("double(id % 50) AS x", "'a' AS c", "double(id % 50) AS target", "id % 4 = 0 AS valid")
+    kind, sums = type(df), []
+    real = kind.toArrow
+    monkeypatch.setattr(kind, "toArrow", lambda self: (sums.append(real(self)), sums[-1])[1])
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 27))  # a file a task
+    try:
+        boosting.fit(df, {"m": ["x"]}, place, settings=Settings(rounds=3, depth=2, min_leaf=5, task_rows=10, waves=2, store_every=2))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(sums) == 7 and {len(x) for x in sums} == {2 * spark.sparkContext.defaultParallelism}  # 80 files; two levels a round, and the last errors
+
+
 def test_registered_models_have_full_settings_and_are_scored(spark, monkeypatch):
     asked, real = [], boosting.fit
 
